@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame
 from .common import doc_texts, map_arrow
 
 #: Words kept encoded per Python worker, twice: when full, the cache becomes the older half.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 NO_RANK = 1 << 60
+UINT32 = "I"
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -100,6 +103,24 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [s for s in symbols if s >= 0]
 
 
+def merge_scanning(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The same merges by scanning the ranks, for callers that only need the ids of short words fast."""
+    none = (NO_RANK, 0)
+    found = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
+    while found:
+        low = min(found)
+        if low is none or low[0] == NO_RANK:
+            break
+        i = found.index(low)
+        symbols[i : i + 2] = [low[1]]
+        del found[i]
+        if i:
+            found[i - 1] = ranks.get((symbols[i - 1], low[1]), none)
+        if i < len(found):
+            found[i] = ranks.get((low[1], symbols[i + 1]), none)
+    return symbols
+
+
 class _Words(dict):
     """Ids of words as little-endian bytes; computed at first use, bounded in number."""
 
@@ -120,10 +141,13 @@ class _Words(dict):
 
 
 class WordBpe:
-    """Encoder and decoder of a word-level BPE vocabulary (tokenizers JSON)."""
+    """Encoder and decoder of a word-level BPE vocabulary (tokenizers JSON).
+
+    Words of up to scan_words symbols are merged by scanning, longer ones by the segment tree.
+    """
 
-    def __init__(self, spec: bytes, cache_words: int = CACHE_WORDS):
-        self.spec = spec
+    def __init__(self, spec: bytes, cache_words: int = CACHE_WORDS, scan_words: int = 0):
+        self.spec, self.scan_words = spec, scan_words
         data = json.loads(spec)
         model = data["model"]
         vocab = model["vocab"]
@@ -138,18 +162,23 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.stand = byte_symbols()
-        self.inner, self.last = {c: vocab[c] for c in self.stand}, {c: vocab[c + self.end] for c in self.stand}
+        self.inner, self.last = [vocab[c] for c in self.stand], [vocab[c + self.end] for c in self.stand]
+        self.byte = {c: b for b, c in enumerate(self.stand)}
         kind = lambda k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k)
         blank = re.escape("".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0])))
         letters, digits = kind("L"), kind("N")
         self.pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blank}{letters}{digits}]+")
-        self.words = _Words(lambda w: self.word("".join([self.stand[b] for b in w.encode()])), cache_words)
-        self.mapped = _Words(self.word, cache_words)
+        self.words = _Words(lambda w: self.word(w.encode()), cache_words)
+        self.mapped = _Words(lambda w: self.word(bytes([self.byte[c] for c in w])), cache_words)
         self.library = None
 
-    def word(self, stands: str) -> bytes:
-        symbols = [self.inner[c] for c in stands[:-1]] + [self.last[stands[-1]]]
-        return np.array(merge(symbols, self.pairs), "<u4").tobytes()
+    def word(self, word: bytes) -> bytes:
+        symbols = [self.inner[b] for b in word]
+        symbols[-1] = self.last[word[-1]]
+        ids = array(UINT32, (merge if len(word) > self.scan_words else merge_scanning)(symbols, self.pairs))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
         try:
@@ -181,15 +210,15 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[tuple[int, int], WordBpe] = {}
 
 
-def loaded(spec: bytes) -> WordBpe:
+def loaded(spec: bytes, scan_words: int = 0) -> WordBpe:
     """One encoder per vocabulary and Python worker."""
-    key = zlib.crc32(spec)
+    key = (zlib.crc32(spec), scan_words)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(spec)
+        _LOADED[key] = WordBpe(spec, scan_words=scan_words)
     return _LOADED[key]
 
 

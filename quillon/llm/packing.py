@@ -28,6 +28,8 @@ from .common import doc_texts, map_arrow, partitions, staged
 
 CAPACITY = 4096
 END_ID = 1
+#: Words of up to so many bytes are encoded by scanning; packing needs no more than their ids.
+SCAN_WORDS = 48
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -36,7 +38,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        bpe = loaded(spec.value)
+        bpe = loaded(spec.value, SCAN_WORDS)
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
