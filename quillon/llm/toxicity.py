@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,36 +51,34 @@ def softplus(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Feature weights and bias; share is the share of toxic rows among all labelled rows."""
     vocab: dict[str, int] = {}
-    words, sentence, doc = [], [], []
+    words, sentence, doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for part in SENTENCE.findall(text):
             found = [vocab.setdefault(w, len(vocab)) for w in set(part.split())]
             if found:
-                sentence += [len(doc)] * len(found)
-                words += found
+                sentence.extend([len(doc)] * len(found))
+                words.extend(found)
                 doc.append(d)
     if not doc:
         return np.zeros(1 << BITS, "f4"), -30.0
-    words, sentence, doc = np.array(words), np.array(sentence), np.array(doc)
-    owner, feature = [], []
+    words, sentence, doc = (np.frombuffer(x, "i4") for x in (words, sentence, doc))
+    features = np.full((len(vocab), 4), 1 << BITS, "i4")  # padded with a value beyond the last feature
     for w, i in vocab.items():
-        f = word_features(w)
-        owner += [i] * len(f)
-        feature += f
-    owner, feature = np.array(owner, int), np.array(feature, int)
-    # Features of fewer than LEAST_DOCS documents would only be learnt by heart.
-    pairs = np.unique(np.stack([words, doc[sentence]]), axis=1)
-    inside = np.argsort(owner, kind="stable")
-    first = np.searchsorted(owner[inside], np.arange(len(vocab) + 1))
-    count = np.diff(first)[pairs[0]]
-    spots = np.repeat(first[pairs[0]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    seen_in, seen_by = np.unique(np.stack([feature[inside][spots], np.repeat(pairs[1], count)]), axis=1)
+        features[i, : len(f)] = (f := word_features(w))
+    del vocab
     y = labels.astype(bool)
-    docs_with = [np.bincount(seen_in[y[seen_by] == k], minlength=1 << BITS) for k in (False, True)]
-    # Weights are not negative: a feature that clean documents have as often could only end at 0.
-    lift = docs_with[1] * max(1, (~y).sum()) > LEAST_LIFT * docs_with[0] * max(1, y.sum())
-    often = ((docs_with[0] + docs_with[1] >= LEAST_DOCS) & lift)[feature]
-    owner, feature = owner[often], feature[often]
+    docs_with = np.zeros((2, (1 << BITS) + 1), "i4")
+    ends = np.searchsorted(doc[sentence], np.arange(len(y) + 1))
+    for d, (i, j) in enumerate(zip(ends, ends[1:])):
+        docs_with[int(y[d]), np.unique(features[words[i:j]])] += 1
+    # Features of fewer than LEAST_DOCS documents would only be learnt by heart. Weights are not
+    # negative: a feature that clean documents have as often could only end at 0.
+    useful = (docs_with.sum(0) >= LEAST_DOCS) & (docs_with[1] * max(1, (~y).sum()) > LEAST_LIFT * docs_with[0] * max(1, y.sum()))
+    useful[-1] = False
+    n_words = len(features)
+    owner, slot = np.nonzero(useful[features])
+    feature = features[owner, slot]
+    del features
     used, feature = np.unique(feature, return_inverse=True)
     told = np.isin(words, owner)
     words, sentence = words[told], sentence[told]
@@ -88,12 +87,12 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[np.ndarray,
     w, bias = np.zeros(len(used)), np.full(1, -9.0)
     moments = [np.zeros((2, len(used))), np.zeros((2, 1))]
     for step in range(1, STEPS + 1):
-        by_word = np.bincount(owner, w[feature], len(vocab))
+        by_word = np.bincount(owner, w[feature], n_words)
         z = bias[0] + np.bincount(sentence, by_word[words], len(doc))
         total = np.bincount(doc, softplus(z), len(y))
         slope = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * weight
         gz = slope[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
-        gw = np.bincount(words, gz[sentence], len(vocab))
+        gw = np.bincount(words, gz[sentence], n_words)
         for x, g, m in ((w, np.bincount(feature, gw[owner], len(used)), moments[0]), (bias, np.array([gz.sum()]), moments[1])):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.01 * (g * g - m[1])
