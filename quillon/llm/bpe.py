@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_texts, map_arrow
+from .common import doc_texts, map_arrow, worker_cache
 
 #: Words kept encoded per Python worker, twice: when full, the cache becomes the older half.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 NO_RANK = 1 << 60
 UINT32 = "I"
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -210,16 +210,9 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[int, int], WordBpe] = {}
-
-
 def loaded(spec: bytes, scan_words: int = 0) -> WordBpe:
-    """One encoder per vocabulary and Python worker."""
-    key = (zlib.crc32(spec), scan_words)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(spec, scan_words=scan_words)
-    return _LOADED[key]
+    """One encoder per Python worker, for one vocabulary at a time."""
+    return worker_cache(("bpe", zlib.crc32(spec), scan_words), lambda: WordBpe(spec, scan_words=scan_words))
 
 
 def vocabulary(spark, path: str | None = None):
@@ -248,7 +241,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "ids", "decoded"],
             )
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, ids array<long>, decoded string")
+    return map_arrow(doc_texts(docs), run, "doc_id long, ids array<long>, decoded string", cached=True)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -267,4 +260,4 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(sha(bpe.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(doc_texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", cached=True)

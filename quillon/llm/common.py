@@ -1,10 +1,14 @@
 """Helpers that every operator of this subpackage uses."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +39,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
-    """mapInArrow whose Python workers can import this package."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return df.mapInArrow(func, schema)
+_KEPT: dict[object, object] = {}
+
+
+def worker_cache(key, make):
+    """make()'s value, kept in the Python worker until another key is asked for: one operator's cache at a time."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
+def release() -> None:
+    """Drop the worker's cache and hand free memory back: workers live on from stage to stage."""
+    if _KEPT:
+        _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
-def map_pandas(df: DataFrame, func, schema: str) -> DataFrame:
+
+def map_arrow(df: DataFrame, func, schema: str, cached: bool = False) -> DataFrame:
+    """mapInArrow whose Python workers can import this package; without `cached`, a worker's cache goes first."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return df.mapInPandas(func, schema)
+
+    def run(batches):
+        if not cached:
+            release()
+        yield from func(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:

@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, doc_texts, map_arrow, staged
+from .common import BROADCAST_BYTES, doc_texts, map_arrow, staged, worker_cache
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most signature values; more rows in a band mean fewer false candidates and more values.
 SIGNATURE = 112
 #: Bounds of a block: nodes, and n-grams over all its nodes.
-BLOCK_NODES, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_NODES, BLOCK_GRAMS = 256, 500_000
+#: Words whose hashes a worker keeps.
+HASHED_WORDS = 200_000
 WORD = re.compile(r"[^ \t-\r]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,19 +56,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= HASHED_WORDS:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
 
 
-_HASHES = _Hashes()
-
-
 def grams(text: str, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams."""
     words = WORD.findall(text)
-    w = np.fromiter(map(_HASHES.__getitem__, words), "u8", len(words))
+    w = np.fromiter(map(worker_cache("words", _Hashes).__getitem__, words), "u8", len(words))
     if not len(w):
         return w
     k = min(n, len(w))
@@ -107,7 +106,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 keys.append(sign(g) if len(g) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "keys"])
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, set_id binary, n int, keys array<long>")
+    return map_arrow(doc_texts(docs), run, "doc_id long, set_id binary, n int, keys array<long>", cached=True)
 
 
 def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray, threshold: float) -> np.ndarray:
@@ -222,7 +221,7 @@ def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
             g = [grams(t.as_py(), n) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in g], pa.binary()), pa.array([x.tobytes() for x in g], pa.binary())], ["rep", "set_id", "grams"])
 
-    full = map_arrow(texts, sets, "rep long, set_id binary, grams binary").join(nodes.select("set_id", "rep", "mult", "keys"), ["set_id", "rep"]).dropDuplicates(["set_id"])
+    full = map_arrow(texts, sets, "rep long, set_id binary, grams binary", cached=True).join(nodes.select("set_id", "rep", "mult", "keys"), ["set_id", "rep"]).dropDuplicates(["set_id"])
     sub = F.pmod(F.xxhash64("set_id"), F.col("split")).cast("int")
     blocks = (
         tested.withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))

@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(doc_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long", cached=True)
 
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
