@@ -5,8 +5,9 @@ one row per digest (partial aggregation first, so a text that a third of all row
 share costs one row per task), joined to the index by a sort-merge anti-join in
 which the index side needs no shuffle, and what is new is appended.
 
-Null text counts as empty; empty texts are equal to each other. Rows that repeat
-a doc_id are rows of their own. Ties in length go to the smallest doc_id.
+Null text counts as empty; empty texts are equal to each other. Ties in length go to
+the smallest doc_id, a null one first. Rows that repeat a doc_id and its text share
+one verdict. group_size counts the batch that brought the digest into the index.
 """
 from __future__ import annotations
 
@@ -53,7 +54,7 @@ class DigestIndex:
     def resolve(self, docs: DataFrame) -> DataFrame:
         """Every row of docs with the row that stays for its text."""
         found = digests(docs).join(self.read().hint("merge"), "text_sha256", "left")
-        return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

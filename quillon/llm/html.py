@@ -3,8 +3,8 @@
 Pass one parses each page, scores its containers by the text of their blocks less
 the text of links, and names the best one by its generalised path: tags and sorted
 classes from the body down, digits as '#'. Spark counts the votes of a host's pages
-for each path. Pass two extracts again: from the outermost containers on a winning
-path of the host, or from the page's own best container where no winner occurs.
+for each path. Pass two extracts again: from the containers on the host's most voted
+path that the page has, or from its own best container where no winner occurs.
 
 Null, empty and text-only pages, unclosed tags and comments, and pages without a
 host (a null or odd URL) are all handled; an empty result is the empty string. Hosts
@@ -178,12 +178,13 @@ def texts_in(blocks: list[tuple[Node, str]], chosen: set[int]) -> str:
     return "\n\n".join(out)
 
 
-def extract(html: str, winners: set[str]) -> tuple[str, str]:
-    """Main text of a page and the path it came from."""
+def extract(html: str, winners: list[str]) -> tuple[str, str]:
+    """Main text of a page and the path it came from: the first winner that holds text, else the page's own best."""
     nodes, blocks = parse(html)
-    chosen = {x.order for x in nodes if x.path in winners and x.tag in CONTAINER and not x.dropped} if winners else set()
-    if chosen and (text := texts_in(blocks, chosen)):
-        return text, next(x.path for x in nodes if x.order in chosen)
+    for path in winners:
+        chosen = {x.order for x in nodes if x.path == path and x.tag in CONTAINER and not x.dropped}
+        if chosen and (text := texts_in(blocks, chosen)):
+            return text, path
     best = best_container(nodes, blocks)
     return texts_in(blocks, {best.order}), best.path
 
@@ -198,16 +199,19 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            paths = [best_container(*parse(t.as_py())).path for t in b.column("html")]
+            paths = []
+            for t in b.column("html"):
+                nodes, blocks = parse(t.as_py())
+                paths.append(best_container(nodes, blocks).path if blocks else None)  # a page without text has no vote
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
-    return map_arrow(pages_by_host(pages).select("host", "html"), run, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    return map_arrow(pages_by_host(pages).select("host", "html"), run, "host string, path string").filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def winning_paths(votes: DataFrame, share: float = WIN_SHARE) -> DataFrame:
-    """(host, winners): the paths with at least the share of their host's votes, so 1 / share of them at most."""
+    """(host, winners): the paths with at least the share of their host's votes, most votes first; 1 / share of them at most."""
     all_votes = F.sum("votes").over(Window.partitionBy("host"))
-    return votes.withColumn("all", all_votes).filter(F.col("votes") >= share * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("winners"))
+    return votes.withColumn("all", all_votes).filter(F.col("votes") >= share * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path")))["path"].alias("winners"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -218,7 +222,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [extract(h.as_py(), set(w.as_py() or ())) for h, w in zip(b.column("html"), b.column("winners"))]
+            found = [extract(h.as_py(), w.as_py() or []) for h, w in zip(b.column("html"), b.column("winners"))]
             text = [t for t, _ in found]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([p for _, p in found], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 

@@ -11,7 +11,8 @@ pairs. Roots are joined to components by label propagation in tables.
 Words are runs of characters other than space and \\t to \\r, compared as they are.
 A text of fewer words than n has one n-gram, all its words. Texts without words
 (null and empty ones too) have no n-grams and no links. Rows that repeat a doc_id
-count as one document whose classes are merged.
+count as one document whose classes are merged. A row with a null doc_id gets the class
+of its n-gram set, if another row has that set, and is never one that stands for it.
 """
 from __future__ import annotations
 
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_arrow(doc_texts(docs), run, "doc_id long, set_id binary, n int, keys array<long>", cached=True)
 
 
-def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray, threshold: float) -> np.ndarray:
+def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray | None, threshold: float) -> np.ndarray:
     """Symmetric matrix of the pairs of a block that reach the threshold and are this bucket's to test."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -118,7 +119,7 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray,
         same = keys[a + 1 :] == keys[a]
         test[a, a + 1 :] = keys[a][same.argmax(1)] == key
         test[a, a + 1 :] &= same.any(1)
-    if side[0] != side[-1]:
+    if side is not None:  # a block of two parts: pairs inside a part belong to that part's own block
         test &= side[:, None] != side[None, :]
     test &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
     at, to = np.nonzero(test)
@@ -153,7 +154,7 @@ def block_rows(batches, threshold: float):
 
     def solve(block, rows):
         reps = np.array([r[1] for r in rows])
-        links = linked([np.frombuffer(r[4], "u8") for r in rows], np.array([r[3] for r in rows]), block[0], np.array([r[0] for r in rows]), threshold)
+        links = linked([np.frombuffer(r[4], "u8") for r in rows], np.array([r[3] for r in rows]), block[0], np.array([r[0] for r in rows]) if block[1] != block[2] else None, threshold)
         mult = np.array([r[2] for r in rows])
         root = reps.copy()
         while len(rows) > 1:
@@ -201,7 +202,7 @@ def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     """doc_id, class_id (smallest doc_id of the component) and n_links (other documents at the threshold or above)."""
     bands, rows = bands_for(threshold, recall)
     sig = staged(signatures(docs, n, bands, rows), "signatures")
-    nodes = sig.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = sig.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = staged(nodes, "nodes")
     keyed = nodes.select("set_id", "rep", "n", F.posexplode("keys").alias("band", "key"))
     mark = [F.bit_xor(F.xxhash64("set_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]

@@ -170,4 +170,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([[{"start": i, "end": j, "score": p} for i, j, p in x] for _, x in found], kind)], ["doc_id", "score", "offending"])
 
     out = map_arrow(doc_texts(docs), run, "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "offending")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "offending")
