@@ -56,7 +56,7 @@ def rank_prompt(spark, d):
     return g.select("task_id", F.concat(F.lit("Task: "), "task", F.lit("\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n")).alias("prompt"))
 
 
-@query(f"{_W}, {_SEL} SELECT r.task_id, round(coalesce(least(1.0, CASE WHEN min_by(score, rank) > 0.8 THEN avg(score) * 1.1 ELSE avg(score) END), 0), 6) AS confidence FROM (SELECT DISTINCT task_id FROM rankings) r LEFT JOIN s ON s.task_id = r.task_id GROUP BY r.task_id")
+@query(f"{_W}, {_SEL} SELECT r.task_id, round(least(1.0, coalesce(CASE WHEN min_by(score, rank) > 0.8 THEN avg(score) * 1.1 ELSE avg(score) END, 0)), 6) AS confidence FROM (SELECT DISTINCT task_id FROM rankings) r LEFT JOIN s ON s.task_id = r.task_id GROUP BY r.task_id")
 def route_confidence(spark, d):
     tasks = _rankings(spark, d).select("task_id").distinct()
     return tasks.join(_selection(spark, d), "task_id", "left").groupBy("task_id").agg(F.round(R.confidence(F.col("score"), F.col("rank")), 6).alias("confidence"))

@@ -17,6 +17,11 @@ LEVELS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def frontmatter(content: Column) -> Column:
     """Text between the first pair of --- lines; empty if there is none."""
     return F.regexp_extract(content, FRONT, 1)
@@ -34,8 +39,8 @@ def lenient_fields(front: Column) -> Column:
     """Map of `key: value` lines, comments and empty values left out; indented keys count like others, the last of a key stays."""
     lines = F.filter(F.transform(F.split(front, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z][\w-]*:\s*\S") & ~x.startswith("#"))
     entries = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), unquoted(F.regexp_extract(x, r"^[\w-]+:\s*(.*)$", 1)).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(let(entries, last))
 
 
 def h1_title(content: Column, default: Column) -> Column:

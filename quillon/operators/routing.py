@@ -41,7 +41,7 @@ def selected(rankings: DataFrame, drafts: DataFrame, most: int = 0, categories:
 def confidence(scores: Column, rank: Column) -> Column:
     """Mean score, a tenth more where the first exceeds 0.8, at most 1; 0 without scores."""
     mean = F.avg(scores)
-    return F.coalesce(F.least(F.lit(1.0), F.when(F.min_by(scores, rank) > 0.8, mean * 1.1).otherwise(mean)), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(F.when(F.min_by(scores, rank) > 0.8, mean * 1.1).otherwise(mean), F.lit(0.0)))
 
 
 def prompt_line(rank: Column, name: Column, category: Column) -> Column:

@@ -19,7 +19,7 @@ def scan_documents(spark: SparkSession, *folders: str) -> DataFrame:
     """(dir_rank, path, content) of every SKILL.md below the folders, in their order."""
     out = None
     for rank, folder in enumerate(folders):
-        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").option("wholetext", "true").text(folder)
+        rows = spark.read.text(folder, wholetext=True, pathGlobFilter="SKILL.md", recursiveFileLookup=True)
         rows = rows.select(F.lit(rank).alias("dir_rank"), F.input_file_name().alias("path"), F.col("value").alias("content"))
         out = rows if out is None else out.unionByName(rows)
     return out
