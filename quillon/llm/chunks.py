@@ -91,6 +91,7 @@ def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     one = table.select("doc_id", F.posexplode("digests").alias("k", "digest"), "ends")
     one = one.select("doc_id", "k", "digest", F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0).alias("start"), F.get("ends", F.col("k")).alias("end"))
     shared = table.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).filter("first_doc_id < last").drop("last")
+    shared = staged(shared, "shared")  # as a table, so that the join shuffles both sides and Spark can split a common digest
     again = one.join(shared, "digest")
     by_doc = Window.partitionBy("doc_id").orderBy("k")
     runs = again.withColumn("run", F.col("k") - F.dense_rank().over(by_doc))
