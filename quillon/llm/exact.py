@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_dir
+from .common import SPACES, shared_dir, staged
 
 BUCKETS = 32
 
@@ -40,10 +40,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, docs: DataFrame) -> None:
-        """Add the digests of docs that the index does not hold yet."""
+    def append(self, found: DataFrame) -> None:
+        """Add the digests that the index does not hold yet."""
         best = F.min(F.struct((-F.col("n")).alias("n"), "doc_id"))
-        batch = digests(docs).groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
+        batch = found.groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
         if self.exists():
             batch = batch.join(self.read().hint("merge"), "text_sha256", "left_anti")
         writer = batch.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
@@ -51,14 +51,20 @@ class DigestIndex:
             writer = writer.option("path", f"{shared_dir(self.spark)}/{self.table}")
         writer.mode("append").saveAsTable(self.table)
 
-    def resolve(self, docs: DataFrame) -> DataFrame:
-        """Every row of docs with the row that stays for its text."""
-        found = digests(docs).join(self.read().hint("merge"), "text_sha256", "left")
-        return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    def resolve(self, found: DataFrame) -> DataFrame:
+        """Every row with the row that stays for its text.
+
+        The index is first cut down to the digests at hand. Joining that table leaves both
+        sides to a shuffle, so Spark can split a digest that many rows share.
+        """
+        known = staged(found.select("text_sha256").distinct().join(self.read().hint("merge"), "text_sha256"), "known")
+        out = found.join(known, "text_sha256", "left")
+        return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """Append docs to the index (a new one by default) and resolve every row."""
     index = index or DigestIndex(docs.sparkSession)
-    index.append(docs)
-    return index.resolve(docs)
+    found = staged(digests(docs), "digests")
+    index.append(found)
+    return index.resolve(found)
