@@ -29,8 +29,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# Cyrillic and Greek letters that look like Latin ones.
-HOMOGLYPHS = dict(zip("авесіјкмнорѕтухԁԛԝАВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιν", "abecijkmhopstyxdqwABESIJKMHOPCTYXABEZHIKMNOPTYXaoiv"))
+# Cyrillic, Greek and other letters that look like Latin ones, then signs that look like ASCII ones.
+HOMOGLYPHS = dict(zip("авесіјкмнорѕтухԁԛԝһӏѵАВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινρυκɡı", "abecijkmhopstyxdqwhlvABESIJKMHOPCTYXABEZHIKMNOPTYXaoivpukgi"))
+HOMOGLYPHS |= dict(zip("\u2024\u3002\uff61\ufe52\ufe6b\u2010\u2011\u2012\u2013\u2212\u00a0\u2009\u202f", "....@-----   "))
 # Spelled digits of English, German, French and Spanish.
 SPELLED = {
     w: str(d)
@@ -45,24 +46,26 @@ SPELLED = {
 AT = r"at|arroba|arobase|chez"
 DOT = r"dot|punkt|point|punto"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-SIGN_AT = rf"[ \t]*{OPEN}[ \t]*(?:{AT}|@)[ \t]*{CLOSE}[ \t]*"
-SIGN_DOT = rf"[ \t]*{OPEN}[ \t]*(?:{DOT}|\.)[ \t]*{CLOSE}[ \t]*"
+SIGN_AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT}|@)[ \t]*{CLOSE}[ \t]*|_(?:{AT})_)"
+SIGN_DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT}|\.)[ \t]*{CLOSE}[ \t]*|_(?:{DOT})_)"
 BARE_AT, BARE_DOT = rf"[ \t]+(?:{AT})[ \t]+", rf"[ \t]+(?:{DOT})[ \t]+"
 NAME = r"[a-z0-9_%+-]{1,64}"
 HOST = r"[a-z0-9-]{1,63}"
 #: An address whose at sign, or whose dots, are disguised. A bare word for "at" needs a disguised dot after it.
 ADDRESS = re.compile(
     rf"(?<![a-z0-9._%+-]){NAME}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){NAME}){{0,4}}"
-    rf"(?:(?:{SIGN_AT}|@){HOST}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})+|{BARE_AT}{HOST}(?:(?:{SIGN_DOT}|{BARE_DOT}){HOST})(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})*)",
+    rf"(?:(?:{SIGN_AT}|@){HOST}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})+|{BARE_AT}{HOST}(?:\.{HOST}){{0,4}}(?:{SIGN_DOT}|{BARE_DOT}){HOST}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})*)",
     re.I,
 )
 ANY_AT, ANY_DOT = re.compile(rf"{SIGN_AT}|{BARE_AT}", re.I), re.compile(rf"{SIGN_DOT}|{BARE_DOT}", re.I)
+#: Four groups of digits between which dots are disguised.
+DOTTED = re.compile(rf"(?<![\w.])[0-9]{{1,3}}+(?:(?:\.|{SIGN_DOT}|{BARE_DOT})[0-9]{{1,3}}+){{3}}(?!\w)", re.I)
 _D = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: Four or more digits in a row of which two or more are spelled.
-DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_D}|[0-9]+)(?:(?:[ \t]*[-,.][ \t]*|[ \t]+|[ \t]+(?:{DOT})[ \t]+)(?:{_D}|[0-9]+)){{3,}}(?!\w)", re.I)
-DIGIT_PART = re.compile(rf"(?P<word>{_D})|(?P<plus>plus[ \t]+)|(?P<dot>[ \t]+(?:{DOT})[ \t]+)|(?P<gap>(?:[ \t]*[-,][ \t]*|[ \t]+))", re.I)
+DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_D}|[0-9]+)(?:(?:[ \t]*[-,.][ \t]*|[ \t]+|{SIGN_DOT}|{BARE_DOT})(?:{_D}|[0-9]+)){{3,}}(?!\w)", re.I)
+DIGIT_PART = re.compile(rf"(?P<word>{_D})|(?P<plus>plus[ \t]+)|(?P<dot>{SIGN_DOT}|{BARE_DOT})|(?P<gap>(?:[ \t]*[-,][ \t]*|[ \t]+))", re.I)
 #: What a text with disguises holds; the others take only the base detectors.
-WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|[ \t](?:{DOT})[ \t]", re.I)
+WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|[ \t_](?:{DOT})[ \t_]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -143,7 +146,7 @@ def plain_letter(c: str) -> str | None:
 
 
 def normalise(text: str) -> Tape:
-    """Homoglyphs, then disguised at and dot signs inside addresses, then spelled digits."""
+    """Homoglyphs, then disguised at and dot signs inside addresses of both kinds, then spelled digits."""
     tape = Tape(text)
     if not text.isascii():
         edits = [(i, i + 1, p) for i, c in enumerate(text) if c > "\x7f" and (p := plain_letter(c)) is not None]
@@ -154,6 +157,7 @@ def normalise(text: str) -> Tape:
             found = [(m.start() + x.start(), m.start() + x.end(), sign) for pattern, sign in ((ANY_AT, "@"), (ANY_DOT, ".")) for x in pattern.finditer(m[0])]
             edits += sorted(found)
         tape.rewrite(edits)
+        tape.rewrite([(m.start() + x.start(), m.start() + x.end(), ".") for m in DOTTED.finditer(tape.text) for x in ANY_DOT.finditer(m[0])])
     edits = []
     for m in DIGIT_RUN.finditer(tape.text):
         found, spelled = [], 0
