@@ -65,7 +65,7 @@ _D = "|".join(sorted(SPELLED, key=len, reverse=True))
 DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_D}|[0-9]+)(?:(?:[ \t]*[-,.][ \t]*|[ \t]+|{SIGN_DOT}|{BARE_DOT})(?:{_D}|[0-9]+)){{3,}}(?!\w)", re.I)
 DIGIT_PART = re.compile(rf"(?P<word>{_D})|(?P<plus>plus[ \t]+)|(?P<dot>{SIGN_DOT}|{BARE_DOT})|(?P<gap>(?:[ \t]*[-,][ \t]*|[ \t]+))", re.I)
 #: What a text with disguises holds; the others take only the base detectors.
-WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|[ \t_](?:{DOT})[ \t_]", re.I)
+WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|_(?:{AT})_|[ \t_](?:{DOT})[ \t_]", re.I)
 
 
 def luhn(digits: str) -> bool:
