@@ -1,14 +1,18 @@
 """Execution plans of selected skills: strategy, dependencies, steps, stages and run control."""
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 STEPS, TIMEOUT_MS, PARALLEL, RETRIES = 5, 30_000, 3, 2
 
 
@@ -47,12 +51,34 @@ def invalid(plan: DataFrame) -> DataFrame:
     return waits.join(ok, ["task_id", "step"], "left_anti").select("task_id", "step", "name", "depends_on")
 
 
+def step_stages(rows: pd.DataFrame) -> pd.DataFrame:
+    """(task_id, name, stage) of the steps of one plan; rows of one name are one step that waits for all they name."""
+    waits: dict = {}
+    for name, on in zip(rows["name"], rows["depends_on"]):
+        waits.setdefault(name, set()).update([] if pd.isna(on) else [on])
+    after: dict = {}
+    for name, on in waits.items():
+        for x in on:
+            after.setdefault(x, []).append(name)
+    left = {name: len(on) for name, on in waits.items()}
+    stage, ready, depth = {}, [name for name, n in left.items() if not n], 0
+    while ready:
+        following = []
+        for name in ready:
+            stage[name] = depth
+            for x in after.get(name, ()):
+                left[x] -= 1
+                if not left[x]:
+                    following.append(x)
+        ready, depth = following, depth + 1
+    return pd.DataFrame({"task_id": rows["task_id"].iloc[0], "name": list(waits), "stage": pd.array([stage.get(n) for n in waits], "Int32")})
+
+
 def stages(plan: DataFrame) -> DataFrame:
-    """(task_id, stage, names, kind): steps by the length of their chain; plans have at most STEPS steps, so as many rounds do."""
-    level = plan.select("task_id", "name", "depends_on", F.when(F.col("depends_on").isNull(), 0).alias("stage"))
-    for _ in range(STEPS - 1):
-        known = level.filter("stage is not null").select("task_id", F.col("name").alias("depends_on"), (F.col("stage") + 1).alias("after"))
-        level = level.join(known, ["task_id", "depends_on"], "left").select("task_id", "name", "depends_on", F.coalesce("stage", "after").alias("stage"))
+    """(task_id, stage, names, kind): steps by the length of their chain, however long; each plan is worked out in one piece."""
+    plan.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    schema = T.StructType([plan.schema["task_id"], plan.schema["name"], T.StructField("stage", T.IntegerType())])
+    level = plan.select("task_id", "name", "depends_on").groupBy("task_id").applyInPandas(step_stages, schema)
     # Steps on a cycle, or waiting for a missing one, have no stage.
     grouped = level.groupBy("task_id", "stage").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"), F.count("*").alias("n"))
     return grouped.select("task_id", "stage", "names", F.when(F.col("n") > 1, "parallel-group").otherwise("single").alias("kind"))

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import quillon.catalog  # noqa: F401
 from quillon.engine import Engine, compressed_versions
 from quillon.functions import markdown as M
 from quillon.functions import vectors as V
@@ -14,6 +15,7 @@ from quillon.functions.code import metrics_of, signature_of
 from quillon.functions.hashing import lcg_vector, text_hash
 from quillon.operators import corpus, evaluation, graph, routing, safety, search, state
 from quillon.plans import planner
+from quillon.registry import QUERIES
 from quillon.sources import logs, tables
 from quillon.streaming import state as streams
 
@@ -137,6 +139,24 @@ def test_plans(spark):
     assert len(planner.run_steps(t, [{"name": "ok"}] * 3, parallel=2, retries=0)) == 3
 
 
+def test_stages_of_long_plans(spark):
+    rows = [(1, k, f"s{k}", f"s{k - 1}" if k else None) for k in range(300)] + [(2, 0, "x", "y"), (2, 1, "y", "x"), (2, 2, "z", "gone"), (2, 3, "free", None)]
+    rows += [(None, 0, "a", None), (None, 1, "b", "a")]
+    plan = spark.createDataFrame(rows, "task_id long, step int, name string, depends_on string")
+    got = {(r.task_id, r.stage): (r.names, r.kind) for r in planner.stages(plan).collect()}
+    want = {(1, k): (f"s{k}", "single") for k in range(300)}
+    want |= {(2, 0): ("free", "single"), (2, None): ("x,y,z", "parallel-group"), (None, 0): ("a", "single"), (None, 1): ("b", "single")}
+    assert got == want
+
+
+def test_whole_plans(spark, sf_dir):
+    every = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct().collect()
+    rows = QUERIES["plan_stages_all"](spark, sf_dir).collect()
+    assert sorted((r.task_id, n) for r in rows for n in r.names.split(",")) == sorted((c, f"s{t}") for c, t in every)
+    late = {(r.task_id, r.step) for r in QUERIES["plan_validate_all"](spark, sf_dir).collect()}
+    assert {(c, t) for c, t in every if t == 5} <= late
+
+
 def test_links(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", "x"), ("c", "b"), ("b", "d"), ("d", "e")], "src string, dst string")
     n = spark.createDataFrame([(x, "k") for x in "abcde"], "name string, category string")
