@@ -149,6 +149,27 @@ def curated_links(spark, d):
     return G.shared_groups(m.select("grp", "name")).union(across).distinct()
 
 
+#: Curated groups of curated_links_all: literal lists, whole by definition.
+CURATED = (
+    ("src0", ("doc-00000000", "doc-00000040", "doc-00000100", "doc-00000160")),
+    ("src1", ("doc-00000001", "doc-00000021", "doc-00000061", "doc-00000121", "doc-00000181")),
+    ("src2", ("doc-00000022", "doc-00000082", "doc-00000102")),
+    ("src3", ("doc-00000003", "doc-00000043", "doc-00000083", "doc-00000123", "doc-00000163", "doc-00000183")),
+    ("src4", ("doc-00000024", "doc-00000044", "doc-00000144")),
+    ("src9", ("doc-00000009", "doc-00000089", "doc-00000129", "doc-00000169")),
+)
+_CU = "cu AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{n}')" for g, names in CURATED for n in names) + ") v(grp, name))"
+
+
+@query(f"""WITH @skills, {_FL}, {_CU}, c AS (SELECT DISTINCT cu.grp, cu.name FROM cu JOIN skills s ON s.name = cu.name), h AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name) AS k FROM c)
+SELECT a.name AS src, b.name AS dst FROM c a JOIN c b ON a.grp = b.grp AND a.name <> b.name UNION SELECT s.name, h.name FROM skills s JOIN f ON s.category = f.grp JOIN h ON h.grp = f.to_grp AND h.k <= 2 WHERE s.name <> h.name""")
+def curated_links_all(spark, d):
+    """Every pair of a curated group, and for every document of a mapped category the first two of each group that it maps to."""
+    names = source(spark, d, "skills").select("name", F.col("category").alias("grp"))
+    listed = spark.createDataFrame([(g, n) for g, group in CURATED for n in group], "grp string, name string")
+    return G.curated(names, listed, spark.createDataFrame(_FLOW, "grp string, to_grp string, pos int"))
+
+
 @query("SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey")
 def all_pairs_links(spark, d):
     """The complete graph of one small group of a fixed size."""

@@ -160,3 +160,11 @@ def shared_groups(groups: DataFrame) -> DataFrame:
     a, b = groups.select("grp", F.col("name").alias("src")), groups.select("grp", F.col("name").alias("dst"))
     return a.join(b, "grp").filter("src <> dst").select("src", "dst").distinct()
 
+
+def curated(members: DataFrame, listed: DataFrame, flow: DataFrame, two: int = 2) -> DataFrame:
+    """(src, dst): all pairs of each listed group, and from every member to the first `two` of the groups that the flow maps its own to."""
+    found = listed.join(members.select("name").distinct(), "name", "left_semi").select("grp", "name").distinct()
+    heads = found.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("name"))).filter(F.col("k") <= two).select(F.col("grp").alias("to_grp"), F.col("name").alias("dst"))
+    ways = flow.join(heads, "to_grp").select("grp", "dst")
+    across = members.select(F.col("name").alias("src"), "grp").join(F.broadcast(ways), "grp").filter("src <> dst").select("src", "dst")
+    return shared_groups(found).union(across).distinct()

@@ -167,6 +167,21 @@ def test_links(spark):
     assert {tuple(r) for r in s.collect()} == {tuple(r) for r in graph.symmetrised(s).collect()}
 
 
+def test_curated_links_reach_every_document(spark, sf_dir):
+    from quillon.catalog.graph import _FLOW, CURATED
+
+    lists = dict(CURATED)
+    docs = [(f"doc-{r.doc_id:08d}", r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()]
+    want = {(a, b) for names in lists.values() for a in names for b in names if a != b}
+    want |= {(n, x) for n, c in docs for grp, to, _ in _FLOW if grp == c for x in sorted(lists[to])[:2] if x != n}
+    assert {tuple(r) for r in QUERIES["curated_links_all"](spark, sf_dir).collect()} == want
+    more = spark.createDataFrame([(f"n{k:03d}", "a") for k in range(50)] + [("z1", "b"), ("z2", "b")], "name string, grp string")
+    listed = spark.createDataFrame([("b", "z1"), ("b", "z2"), ("b", "gone")], "grp string, name string")
+    flow = spark.createDataFrame([("a", "b", 0)], "grp string, to_grp string, pos int")
+    got = {tuple(r) for r in graph.curated(more, listed, flow).collect()}
+    assert got == {(f"n{k:03d}", z) for k in range(50) for z in ("z1", "z2")} | {("z1", "z2"), ("z2", "z1")}
+
+
 def test_suggestions_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(graph, "BLOCK", 4)
     rng = np.random.default_rng(3)
