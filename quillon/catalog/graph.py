@@ -125,6 +125,14 @@ def shared_group_links(spark, d):
     return G.shared_groups(_bins(spark, d))
 
 
+@query(f"""WITH @skills, {_HITS}, m AS (SELECT name, string_agg(grp, '+' ORDER BY grp) AS grps FROM h GROUP BY name), s AS (SELECT DISTINCT grps, grp FROM m JOIN h ON h.name = m.name)
+SELECT 'member' AS kind, name AS src, grps AS dst FROM m UNION ALL SELECT DISTINCT 'link', a.grps, b.grps FROM s a JOIN s b ON a.grp = b.grp""")
+def shared_keyword_links(spark, d):
+    """Links of documents that share a keyword group, over the whole corpus: members of group sets, and linked sets."""
+    # The same names and texts as in skills, without its join to labels, which would shuffle the texts.
+    return G.shared_group_sets(G.keyword_groups(source(spark, d, "md").select("name", "text"), _keyworded(spark, d)[1]))
+
+
 _FLOW = [("src0", "src1", 0), ("src0", "src2", 1), ("src1", "src2", 0), ("src2", "src0", 0), ("src3", "src1", 0), ("src3", "src9", 1), ("src3", "src4", 2)]
 _FL = "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _FLOW) + ") v(grp, to_grp, pos))"
 

@@ -161,6 +161,21 @@ def shared_groups(groups: DataFrame) -> DataFrame:
     return a.join(b, "grp").filter("src <> dst").select("src", "dst").distinct()
 
 
+def shared_group_sets(groups: DataFrame) -> DataFrame:
+    """(kind, src, dst): the links of shared_groups without their pairs, which grow with the square of the documents.
+
+    Rows of kind 'member' give each document the set of its groups; rows of kind 'link' join
+    sets that share a group, a set with itself too. Two different documents share a group
+    exactly if their sets are linked, so nothing is left out.
+    """
+    pairs = groups.filter("grp is not null").select("name", "grp").distinct()
+    members = pairs.groupBy("name").agg(F.sort_array(F.collect_list("grp")).alias("grps"))
+    sets = members.select("grps").distinct().withColumn("set", F.array_join("grps", "+"))
+    of = sets.select("set", F.explode("grps").alias("grp"))
+    links = of.withColumnRenamed("set", "src").join(of.withColumnRenamed("set", "dst"), "grp").select("src", "dst").distinct()
+    return members.select(F.lit("member").alias("kind"), F.col("name").alias("src"), F.array_join("grps", "+").alias("dst")).union(links.select(F.lit("link"), "src", "dst"))
+
+
 def curated(members: DataFrame, listed: DataFrame, flow: DataFrame, two: int = 2) -> DataFrame:
     """(src, dst): all pairs of each listed group, and from every member to the first `two` of the groups that the flow maps its own to."""
     found = listed.join(members.select("name").distinct(), "name", "left_semi").select("grp", "name").distinct()

@@ -182,6 +182,18 @@ def test_curated_links_reach_every_document(spark, sf_dir):
     assert got == {(f"n{k:03d}", z) for k in range(50) for z in ("z1", "z2")} | {("z1", "z2"), ("z2", "z1")}
 
 
+def test_shared_keyword_links_are_whole(spark, sf_dir):
+    from quillon.catalog.graph import _keyworded
+
+    rows = QUERIES["shared_keyword_links"](spark, sf_dir).collect()
+    members = {r.src: r.dst for r in rows if r.kind == "member"}
+    links = {(r.src, r.dst) for r in rows if r.kind == "link"}
+    groups = graph.keyword_groups(*_keyworded(spark, sf_dir))
+    want = {tuple(r) for r in graph.shared_groups(groups).collect()}
+    assert {(a, b) for a in members for b in members if a != b and (members[a], members[b]) in links} == want
+    assert len(rows) == len(members) + len(links) and len(members) == groups.select("name").distinct().count()
+
+
 def test_suggestions_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(graph, "BLOCK", 4)
     rng = np.random.default_rng(3)
