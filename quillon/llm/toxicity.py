@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,15 +113,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = known.filter("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.filter("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = doc_texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    # Sums of lengths keep what reaches the driver below SAMPLE_CHARS.
-    sizes = sorted((r[0] * 0x9E3779B1 % (1 << 32), r[0], r[1]) for r in rows.select("doc_id", F.length("text")).collect())
+    # Sums of lengths keep what reaches the driver below SAMPLE_CHARS; rows that do not fit are passed over.
+    sizes = Counter((r[0] * 0x9E3779B1 % (1 << 32), r[0], r[1]) for r in rows.select("doc_id", F.length("text")).collect())
     total, kept = 0, []
-    for _, i, size in sizes:
-        total += size
-        if total <= SAMPLE_CHARS:
-            kept.append(i)
+    for (_, i, size), n_rows in sorted(sizes.items()):
+        if total + size * n_rows <= SAMPLE_CHARS:
+            total += size * n_rows
+            kept.append((i, size))
     if len(kept) < len(sizes):
-        rows = rows.filter(F.col("doc_id").isin(kept))
+        fit = docs.sparkSession.createDataFrame(kept, "doc_id long, size int")
+        rows = rows.withColumn("size", F.length("text")).join(F.broadcast(fit), ["doc_id", "size"]).drop("size")
     got = sorted(map(tuple, rows.collect()))
     return [t for _, t, _ in got], np.array([y > 0 for _, _, y in got], bool), n.get(True, 0) / max(1, sum(n.values()))
 

@@ -232,6 +232,18 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.toxicity_scores(docs, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_sample_passes_over_rows_that_do_not_fit(spark, monkeypatch):
+    ids = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: i * 0x9E3779B1 % (1 << 32))
+    texts = [(i, f"{i:04d}") for i in ids] + [(ids[0], "x" * 10_000), (ids[3], "y" * 500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4 * len(ids))
+    got, y, _ = toxicity.labelled_sample(df, labels)
+    assert got == [f"{i:04d}" for i in sorted(ids)] and list(y) == [ids.index(i) % 2 == 1 for i in sorted(ids)]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4 * len(ids) - 1)
+    assert len(toxicity.labelled_sample(df, labels)[0]) == len(ids) - 1
+
+
 # 5
 
 
