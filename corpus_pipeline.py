@@ -15,10 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose score marks them as toxic."""
-    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = staged(scores.filter("predicted = 1").select("doc_id").distinct(), "rejected")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    """Drop rows whose score marks them as toxic."""
+    return toxicity.clean_rows(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

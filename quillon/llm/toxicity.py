@@ -159,10 +159,27 @@ class Scorer:
         return float(-np.expm1(-softplus(np.array(z)).sum())) if z else 0.0, spans
 
 
+def fitted(docs: DataFrame, labels: DataFrame):
+    """Broadcast weights and bias of the bounded sample, 1 MB."""
+    texts, y, share = labelled_sample(docs, labels)
+    return docs.sparkSession.sparkContext.broadcast(fit(texts, y, share) if len(y) else (np.zeros(1 << BITS, "f4"), -30.0))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that toxicity_scores marks; each row is judged by its own text, whatever its doc_id."""
+    model = fitted(docs, labels)
+
+    def run(batches):
+        score = Scorer(*model.value)
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py() or "")[0] < CUT for t in b.column("text")], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of every document."""
-    texts, y, share = labelled_sample(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, share) if len(y) else (np.zeros(1 << BITS, "f4"), -30.0))  # 1 MB
+    model = fitted(docs, labels)
 
     def run(batches):
         score = Scorer(*model.value)

@@ -521,3 +521,16 @@ def test_stages_keep_columns(spark, sf_dir, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_toxicity_stage_judges_rows(spark, tmp_path):
+    df, labels = toxic_fixture(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    marked = {r.doc_id for r in toxicity.toxicity_scores(df, labels).filter("predicted = 1").collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    bad, good = next(i for i in texts if i in marked), next(i for i in texts if i not in marked)
+    free = 4_000_001
+    more = [(None, texts[bad]), (None, texts[good]), (free, texts[bad]), (free, texts[good]), (free, None)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [*texts.items(), *more]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.toxicity_stage(spark, rows, str(tmp_path)).collect())
+    assert got == Counter([*((i, t) for i, t in texts.items() if i not in marked), (None, texts[good]), (free, texts[good]), (free, None)])
