@@ -9,22 +9,28 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Tables at or below this many bytes may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bytes that a row key takes in a broadcast table.
+ROW_BYTES = 64
 #: White space of the text contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode where none is set."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -39,6 +45,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and filters over one table, so that each of its rows stands at a place of its own."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a key of the row that every scan gives alike: its place in the Parquet files.
+
+    What is not a plain scan of Parquet is staged first. `_row` takes the place of a column of that name.
+    """
+    for source in (docs, None):
+        try:
+            source = source if source is not None else staged(docs, "keyed")
+            if source is docs and not is_scan(docs):
+                continue
+            place = source.metadataColumn("_metadata")
+            return source.withColumn("_row", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
+        except AnalysisException:
+            if source is not docs:
+                raise
+
+
+def without(source: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of source whose `_row` is not among the dropped ones, which are broadcast below a checked size."""
+    dropped = staged(dropped.select("_row"), "dropped")
+    small = dropped.count() * ROW_BYTES <= BROADCAST_BYTES
+    return source.join(F.broadcast(dropped) if small else dropped, "_row", "left_anti").drop("_row")
+
+
 _KEPT: dict[object, object] = {}
 
 
@@ -73,8 +111,8 @@ def map_arrow(df: DataFrame, func, schema: str, cached: bool = False) -> DataFra
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, null text as the empty string; other columns are never read."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Only doc_id and text (and the row key, where there is one), null text as the empty string; other columns are never read."""
+    return docs.select(*(["_row"] if "_row" in docs.columns else []), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,70 +1,99 @@
 """Exact de-duplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest. A batch is reduced to
+The index is a Parquet table bucketed and sorted by digest, kept in a folder of its
+own: a later session that opens the folder goes on with it. A batch is reduced to
 one row per digest (partial aggregation first, so a text that a third of all rows
 share costs one row per task), joined to the index by a sort-merge anti-join in
 which the index side needs no shuffle, and what is new is appended.
 
 Null text counts as empty; empty texts are equal to each other. Ties in length go to
-the smallest doc_id, a null one first. Rows that repeat a doc_id and its text share
-one verdict. group_size counts the batch that brought the digest into the index.
+the smallest doc_id, a null one first. Every row counts: of rows that repeat a doc_id
+and its text one stays. group_size counts the rows of the batch that brought the digest
+into the index; no row of a later batch stays. A batch that is run again under its name
+finds its own digests and decides as before.
 """
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_dir, staged
+from .common import SPACES, keyed, shared_dir, staged, without
 
 BUCKETS = 32
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, length of the original text and digest of the text without white space."""
+def digests(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """A row key, doc_id, length of the original text and digest of the text without white space."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.length(text).alias("n"), F.sha2(F.translate(text, SPACES, ""), 256).alias("text_sha256"))
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row"), "doc_id", F.length(text).alias("n"), F.sha2(F.translate(text, SPACES, ""), 256).alias("text_sha256"))
 
 
 class DigestIndex:
-    """Table (text_sha256, keep_id, group_size), one row per digest seen so far."""
-
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.table = table or f"digest_index_{uuid.uuid4().hex}"
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    """Table (text_sha256, keep_id, group_size, batch), one row per digest seen so far, in a folder.
+
+    The folder's name holds the number of buckets, so that opening it needs no catalogue.
+    Without a path the index lives in the shared folder until it is closed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.lasting = spark, path is not None
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        held = [f.getPath().getName() for f in self.fs.listStatus(self.path)] if self.fs.exists(self.path) else []
+        self.buckets = next((int(n.removeprefix("buckets-")) for n in held if n.startswith("buckets-")), buckets)
+        self.table = f"digest_index_{uuid.uuid4().hex}"
+        place = f"{self.path.toString()}/buckets-{self.buckets}".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {self.table} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{place}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, found: DataFrame) -> None:
+    def append(self, best: DataFrame, batch: str) -> None:
         """Add the digests that the index does not hold yet."""
-        best = F.min(F.struct((-F.col("n")).alias("n"), "doc_id"))
-        batch = found.groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
-        if self.exists():
-            batch = batch.join(self.read().hint("merge"), "text_sha256", "left_anti")
-        writer = batch.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
-        if not self.exists():
-            writer = writer.option("path", f"{shared_dir(self.spark)}/{self.table}")
-        writer.mode("append").saveAsTable(self.table)
-
-    def resolve(self, found: DataFrame) -> DataFrame:
+        new = best.select("text_sha256", "keep_id", "group_size", F.lit(batch).alias("batch")).join(self.read().hint("merge"), "text_sha256", "left_anti")
+        new.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").saveAsTable(self.table)
+
+    def resolve(self, found: DataFrame, best: DataFrame, batch: str) -> DataFrame:
         """Every row with the row that stays for its text.
 
         The index is first cut down to the digests at hand. Joining that table leaves both
         sides to a shuffle, so Spark can split a digest that many rows share.
         """
-        known = staged(found.select("text_sha256").distinct().join(self.read().hint("merge"), "text_sha256"), "known")
-        out = found.join(known, "text_sha256", "left")
-        return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-
-
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Append docs to the index (a new one by default) and resolve every row."""
-    index = index or DigestIndex(docs.sparkSession)
-    found = staged(digests(docs), "digests")
-    index.append(found)
-    return index.resolve(found)
+        mine = best.select("text_sha256", "keep_row")
+        known = mine.join(self.read().hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
+        out = found.join(staged(known, "known"), "text_sha256")
+        return out.select("row", "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "text_sha256")
+
+    def close(self) -> None:
+        """Forget the session's table; the files stay where a path was given."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if not self.lasting:
+            self.fs.delete(self.path, True)
+
+
+def resolved(found: DataFrame, index: DigestIndex | None, batch: str | None) -> DataFrame:
+    """Append the staged digests to the index (one of its own by default) and resolve every row."""
+    used, batch = index or DigestIndex(found.sparkSession), batch or uuid.uuid4().hex
+    first = F.min(F.struct((-F.col("n")).alias("n"), "doc_id", "row"))
+    best = found.groupBy("text_sha256").agg(first["doc_id"].alias("keep_id"), F.count("*").alias("group_size"), first["row"].alias("keep_row"))
+    best = staged(best, "best")
+    used.append(best, batch)
+    out = used.resolve(found, best, batch)
+    if index is None:
+        used.close()  # the rows are resolved through a staged table
+    return out
+
+
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    return resolved(staged(digests(docs), "digests"), index, batch).drop("row")
+
+
+def kept_rows(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    source = keyed(docs)
+    found = staged(digests(source, F.col("_row")), "digests")
+    return without(source, resolved(found, index, batch).filter("not kept").select(F.col("row").alias("_row")))
