@@ -10,9 +10,10 @@ pairs. Roots are joined to components by label propagation in tables.
 
 Words are runs of characters other than space and \\t to \\r, compared as they are.
 A text of fewer words than n has one n-gram, all its words. Texts without words
-(null and empty ones too) have no n-grams and no links. Rows that repeat a doc_id
-count as one document whose classes are merged. A row with a null doc_id gets the class
-of its n-gram set, if another row has that set, and is never one that stands for it.
+(null and empty ones too) have no n-grams and no links. A document is a doc_id with
+an n-gram set: rows that repeat both count once, rows that repeat a doc_id with another
+text are documents of their own, and so is every row with a null doc_id. Such a row gets
+the class of the others in its component; a component of null ids only has a null class.
 """
 from __future__ import annotations
 
@@ -25,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, doc_texts, map_arrow, staged, worker_cache
+from .common import BROADCAST_BYTES, ROW_BYTES, doc_texts, keyed, map_arrow, staged, without, worker_cache
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most signature values; more rows in a band mean fewer false candidates and more values.
 SIGNATURE = 112
 #: Bounds of a block: nodes, and n-grams over all its nodes.
-BLOCK_NODES, BLOCK_GRAMS = 256, 500_000
+BLOCK_NODES, BLOCK_GRAMS = 1024, 500_000
 #: Words whose hashes a worker keeps.
 HASHED_WORDS = 200_000
 WORD = re.compile(r"[^ \t-\r]+")
+ROW = "_row struct<file:long,at:long>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,6 +98,8 @@ class Signer:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """Row key, doc_id, digest and size of the n-gram set and band keys of every row of keyed docs."""
+
     def run(batches):
         sign = Signer(bands, rows)
         for b in batches:
@@ -105,9 +109,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(g.tobytes()))
                 sizes.append(len(g))
                 keys.append(sign(g) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "keys"])
+            cols = [b.column("_row"), b.column("doc_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["_row", "doc_id", "set_id", "n", "keys"])
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, set_id binary, n int, keys array<long>", cached=True)
+    return map_arrow(doc_texts(docs), run, f"{ROW}, doc_id long, set_id binary, n int, keys array<long>", cached=True)
 
 
 def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -150,24 +155,24 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray
 
 def block_rows(batches, threshold: float):
     """Links of each block; rows come sorted by (key, i, j, sub), so one block is held at a time."""
-    columns = ["key", "i", "j", "sub", "rep", "mult", "keys", "grams"]
+    columns = ["key", "i", "j", "sub", "set_id", "mult", "keys", "grams"]
 
     def solve(block, rows):
-        reps = np.array([r[1] for r in rows])
+        rows.sort(key=lambda r: r[1])
         links = linked([np.frombuffer(r[4], "u8") for r in rows], np.array([r[3] for r in rows]), block[0], np.array([r[0] for r in rows]) if block[1] != block[2] else None, threshold)
         mult = np.array([r[2] for r in rows])
-        root = reps.copy()
+        root = np.arange(len(rows))
         while len(rows) > 1:
-            low = np.minimum(root, np.where(links, root[None, :], np.iinfo("i8").max).min(1))
+            low = np.minimum(root, np.where(links, root[None, :], len(rows)).min(1))
             if (low == root).all():
                 break
             root = low
-        some = links.any(1)
-        return list(zip(reps[some].tolist(), root[some].tolist(), (links * mult).sum(1)[some].tolist()))
+        n = (links * mult).sum(1)
+        return [(rows[k][1], rows[root[k]][1], int(n[k])) for k in np.flatnonzero(links.any(1))]
 
     def packed(out):
         c = list(zip(*out)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["rep", "root", "n_links"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.binary(), pa.int64()))], ["set_id", "root", "n_links"])
 
     block, rows, out = None, [], []
     for b in batches:
@@ -198,42 +203,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the component) and n_links (other documents at the threshold or above)."""
+def multiplicity(sig: DataFrame) -> DataFrame:
+    """(set_id, extra): rows of a set that repeat a doc_id."""
+    again = sig.filter("n > 0 and doc_id is not null").groupBy("set_id", "doc_id").agg(F.count("*").alias("c")).filter("c > 1")
+    return again.groupBy("set_id").agg(F.sum(F.col("c") - 1).alias("extra"))
+
+
+def classes(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """_row, doc_id, class_id, n_links and kept (one row of each component) of keyed docs."""
     bands, rows = bands_for(threshold, recall)
     sig = staged(signatures(docs, n, bands, rows), "signatures")
-    nodes = sig.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    nodes = sig.filter("n > 0").groupBy("set_id").agg(first.alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = nodes.join(multiplicity(sig), "set_id", "left").withColumn("mult", F.col("rows") - F.coalesce("extra", F.lit(0))).drop("rows", "extra")
     nodes = staged(nodes, "nodes")
-    keyed = nodes.select("set_id", "rep", "n", F.posexplode("keys").alias("band", "key"))
+    keyed_by = nodes.select("set_id", "rep", "n", F.posexplode("keys").alias("band", "key"))
     mark = [F.bit_xor(F.xxhash64("set_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("band").alias("band"), *mark).filter("m > 1")
+    buckets = keyed_by.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("band").alias("band"), *mark).filter("m > 1")
     buckets = buckets.withColumn("split", F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int"))
     # Of buckets with the same members, that of the first band stays: no other can be the first to hold a pair.
     buckets = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("first"), F.first("split").alias("split")).select("first.key", "split")
-    tested = staged(keyed.join(buckets, "key").select("key", "split", "set_id", "rep"), "members")
-    chosen = staged(tested.select("set_id", "rep").distinct(), "chosen")
-    size = chosen.count() * 24
-    texts = doc_texts(docs).withColumnRenamed("doc_id", "rep")
-    wanted = chosen.select("rep").distinct()
-    texts = texts.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "rep", "left_semi")
+    tested = staged(keyed_by.select("key", "set_id", F.col("rep")["_row"].alias("_row")).join(buckets, "key"), "members")
+    chosen = staged(tested.select("_row", "set_id").distinct(), "chosen")
+    small = chosen.count() * (ROW_BYTES + 16) <= BROADCAST_BYTES
+    texts = doc_texts(docs).select("_row", "text").join(F.broadcast(chosen) if small else chosen, "_row").select("set_id", "text")
 
     def sets(batches):
         for b in batches:
-            g = [grams(t.as_py(), n) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in g], pa.binary()), pa.array([x.tobytes() for x in g], pa.binary())], ["rep", "set_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array([grams(t.as_py(), n).tobytes() for t in b.column("text")], pa.binary())], ["set_id", "grams"])
 
-    full = map_arrow(texts, sets, "rep long, set_id binary, grams binary", cached=True).join(nodes.select("set_id", "rep", "mult", "keys"), ["set_id", "rep"]).dropDuplicates(["set_id"])
+    full = map_arrow(texts, sets, "set_id binary, grams binary", cached=True).join(nodes.select("set_id", "mult", "keys"), "set_id")
     sub = F.pmod(F.xxhash64("set_id"), F.col("split")).cast("int")
     blocks = (
         tested.withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
         .select("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "set_id")
-        .join(full, "set_id").select("key", "i", "j", "sub", "rep", "mult", "keys", "grams")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sub", "rep")
+        .join(full, "set_id").select("key", "i", "j", "sub", "set_id", "mult", "keys", "grams")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sub")
+    )
+    links = staged(map_arrow(blocks, lambda batches: block_rows(batches, threshold), "set_id binary, root binary, n_links long"), "links")
+    labels = components(links.filter("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "set_id")
+    named = labels.join(nodes.select("set_id", "rep"), "set_id")
+    best = named.groupBy("label").agg(F.min("rep").alias("best"))
+    best = labels.join(best, "label").select("set_id", "best")
+    degree = links.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    known = nodes.select("set_id", "rep", "mult").join(degree.join(best, "set_id"), "set_id", "left")
+    known = known.select("set_id", F.coalesce("best", "rep").alias("rep"), (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    found = sig.select("_row", "doc_id", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
+    alone = F.col("rep").isNull()
+    return found.select(
+        "_row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")["doc_id"]).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("rep")["_row"] == F.col("_row"))).alias("kept"),
     )
-    links = staged(map_arrow(blocks, lambda batches: block_rows(batches, threshold), "rep long, root long, n_links long"), "links")
-    labels = components(links.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    degree = links.groupBy("rep").agg(F.sum("n_links").alias("n_links")).join(labels, F.col("rep") == F.col("id"), "left").drop("id")
-    known = nodes.select("set_id", "rep", "mult").join(degree, "rep", "left")
-    known = known.select("set_id", F.coalesce("label", "rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    found = sig.select("doc_id", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the component) and n_links (other documents at the threshold or above) of every row."""
+    return classes(keyed(docs), n, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def kept_rows(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest doc_id stays, with all its columns."""
+    source = keyed(docs)
+    return without(source, classes(source, n, threshold, recall).filter("not kept"))
