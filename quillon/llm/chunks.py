@@ -3,11 +3,13 @@
 A cut falls where the rolling hash of the last 32 characters has enough zero bits,
 so an insertion moves the cuts near it and no others. Chunks are compared by a
 64-bit digest over all documents; a passage counts as repeated where two or more
-chunks in a row, of MIN_CHARS characters together, also stand in another document.
-(Single digests may collide; runs of chunks that all collide do not occur.)
+chunks in a row, of MIN_CHARS characters together, also stand in another document
+(with `inside`, also elsewhere in the same one). Single digests may collide; runs of
+chunks that all collide do not occur.
 
-Null and empty texts have no chunks. Offsets are code points, ends exclusive.
-Rows that repeat a doc_id count as the same document.
+Null and empty texts have no chunks. Offsets are code points, ends exclusive. Every
+row is a document of its own, whatever its doc_id: rows that repeat a doc_id, or have
+none, share passages like any others.
 """
 from __future__ import annotations
 
@@ -85,15 +87,20 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return map_arrow(doc_texts(docs), run, "doc_id long, ends array<int>, digests array<long>")
 
 
-def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, start, end, n_chunks, first_doc_id: one row for each repeated passage of each document."""
-    table = staged(chunk_table(docs), "chunks")
-    one = table.select("doc_id", F.posexplode("digests").alias("k", "digest"), "ends")
-    one = one.select("doc_id", "k", "digest", F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0).alias("start"), F.get("ends", F.col("k")).alias("end"))
-    shared = table.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).filter("first_doc_id < last").drop("last")
+def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
+    """doc_id, start, end, n_chunks, first_doc_id (the smallest that has a chunk of it): one row for each repeated passage of each row.
+
+    With inside, passages that stand twice within one text count as well.
+    """
+    table = staged(chunk_table(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    one = table.select("row", "doc_id", F.posexplode("digests").alias("k", "digest"), "ends")
+    one = one.select("row", "doc_id", "k", "digest", F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0).alias("start"), F.get("ends", F.col("k")).alias("end"))
+    places = table.select("row", "doc_id", F.explode("digests").alias("digest")).groupBy("digest")
+    shared = places.agg(F.min("doc_id").alias("first_doc_id"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("places"))
+    shared = shared.filter("places > 1" if inside else "low < high").select("digest", "first_doc_id")
     shared = staged(shared, "shared")  # as a table, so that the join shuffles both sides and Spark can split a common digest
     again = one.join(shared, "digest")
-    by_doc = Window.partitionBy("doc_id").orderBy("k")
-    runs = again.withColumn("run", F.col("k") - F.dense_rank().over(by_doc))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    return runs.filter((F.col("n_chunks") > 1) & (F.col("end") - F.col("start") >= min_chars)).drop("run")
+    by_row = Window.partitionBy("row").orderBy("k")
+    runs = again.withColumn("run", F.col("k") - F.row_number().over(by_row))
+    runs = runs.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
+    return runs.filter((F.col("n_chunks") > 1) & (F.col("end") - F.col("start") >= min_chars)).select("doc_id", "start", "end", "n_chunks", "first_doc_id")
