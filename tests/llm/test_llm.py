@@ -2,6 +2,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -370,18 +372,49 @@ def test_exact_dedup(spark, docs, empty):
     for text, found in groups.items():
         keep = min(found)[3]
         for _, _, _, i in found:
-            want[i, keep, len(found), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
+            want[i, keep, len(found), hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows) == want
+    kept = [r for r in rows if r.kept]
+    assert len(kept) == len(groups) == len({r.text_sha256 for r in kept}) and all(r.doc_id == r.keep_id for r in kept)
     assert exact.exact_duplicates(empty).count() == 0
 
 
-def test_index_persists(spark):
-    index = exact.DigestIndex(spark, buckets=3)
-    a = spark.createDataFrame([(1, "x y"), (2, "z")], "doc_id long, text string")
-    b = spark.createDataFrame([(0, "x  y!"), (3, "xy"), (4, "new")], "doc_id long, text string")
-    exact.exact_duplicates(a, index)
-    got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_duplicates(b, exact.DigestIndex(spark, index.table, 3)).collect()}
-    assert got == {0: (0, True), 3: (1, False), 4: (4, True)} and index.read().count() == 4
+def test_exact_dedup_leaves_no_table_behind(spark, docs):
+    before = spark.catalog.listTables()
+    assert exact.exact_duplicates(docs).count() == docs.count() and spark.catalog.listTables() == before
+
+
+def test_index_persists_beyond_the_session(spark, tmp_path):
+    path = str(tmp_path / "index")
+    a = spark.createDataFrame([(1, "x y"), (2, "z"), (2, "z")], "doc_id long, text string")
+    first = exact.DigestIndex(spark, path, buckets=3)
+    assert sorted((r.doc_id, r.kept) for r in exact.exact_duplicates(a, first, "a").collect()) == [(1, True), (2, False), (2, True)]
+    first.close()
+    other = spark.newSession()  # shares nothing of the first one's catalogue entry
+    b = other.createDataFrame([(0, "x  y!"), (3, "xy"), (4, "new"), (1, "x y")], "doc_id long, text string")
+    again = exact.DigestIndex(other, path)
+    assert again.buckets == 3 and again.read().count() == 2
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_duplicates(b, again).collect()}
+    assert got == {0: (0, True), 3: (1, False), 4: (4, True), 1: (1, False)} and again.read().count() == 4
+    # A batch that runs again decides as before.
+    assert sorted((r.doc_id, r.kept) for r in exact.exact_duplicates(a, again, "a").collect()) == [(1, True), (2, False), (2, True)]
+    again.close()
+
+
+def test_index_persists_beyond_the_process(tmp_path):
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from quillon.llm import exact
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[1] + "/w" + sys.argv[2]).config("spark.checkpoint.dir", sys.argv[1] + "/c").getOrCreate()
+i = exact.DigestIndex(s, sys.argv[1] + "/index", 2)
+d = s.createDataFrame([(int(sys.argv[2]), "same text"), (10 + int(sys.argv[2]), "own " + sys.argv[2])], "doc_id long, text string")
+print("GOT", sorted((r.doc_id, r.keep_id, r.kept) for r in exact.exact_duplicates(d, i).collect()))
+"""
+    out = []
+    for k in "12":
+        out += [x for x in subprocess.run([sys.executable, "-c", code, str(tmp_path), k], capture_output=True, text=True, timeout=300).stdout.splitlines() if x.startswith("GOT")]
+    assert out == ["GOT [(1, 1, True), (11, 11, True)]", "GOT [(2, 1, False), (12, 12, True)]"]
 
 
 # 9
@@ -404,6 +437,50 @@ def test_repeated_passages(spark, empty):
     assert chunks.repeated_passages(empty).count() == 0
 
 
+def test_passages_by_row(spark):
+    """Null ids, repeated ids with other texts and repeated rows share passages; spans are those of their own text."""
+    rng = random.Random(19)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    p, q, own, twice = text(70), text(70), text(30), text(70)
+    rows = [(None, text(20) + " " + p), (1, p + " " + text(40)), (2, text(5) + " " + q), (2, text(60) + " " + q), (3, own), (3, own), (4, twice + " " + text(50) + " " + twice), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunks.repeated_passages(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter([None, 1, 2, 2, 3, 3])
+    for r in got:
+        assert any(i == r.doc_id and t[r.start : r.end] in (part := {None: p, 1: p, 2: q, 3: own}[i]) and r.end - r.start > len(part) // 2 for i, t in rows if i == r.doc_id)
+        assert r.first_doc_id == (r.doc_id or 1)
+    more = [r for r in chunks.repeated_passages(df, inside=True).collect() if r.doc_id == 4]
+    assert len(more) == 2 and all(rows[6][1][r.start : r.end] in twice for r in more)
+
+
+def brute_passages(texts, min_chars):
+    """Runs of chunks that also stand in another row."""
+    cut = [[(i, j) for i, j in zip([0, *chunks.cuts(t)], chunks.cuts(t))] for t in texts]
+    holders = defaultdict(set)
+    for r, (t, c) in enumerate(zip(texts, cut)):
+        for i, j in c:
+            holders[t[i:j]].add(r)
+    out = Counter()
+    for r, (t, c) in enumerate(zip(texts, cut)):
+        run = []
+        for i, j in [*c, (0, 0)]:
+            if j and len(holders[t[i:j]]) > 1:
+                run.append((i, j))
+                continue
+            if len(run) > 1 and run[-1][1] - run[0][0] >= min_chars:
+                out[r, run[0][0], run[-1][1], len(run)] += 1
+            run = []
+    return out
+
+
+def test_passages_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = Counter((r.doc_id, r.start, r.end, r.n_chunks) for r in chunks.repeated_passages(docs).collect())
+    assert got == Counter({(rows[r].doc_id, *x): n for (r, *x), n in brute_passages([r.text or "" for r in rows], chunks.MIN_CHARS).items()})
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(3)
     text = prose(rng, 2000)
@@ -485,6 +562,19 @@ def test_jaccard_query(spark, sf_dir):
     assert {r.doc_id: (r.class_id, r.n_links) for r in QUERIES["op10_ngram_jaccard_join"](spark, sf_dir).collect()} == want
 
 
+def test_jaccard_rows(spark):
+    """Repeated rows count once, null ids take part, a repeated id with another text is a document of its own."""
+    rng = random.Random(20)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    near_a = " ".join([*a.split()[:-1], "last"])
+    rows = [(1, a), (1, a), (2, a), (None, near_a), (1, b), (None, b), (None, c), (None, c), (7, None), (7, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near.jaccard_classes(df).collect())
+    assert got == Counter([(1, 1, 2), (1, 1, 2), (2, 1, 2), (None, 1, 2), (1, 1, 1), (None, 1, 1), (None, None, 1), (None, None, 1), (7, 7, 0), (7, 7, 0), (None, None, 0)])
+    kept = Counter((r.doc_id, r.text) for r in near.kept_rows(df).collect())
+    assert kept == Counter([(1, a), (1, b), (None, c), (7, None), (7, None), (None, "")]) and near.kept_rows(df).columns == df.columns
+
+
 def test_bands_reach_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = near.bands_for(threshold, 0.99)
@@ -534,3 +624,52 @@ def test_toxicity_stage_judges_rows(spark, tmp_path):
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [*texts.items(), *more]], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.toxicity_stage(spark, rows, str(tmp_path)).collect())
     assert got == Counter([*((i, t) for i, t in texts.items() if i not in marked), (None, texts[good]), (free, texts[good]), (free, None)])
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Repeated ids with the same and another text, null ids and a toxic row beside a clean one of its id equal a plain Python pipeline."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    df, labels = toxic_fixture(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bad = next(r.text for r in df.collect() if r.toxic)
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near_a = " ".join([*a.split()[:-1], "last"])
+    rows = [(1, "x y z"), (1, "other text"), (0, "x y  z"), (5, a), (5, a), (None, a), (6, near_a), (None, near_a), (7, bad), (7, b), (None, bad), (None, c), (None, c), (8, d + " mail ann@host.org"), (None, None), (9, "")]
+    table = [(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(r.doc_id + 1000, r.text) for r in df.collect()]], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    labels.select((F.col("doc_id") + 1000).alias("doc_id"), "toxic").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    every = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    docs = every
+    left = [tuple(r) for r in every.collect()]
+
+    scores = {(r.doc_id, r.score >= toxicity.CUT) for r in toxicity.toxicity_scores(every, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    assert (7, True) in scores and (7, False) in scores
+    model = toxicity.fitted(every, spark.read.parquet(str(tmp_path / "labels.parquet"))).value
+    score = toxicity.Scorer(*model)
+    left = [r for r in left if score(r[1] or "")[0] < toxicity.CUT]
+    groups = defaultdict(list)
+    for r in left:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append(r)
+    kept = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is not None, r[0] or 0)) for g in groups.values()]
+    names = lambda found: Counter((r[0], r[1]) for r in found)
+    for (_, stage), want in zip(corpus_pipeline.STAGES, (left, kept)):
+        docs = corpus_pipeline.staged(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == corpus_pipeline.COLUMNS and names(docs.collect()) == names(want)
+    classes = brute_classes([(k, r[1] or "") for k, r in enumerate(kept)])
+    grouped = defaultdict(list)
+    for k, r in enumerate(kept):
+        grouped[classes[k][0]].append(r)
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in grouped.values()]
+    docs = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+    assert names(docs.collect()) == names(want)
+    docs = corpus_pipeline.staged(corpus_pipeline.pii_stage(spark, docs, str(tmp_path)), "test")
+    want = [(r[0], None if r[1] is None else pii.redact(r[1], pii.spans(r[1])[1])) for r in want]
+    assert names(docs.collect()) == names(want) and any("[EMAIL]" in (t or "") for _, t in want)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in want)
+    assert sum(r.length for r in rows) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in want)
