@@ -2,7 +2,8 @@
 
 Each stage takes what the one before it kept, written as Parquet and read again. All
 but the last return the columns of documents; the last returns a row for each packed
-piece. Rows with a null text pass as empty texts.
+piece. Every stage decides row by row, whatever a row's doc_id: a null or repeated
+doc_id takes no other row with it. Rows with a null text pass as empty texts.
 """
 from __future__ import annotations
 
@@ -20,15 +21,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the longest row, then the smallest doc_id."""
-    dropped = exact.exact_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    """Of equal texts, keep the longest row, then the smallest doc_id, then one of those."""
+    return exact.kept_rows(docs.select(*COLUMNS))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, keep the document with the smallest doc_id."""
-    dropped = near.jaccard_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    """Of each group of near duplicates, keep the row with the smallest doc_id."""
+    return near.kept_rows(docs.select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
