@@ -1,19 +1,22 @@
 """Personal data by offset-preserving deobfuscation.
 
 Base detectors read the text as it is. Where a text holds homoglyphs, spelled-out
-digits or disguised at and dot signs, a transducer rewrites it and keeps, for each
-character it emits, the span of source characters that it stands for. The detectors
-read the rewritten text as well; what they find is mapped back to source spans and
-added where no base span of the kind overlaps. Base spans always stay.
-
-Detectors work in linear time on any text. Null and empty texts have no spans.
-Offsets are code points, ends exclusive.
+digits, letters in the place of digits, or disguised at and dot signs, a transducer
+rewrites it and keeps, for each character it emits, the span of source characters that
+it stands for. The detectors read the rewritten text as well; what they find is mapped
+back to source spans and added unless a base span of the kind holds all of it. Base
+spans always stay, so an identifier of which a part is plain has its plain part and the
+whole; redacting joins what overlaps.
+
+Detectors work in linear time on any text. Null and empty texts have no spans. Each row
+is judged by its own text, repeated rows alike. Offsets are code points, ends exclusive.
 """
 from __future__ import annotations
 
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,15 +49,20 @@ SPELLED = {
 AT = r"at|arroba|arobase|chez"
 DOT = r"dot|punkt|point|punto"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-SIGN_AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT}|@)[ \t]*{CLOSE}[ \t]*|_(?:{AT})_)"
-SIGN_DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT}|\.)[ \t]*{CLOSE}[ \t]*|_(?:{DOT})_)"
+SIGN_AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT}|@)[ \t]*{CLOSE}[ \t]*|_(?:{AT})_|[ \t]+-(?:{AT})-[ \t]+|&(?:#0*64|#x0*40|commat);)"
+SIGN_DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT}|\.)[ \t]*{CLOSE}[ \t]*|_(?:{DOT})_|[ \t]+-(?:{DOT})-[ \t]+|&(?:#0*46|#x0*2e|period);)"
 BARE_AT, BARE_DOT = rf"[ \t]+(?:{AT})[ \t]+", rf"[ \t]+(?:{DOT})[ \t]+"
+#: What a bare word for "dot" after a whole plain address has to be followed by, to go on with it.
+ENDINGS = r"[ \t]+(?:dot|punkt|point|punto)[ \t]+(?:com|org|net|edu|gov|info|eu|de|fr|es|uk|br|io)(?![a-z0-9-])"
 NAME = r"[a-z0-9_%+-]{1,64}"
 HOST = r"[a-z0-9-]{1,63}"
-#: An address whose at sign, or whose dots, are disguised. A bare word for "at" needs a disguised dot after it.
+_MORE = rf"(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})"
+#: An address whose at sign, or whose dots, are disguised. A bare word for "at" needs a disguised dot after it, and
+#: beside a plain at sign only the bare word "dot" joins names, so that prose before an address stays out of it.
 ADDRESS = re.compile(
-    rf"(?<![a-z0-9._%+-]){NAME}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){NAME}){{0,4}}"
-    rf"(?:(?:{SIGN_AT}|@){HOST}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})+|{BARE_AT}{HOST}(?:\.{HOST}){{0,4}}(?:{SIGN_DOT}|{BARE_DOT}){HOST}(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){HOST})*)",
+    rf"(?<![a-z0-9._%+-]){NAME}(?:"
+    rf"(?:(?:\.|{SIGN_DOT}|[ \t]+dot[ \t]+){NAME}){{0,4}}@{HOST}(?:(?:{SIGN_DOT}|{BARE_DOT}){HOST}{_MORE}*|(?:\.{HOST})+(?:{SIGN_DOT}{HOST}|{ENDINGS})*)"
+    rf"|(?:(?:\.|{SIGN_DOT}|{BARE_DOT}){NAME}){{0,4}}(?:{SIGN_AT}{HOST}{_MORE}+|{BARE_AT}{HOST}(?:\.{HOST}){{0,4}}(?:{SIGN_DOT}|{BARE_DOT}){HOST}{_MORE}*))",
     re.I,
 )
 ANY_AT, ANY_DOT = re.compile(rf"{SIGN_AT}|{BARE_AT}", re.I), re.compile(rf"{SIGN_DOT}|{BARE_DOT}", re.I)
@@ -65,7 +73,12 @@ _D = "|".join(sorted(SPELLED, key=len, reverse=True))
 DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_D}|[0-9]+)(?:(?:[ \t]*[-,.][ \t]*|[ \t]+|{SIGN_DOT}|{BARE_DOT})(?:{_D}|[0-9]+)){{3,}}(?!\w)", re.I)
 DIGIT_PART = re.compile(rf"(?P<word>{_D})|(?P<plus>plus[ \t]+)|(?P<dot>{SIGN_DOT}|{BARE_DOT})|(?P<gap>(?:[ \t]*[-,][ \t]*|[ \t]+))", re.I)
 #: What a text with disguises holds; the others take only the base detectors.
-WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|_(?:{AT})_|[ \t_](?:{DOT})[ \t_]", re.I)
+WORDY = re.compile(rf"{OPEN}[ \t]*(?:{AT}|{DOT}|[@.])[ \t]*{CLOSE}|_(?:{AT})_|[ \t_](?:{DOT})[ \t_]|-(?:{AT}|{DOT})-|&(?:#0*(?:64|46)|#x0*(?:40|2e)|commat|period);", re.I)
+#: Characters that may stand for others, invisible ones, and decimal digits of any script.
+ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "\uff01-\uff5e\U0001d400-\U0001d7ff\xad\u200b-\u200d\u2060\ufeff]|(?![0-9])\\d")
+#: Letters that stand among digits for 0 and 1, the runs in which they may, and what a text with such runs holds.
+LETTERS = str.maketrans("OoIl", "0011")
+LETTERED, LETTERED_RUN, LETTERED_WORD = re.compile(r"[0-9][OoIl]|[OoIl][0-9]|\.[Oo]\."), re.compile(r"[0-9OoIl .()+-]{7,}+"), re.compile(r"[0-9OoIl]+")
 
 
 def luhn(digits: str) -> bool:
@@ -149,8 +162,7 @@ def normalise(text: str) -> Tape:
     """Homoglyphs, then disguised at and dot signs inside addresses of both kinds, then spelled digits."""
     tape = Tape(text)
     if not text.isascii():
-        edits = [(i, i + 1, p) for i, c in enumerate(text) if c > "\x7f" and (p := plain_letter(c)) is not None]
-        tape.rewrite(edits)
+        tape.rewrite([(m.start(), m.end(), p) for m in ODD.finditer(text) if (p := plain_letter(m[0])) is not None])
     if WORDY.search(tape.text):
         edits = []
         for m in ADDRESS.finditer(tape.text):
@@ -168,18 +180,39 @@ def normalise(text: str) -> Tape:
         if spelled >= 2:
             edits += found
     tape.rewrite(edits)
+    if LETTERED.search(tape.text):
+        tape.rewrite([x for m in LETTERED_RUN.finditer(tape.text) for x in lettered(tape.text, m.start(), m.end())])
     return tape
 
 
+def lettered(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Edits for letters in the place of digits in a run: in words that hold a digit, or that stand between dots."""
+    words = [m for m in LETTERED_WORD.finditer(text, start, end) if not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum())]
+    out = []
+    for m in words:
+        dotted = len(m[0]) <= 3 and "." in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])
+        if not m[0].isdigit() and (dotted or DIGIT.search(m[0])):
+            out.append((m.start(), m.end(), m[0].translate(LETTERS)))
+    n_digits = sum(len(DIGIT.findall(m[0])) for m in words)
+    changed = [(i + k, i + k + 1, new) for i, j, word in out for k, (old, new) in enumerate(zip(text[i:j], word)) if old != new]
+    return changed if len(changed) <= n_digits else []
+
+
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans by kind as listed, then start."""
     base = detect(text)
     tape = normalise(text)
     if tape.starts is None:
         return base, base
-    found = [(k, tape.starts[i], tape.ends[j - 1]) for k, i, j in detect(tape.text)]
-    new = {x for x in found if not any(x[0] == k and x[1] < j and i < x[2] for k, i, j in base)}
-    return base, sorted({*base, *new}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+    rank = KINDS.index
+    plain = [(rank(k), i, j) for k, i, j in base]  # in order, so the one base span that may hold another is next to it
+    every = {*plain}
+    for k, i, j in detect(tape.text):
+        x = (rank(k), tape.starts[i], tape.ends[j - 1])
+        at = bisect_right(plain, (x[0], x[1], len(text))) - 1
+        if at < 0 or plain[at][0] != x[0] or plain[at][2] < x[2]:
+            every.add(x)
+    return base, [(KINDS[k], i, j) for k, i, j in sorted(every)]
 
 
 def listed(found: list[tuple[str, int, int]]) -> str:
