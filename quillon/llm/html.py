@@ -6,17 +6,28 @@ classes from the body down, digits as '#'. Spark counts the votes of a host's pa
 for each path. Pass two extracts again: from the containers on the host's most voted
 path that the page has, or from its own best container where no winner occurs.
 
-Null, empty and text-only pages, unclosed tags and comments, and pages without a
-host (a null or odd URL) are all handled; an empty result is the empty string. Hosts
-that hold a third of all pages are counted by partial aggregation and joined by
-broadcast below a checked size, else by a join whose large side Spark can split.
+Names of classes only make an element a suspect. A suspect is left out of a container
+while the rest of it still holds a tenth of the suspect's text, so a name never empties
+the element that holds the article; where the name only speaks of something else in
+part (a list of tags), most of the text has to be links besides. Elements that are no
+part of any article by their tag (navigation, footers, asides, scripts) always go.
+
+Parsing takes time and memory in proportion to the page, whatever its depth: elements
+know their parent and carry a 64-bit hash of their path. Null, empty and text-only pages,
+unclosed tags, quotes and comments, and pages without a host (a null or odd URL) are all
+handled; an empty result is the empty string. Repeated rows are extracted alike and vote
+once each. Hosts that hold a third of all pages are counted by partial aggregation and
+joined by broadcast below a checked size, else by a join whose large side Spark can split.
 """
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,96 +35,187 @@ from .common import BROADCAST_BYTES, map_arrow, staged
 
 #: Share of a host's pages whose vote a path needs.
 WIN_SHARE = 0.2
-MARKUP = re.compile(r"<(?:(!--)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)")
+#: Share of a suspect's text that the rest of its container has to hold.
+REST_SHARE = 0.1
+#: What a kept suspect's text counts for, and the share of the best container's score that makes its like part of the text.
+SUSPECT_WEIGHT, ALIKE_SHARE = 0.2, 0.15
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 CLASS = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CLASS_ONLY = re.compile(r"""(?:^|[\s"'])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
-DROPPED = frozenset("nav footer aside form button dialog menu label fieldset canvas audio video map header".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+DROPPED = frozenset("nav footer aside button dialog menu canvas audio video map".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul aside dialog caption".split())
 CONTAINER = frozenset("body article main section div td center".split())
-CLOSES_P = BLOCK - {"body", "html"}
+PARAGRAPH_ENDS = CONTAINER | frozenset("ul ol table th li blockquote".split())
+LISTS = frozenset("ul ol dl menu table".split())
+ITEMS = {"li": "li", "dt": "dd", "dd": "dd", "td": "td", "th": "td", "tr": "tr"}
 #: Words of class, id and role values that mark what is not the article.
-UNWANTED = frozenset("ad ads advert adverts advertisement sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar side aside cookie cookies consent notice banner popup modal comment comments respond disqus form login signup subscribe newsletter share sharing social related recommended widget masthead toolbar pagination pager tags skip".split())
-PARTS = re.compile(r"[a-z]+")
+UNWANTED = frozenset("ad ads advert adverts advertisement sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar side aside cookie cookies consent notice banner popup modal comment comments respond disqus form login signup subscribe newsletter share sharing social related recommended widget masthead toolbar pagination pager tags skip complementary contentinfo".split())
+#: Those of them that mark a part whatever general word follows.
+SURE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo share sharing social related recommended nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent comment comments disqus newsletter pagination pager popup modal login signup subscribe masthead".split())
+GENERAL = frozenset("list box wrap wrapper container area block section bar item items inner outer panel group holder row column link links module unit slot zone".split())
+#: Words that turn a name into a statement about something else, and ends of names of the article itself.
+TURNED = frozenset("with no has have without not non hide is show".split())
+WANTED = frozenset("content article body text story main prose".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WEAK, STRONG = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "path", "own", "links", "score", "dropped", "order", "parent")
+    __slots__ = ("tag", "parent", "order", "name", "key", "block", "box", "cage", "paragraph", "items", "inside", "linked", "dropped", "suspect", "text", "links", "score")
 
-    def __init__(self, tag, path, dropped, order, parent):
-        self.tag, self.path, self.dropped, self.order, self.parent = tag, path, dropped, order, parent
-        self.own = self.links = 0
+    def __init__(self, tag: str, parent: Node | None, order: int):
+        self.tag, self.parent, self.order = tag, parent, order
+        self.text = self.links = self.suspect = 0
         self.score = 0.0
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is left out; the header of an article is kept, for its title."""
-    if tag in DROPPED and not (tag == "header" and inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    names = " ".join(a or b or c for a, b, c in CLASS.findall(attributes)).lower()
-    return bool(names) and not (tag == "header" and inside) and not UNWANTED.isdisjoint(PARTS.findall(names))
-
-
-def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Elements in page order, and the text blocks that are kept with the element that holds each."""
-    root = Node("body", "body", False, 0, None)
-    nodes, stack, blocks, parts = [root], [root], [], []
-    low = None
-    at, n = 0, len(html)
+def suspicion(names: str) -> int:
+    """How surely the words of class, id and role values mark something other than the article."""
+    level = wanted = 0
+    for token in names.split():
+        parts = [p.lower() for p in PARTS.findall(token)]
+        if not parts or not TURNED.isdisjoint(parts):
+            continue
+        wanted |= parts[-1] in WANTED
+        if UNWANTED.isdisjoint(parts):
+            continue
+        whole = all(p in UNWANTED or p in GENERAL for p in parts)
+        level = max(level, STRONG if parts[-1] in UNWANTED or whole and not SURE.isdisjoint(parts) else WEAK)
+    return min(level, WEAK) if wanted else level
+
+
+def judge(node: Node, attributes: str) -> None:
+    """Set whether an element is left out, or a suspect; the header of an article is kept, for its title."""
+    tag, header = node.tag, node.tag == "header" and node.parent.inside
+    node.dropped = node.parent.dropped or tag in DROPPED or bool(attributes) and HIDDEN.search(attributes) is not None
+    if tag in ("article", "main") or header:
+        return
+    if tag in ("form", "header"):
+        node.suspect = STRONG
+    elif attributes and (found := CLASS.findall(attributes)):
+        node.suspect = suspicion(" ".join([a or b or c for a, b, c in found]))
+
+
+def element(tag: str, attributes: str, parent: Node, order: int, depth: int) -> Node:
+    node = Node(tag, parent, order)
+    node.inside = parent.inside or tag in ("article", "main")
+    judge(node, attributes)
+    node.cage = parent if parent.suspect else parent.cage
+    block = tag in BLOCK
+    node.block, node.box = node if block else parent.block, node if tag in CONTAINER else parent.box
+    node.linked = tag == "a" or parent.linked and not block
+    node.paragraph = depth if tag == "p" else -1 if tag in PARAGRAPH_ENDS else parent.paragraph
+    if tag in LISTS:
+        node.items = {}
+    elif tag in ITEMS:
+        node.items = {k: v for k, v in parent.items.items() if tag != "tr" or k != "td"} | {ITEMS[tag]: depth}
+    else:
+        node.items = parent.items
+    if block:
+        c = CLASS_ONLY.search(attributes) if attributes else None
+        names = ".".join(sorted((c[1] or c[2] or c[3] or "").lower().split())) if c else ""
+        node.name = f"{tag}.{re.sub('[0-9]+', '#', names).replace('>', '_')}" if names else tag
+        node.key = xxhash.xxh3_64_intdigest(node.name, parent.key)
+    else:
+        node.name, node.key = "", parent.key
+    return node
+
+
+@lru_cache(4096)
+def key_of(path: str) -> int:
+    key = 0
+    for name in path.split(">"):
+        key = xxhash.xxh3_64_intdigest(name, key)
+    return key
+
+
+def path_of(node: Node) -> str:
+    names = []
+    while node is not None:
+        if node.name:
+            names.append(node.name)
+        node = node.parent
+    return ">".join(reversed(names))
+
+
+def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """Elements in page order, and the text blocks that are kept: holder, text and characters of links."""
+    root = Node("body", None, 0)
+    root.name, root.key = "body", key_of("body")
+    root.block = root.box = root.cage = root
+    root.paragraph, root.items, root.inside, root.linked, root.dropped = -1, {}, False, False, False
+    nodes, stack, blocks, parts, opened = [root], [root], [], [], Counter()
+    in_links, low, quoted = 0, None, True
+    at, n, last = 0, len(html), html.rfind(">")
 
     def flush():
+        nonlocal in_links
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                holder = stack[-1]
-                while holder.tag not in BLOCK:
-                    holder = holder.parent
-                blocks.append((holder, text))
-                holder.own += len(text)
+                blocks.append((stack[-1].block, text, min(in_links, len(text))))
+        in_links = 0
 
     def close(k):
+        for x in stack[k:]:
+            opened[x.tag] -= 1
         del stack[k:]
 
-    while at < n:
-        m = MARKUP.search(html, at)
-        found = m.start() if m else n
-        if found > at and not stack[-1].dropped:
-            parts.append(html[at:found])
-            if any(x.tag == "a" for x in stack[-3:]):
-                stack[-1].links += found - at
-        if not m:
+    def put(i, j):
+        nonlocal in_links
+        if j > i and not stack[-1].dropped:
+            parts.append(html[i:j])
+            if stack[-1].linked:
+                in_links += j - i
+
+    start = 0
+    while True:
+        found = html.find("<", at)
+        if found < 0 or found > last:  # no tag closes any more; an open comment runs to the end
+            comment = html.find("<!--", found) if found >= 0 else -1
+            put(start, n if comment < 0 else comment)
             break
-        at = m.end()
-        if m[1]:
-            end = html.find("-->", at)
-            at = n if end < 0 else end + 3
+        mark = html[found + 1 : found + 2]
+        if mark == "!" or mark == "?":
+            put(start, found)
+            if html.startswith("<!--", found):
+                end = html.find("-->", found + 4)
+                start = at = n if end < 0 else end + 3
+            else:
+                start = at = html.find(">", found) + 1
             continue
-        if not m[3]:
+        m = TAG.match(html, found) if quoted else BARE_TAG.match(html, found)
+        if not m and quoted and BARE_TAG.match(html, found):
+            # No tag from here on closes outside its quotes: from now on they count for nothing.
+            quoted, m = False, BARE_TAG.match(html, found)
+        if not m:
+            at = found + 1
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(x.tag in BLOCK for x in stack[k:]):
-                        flush()
-                    close(k)
-                    break
+        put(start, found)
+        start = at = m.end()
+        tag, attributes = m[2].lower(), m[3]
+        if m[1]:
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if any(x.tag in BLOCK for x in stack[k:]):
+                    flush()
+                close(k)
             continue
         if tag in RAW:
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
                 if low is None:
                     low = html.lower()
                     if len(low) != n:  # a letter whose lower case is longer
                         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
                 end = low.find(f"</{tag}", at)
-                at = n if end < 0 else end  # the end tag itself closes nothing
+                start = at = n if end < 0 else end  # the end tag itself closes nothing
             continue
         if tag in ("html", "body", "head"):
             continue
@@ -123,70 +225,99 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p" or tag == stack[k].tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                        close(k)
-                        break
-                    if stack[k].tag in CONTAINER or stack[k].tag in ("ul", "ol", "table", "td", "th", "li", "blockquote"):
-                        break
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
+            if (k := stack[-1].paragraph) > 0:
+                close(k)
+            if tag in ITEMS and (k := stack[-1].items.get(ITEMS[tag], 0)) > 0:
+                close(k)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        top = stack[-1]
-        if tag in BLOCK:
-            c = CLASS_ONLY.search(m[4]) if m[4] else None
-            names = ".".join(sorted((c[1] or c[2] or c[3] or "").lower().split())) if c else ""
-            path = f"{top.path}>{tag}" + (f".{re.sub('[0-9]+', '#', names)}" if names else "")
-        else:
-            path = top.path
-        node = Node(tag, path, top.dropped or unwanted(tag, m[4], any(x.tag in ("article", "main") for x in stack)), len(nodes), top)
+        node = element(tag, attributes, stack[-1], len(nodes), len(stack))
         nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
+    for holder, text, links in blocks:
+        holder.text += len(text)
+        holder.links += links
+    for node in reversed(nodes[1:]):
+        node.parent.text += node.text
+        node.parent.links += node.links
     return nodes, blocks
 
 
-def best_container(nodes: list[Node], blocks: list[tuple[Node, str]]) -> Node:
-    """The container with the highest score: text of its own blocks, half of that of containers inside it."""
-    for node in nodes:
-        node.score = 0.0
-    for holder, text in blocks:
-        weight = len(text) - 2.0 * holder.links
-        while holder.tag not in CONTAINER:
-            holder = holder.parent
-        holder.score += weight
-    for node in reversed(nodes):
-        if node.tag == "article" or node.tag == "main":
-            node.score *= 1.25
-        up = node.parent
-        while up is not None and up.tag not in CONTAINER:
-            up = up.parent
-        if up is not None and node.tag in CONTAINER:
-            up.score += 0.5 * node.score if node.tag not in ("article", "main") else 0.4 * node.score
-    best = max((x for x in nodes if x.tag in CONTAINER and not x.dropped), key=lambda x: (x.score, -x.order))
+def left_out(nodes: list[Node], tops: set[int]) -> list[bool]:
+    """Which elements are outside the containers `tops` or go with a suspect inside them."""
+    inside, out = [False] * len(nodes), [True] * len(nodes)
+    held = defaultdict(list)
+    top_of: list[int] = [0] * len(nodes)
+    for x in nodes:
+        k = x.order
+        if k in tops:
+            inside[k], top_of[k] = True, k
+        elif k:
+            inside[k], top_of[k] = inside[x.parent.order], top_of[x.parent.order]
+            if inside[k] and x.suspect and x.text:
+                held[x.cage.order if x.cage.suspect and inside[x.cage.order] and x.cage.order not in tops else top_of[k]].append(k)
+    gone, todo = set(), list(tops)
+    while todo:
+        cage = todo.pop()
+        rest = nodes[cage].text
+        for k in sorted(held[cage], key=lambda k: nodes[k].text):
+            x = nodes[k]
+            if (x.suspect == STRONG or 2 * x.links > x.text) and rest - x.text >= REST_SHARE * x.text:
+                gone.add(k)
+                rest -= x.text
+            else:
+                todo.append(k)
+    for x in nodes:
+        k = x.order
+        out[k] = not inside[k] or k in gone or k not in tops and out[x.parent.order]
+    return out
+
+
+def best_container(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> Node:
+    """The container with the highest score: text of its own blocks, half of that of containers inside it.
+
+    Where its like beside it hold text too, as sections do, what holds them all is the container.
+    """
+    out = left_out(nodes, {0})
+    weight = [1.0] * len(nodes)
+    for x in nodes:
+        x.score = 0.0
+        if x.order:
+            weight[x.order] = weight[x.parent.order] * (SUSPECT_WEIGHT if x.suspect == STRONG else 1.0)
+    for holder, text, links in blocks:
+        if not out[holder.order]:
+            holder.box.score += (len(text) - 2.0 * links) * weight[holder.order]
+    boxes = [x for x in nodes if x.box is x and not out[x.order] and not x.dropped]
+    for x in reversed(boxes[1:]):
+        named = x.tag in ("article", "main")
+        x.score *= 1.25 if named else 1.0
+        x.parent.box.score += (0.4 if named else 0.5) * x.score
+    best = max(boxes, key=lambda x: (x.score, -x.order))
+    alike = defaultdict(float)
+    for x in boxes[1:]:
+        alike[x.parent.order, x.key] += max(0.0, x.score)
+    while best.parent is not None and best.tag not in ("article", "main", "td") and alike[best.parent.order, best.key] >= (1 + ALIKE_SHARE) * best.score > 0:
+        best = best.parent.box
     return best
 
 
-def texts_in(blocks: list[tuple[Node, str]], chosen: set[int]) -> str:
-    out = []
-    for holder, text in blocks:
-        node = holder
-        while node is not None and node.order not in chosen:
-            node = node.parent
-        if node is not None:
-            out.append(text)
-    return "\n\n".join(out)
+def texts_in(nodes: list[Node], blocks: list[tuple[Node, str, int]], chosen: set[int]) -> str:
+    out = left_out(nodes, chosen)
+    return "\n\n".join([text for holder, text, _ in blocks if not out[holder.order]])
 
 
 def extract(html: str, winners: list[str]) -> tuple[str, str]:
     """Main text of a page and the path it came from: the first winner that holds text, else the page's own best."""
     nodes, blocks = parse(html)
     for path in winners:
-        chosen = {x.order for x in nodes if x.path == path and x.tag in CONTAINER and not x.dropped}
-        if chosen and (text := texts_in(blocks, chosen)):
+        key = key_of(path)
+        chosen = {x.order for x in nodes if x.key == key and x.box is x and not x.dropped}
+        if chosen and (text := texts_in(nodes, blocks, chosen)):
             return text, path
     best = best_container(nodes, blocks)
-    return texts_in(blocks, {best.order}), best.path
+    return texts_in(nodes, blocks, {best.order}), path_of(best)
 
 
 def pages_by_host(pages: DataFrame) -> DataFrame:
@@ -202,7 +333,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
             paths = []
             for t in b.column("html"):
                 nodes, blocks = parse(t.as_py())
-                paths.append(best_container(nodes, blocks).path if blocks else None)  # a page without text has no vote
+                paths.append(path_of(best_container(nodes, blocks)) if blocks else None)  # a page without text has no vote
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     return map_arrow(pages_by_host(pages).select("host", "html"), run, "host string, path string").filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
