@@ -5,6 +5,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -367,6 +368,69 @@ def test_html_extraction(spark, empty):
     assert html.main_texts(df).count() == len(pages) and html.main_texts(df.limit(0)).count() == 0
 
 
+def article(n=6):
+    rng = random.Random(23)
+    return [" ".join(rng.choice(WORDS) for _ in range(40)) + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("wrapper", ["content with-sidebar", "post-content no-comments", "layout has-side", "side", "sidebar", "page header", "notice-board"])
+@pytest.mark.parametrize("kind", ["div", "section", "form"])
+def test_html_names_do_not_empty_pages(spark, wrapper, kind):
+    body = article()
+    page = f'<body><nav>Home <a href="/">x</a></nav><{kind} class="{wrapper}">' + "".join(f"<p>{x}</p>" for x in body) + f"</{kind}><div class='ad'>Buy now</div><footer>Foot</footer></body>"
+    text, _ = html.extract(page, [])
+    assert text == "\n\n".join(body)
+
+
+def test_html_names_inside_an_article():
+    body = article(4)
+    inner = f'<p>{body[0]}</p><div class="notice-board"><p>{body[1]}</p></div><ul class="tags-list"><li>{body[2]}</li></ul><fieldset><label>Label kept</label></fieldset><math><mi>x</mi></math><p>{body[3]}</p>'
+    gone = '<div class="advert">Buy</div><ul class="tags-list"><li><a href="/a">tag one</a></li><li><a href="/b">tag two</a></li></ul><div class="share-bar">Share</div><div class="comments"><p>Nice</p></div><form><label>Mail</label><textarea>t</textarea></form>'
+    text, path = html.extract(f"<body><div class='x'>Other</div><article>{inner}{gone}</article></body>", [])
+    assert text.split("\n\n") == [body[0], body[1], body[2], "Label kept", "x", body[3]] and path == "body>article"
+
+
+def test_html_without_article_element():
+    """Long comments, sections of unlike length and plain bodies."""
+    body = article(6)
+    many = "".join(f"<div class='comment'><p>{x} {x}</p></div>" for x in article(12))
+    paragraphs = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    page = f"<body><h1>Head</h1>{paragraphs(body)}<section id='comments'>{many}</section></body>"
+    assert html.extract(page, [])[0] == "\n\n".join(["Head", *body])
+    page = f"<body><div class='top'>Site name</div><div class='wrap'><div class='part'>{paragraphs(body[:4])}</div><div class='part'>{paragraphs(body[4:])}</div></div></body>"
+    assert html.extract(page, [])[0] == "\n\n".join(body)
+    page = f"<table><tr><td><a href=1>One</a><td><p>{body[0]}<p>{body[1]}<td><a href=2>Two</a></table>"
+    assert html.extract(page, [])[0] == "\n\n".join(body[:2])
+
+
+def test_html_consensus_overrules_the_page():
+    """A page whose own best container is another one follows its host."""
+    body, other = article(2), article(9)
+    page = f"<body><div class='story'><p>{body[0]}</p></div><div class='offers'><p>{' '.join(other)}</p></div></body>"
+    assert html.extract(page, ["body>div.story"]) == (body[0], "body>div.story") and html.extract(page, ["body>main"])[1] == "body>div.offers"
+
+
+@pytest.mark.parametrize("part", ["<blockquote>", "<b>", "<div class=ad>", "<p>x", "<li>x", "<div>x</b>", "<b></i>", "<!x", "<a \"", "<a '>", "<a \"\" <b>", "<", "</", "&amp", "<form><p>x", "<td><p>x<b>", "<script>", "<!--"])
+def test_html_takes_linear_time(part):
+    took = []
+    for n in (60_000, 240_000):
+        page = (part * n)[:n] + " end >"
+        began = time.process_time()
+        html.extract(page, ["body>div", "body>article"])
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.3, took
+
+
+def test_html_megabyte_of_unclosed_tags():
+    tracemalloc.start()
+    text, _ = html.extract("<blockquote>" * 40_000 + "deep " + "<b>" * 170_000 + "text", [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    began = time.process_time()
+    assert html.extract("<blockquote>" * 90_000 + "deep text", [])[0] == "deep text" and text == "deep text"
+    assert time.process_time() - began < 2 and peak < 200e6
+
+
 def test_html_query_against_reading_the_article(spark, sf_dir):
     from html import unescape
 
