@@ -2,8 +2,9 @@
 
 All measures are built-in expressions over the row's own text: no user functions and
 no shuffle. A rule names a ratio and the range that it has to stay in; the verdict is
-the conjunction of all rules. Word windows are compared by a 64-bit hash within one
-text. Null text counts as empty; a text without words fails the base rule and every
+the conjunction of all rules. Word windows are compared word by word where their 64-bit
+hashes within the text agree; stop words are known in any case. Repeated rows are judged
+alike. Null text counts as empty; a text without words fails the base rule and every
 ratio of it is 0.
 """
 from __future__ import annotations
@@ -57,12 +58,13 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
 
     def repeated(s: Column) -> Column:
-        same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        same = lambda x, i: F.coalesce((F.get(s, i)["h"] == x["h"]) & (F.get(s, i)["w"] == x["w"]), F.lit(False))
         return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
 
     def of(w: Column) -> Column:
         windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-        placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        # Windows in the order of hash, words, place: equal ones are neighbours, even where another one shares their hash.
+        placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, 3).alias("w"), i.alias("p"))))
         heavy = lambda h: let(placed(h), lambda s: let(repeated(s), covered))
         return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(heavy(h)))
 
@@ -76,7 +78,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def counts(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
             repeated_words(w).alias("n_repeat_words"),
         )
 

@@ -102,7 +102,7 @@ m AS (
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
          length(text) - length(translate(text, '!', '')) AS n_exclaim,
          len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words,
-         len(list_filter(w, lambda x: list_contains({stop}, x))) AS n_stop
+         len(list_filter(w, lambda x: list_contains({stop}, lower(x)))) AS n_stop
   FROM w LEFT JOIN k USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
