@@ -88,6 +88,8 @@ def test_url_filter_brute_force(spark):
     for i, u, n in captures:
         best = judge(u, n)
         assert got[i, u] == ((best[2], best[3], best[2] == "block") if best else (None, None, False)), (u, n)
+    twice = urls.filter_captures(c.union(c), e)
+    assert Counter(map(tuple, twice.collect())) == Counter(map(tuple, urls.filter_captures(c, e).union(urls.filter_captures(c, e)).collect()))
     assert urls.filter_captures(c.limit(0), e).count() == 0
     assert urls.filter_captures(c, e.limit(0)).filter("blocked").count() == 0
     assert "Python" not in urls.filter_captures(c, e)._jdf.queryExecution().toString()
@@ -345,6 +347,9 @@ def test_quality_brute_force(spark, docs, empty):
         assert want in [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got[i]]
         assert all(not (r.base_failed and r.kept) for r in got[i])
     assert quality.quality(empty).count() == 0
+    shout = " ".join(f"w{k}" for k in range(60))
+    case = spark.createDataFrame([(1, shout + " The of AND"), (2, shout + " Thx ofx ANDX")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_stop, r.kept) for r in quality.quality(case).collect()} == {1: (3, True), 2: (0, False)}
     assert "Python" not in quality.quality(docs)._jdf.queryExecution().toString()
 
 
