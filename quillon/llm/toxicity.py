@@ -8,16 +8,16 @@ them, and scoring locates those sentences again.
 
 Labels, language, source and doc_id are never inputs of a score. The weights are
 fitted on a bounded sample of labelled rows (TOXIC_ROWS and CLEAN_ROWS, in the order
-of a hash); every document is scored, over its whole text. Null and empty texts get
-the score of an empty bag, 0. Labels that are null are not used; of repeated labels of
-a document the highest counts.
+of a hash, of together at most SAMPLE_CHARS characters); every document is scored, over
+its whole text. Null and empty texts get the score of an empty bag, 0. Labels that are
+null are not used; of repeated labels of a document the highest counts. Rows that repeat
+a doc_id and a text are one row of the sample, and are scored alike.
 """
 from __future__ import annotations
 
 import re
 import zlib
 from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,24 +106,30 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[np.ndarray,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of the bounded sample, and the share of toxic rows among all labels for learning."""
+    """Texts and labels of the bounded sample, and the share of toxic rows among all labels for learning.
+
+    What reaches the driver is bounded in rows and characters, however often a doc_id repeats.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     n = {bool(r[0]): r[1] for r in known.groupBy(F.col("toxic") > 0).count().collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = known.filter("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.filter("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS))
-    rows = doc_texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    rows = doc_texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    keys = rows.select("doc_id", "toxic", "size", "sha").distinct()
+    order += ["size", "sha"]
+    chosen = keys.filter("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).collect() + keys.filter("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS).collect()
     # Sums of lengths keep what reaches the driver below SAMPLE_CHARS; rows that do not fit are passed over.
-    sizes = Counter((r[0] * 0x9E3779B1 % (1 << 32), r[0], r[1]) for r in rows.select("doc_id", F.length("text")).collect())
     total, kept = 0, []
-    for (_, i, size), n_rows in sorted(sizes.items()):
-        if total + size * n_rows <= SAMPLE_CHARS:
-            total += size * n_rows
-            kept.append((i, size))
-    if len(kept) < len(sizes):
-        fit = docs.sparkSession.createDataFrame(kept, "doc_id long, size int")
-        rows = rows.withColumn("size", F.length("text")).join(F.broadcast(fit), ["doc_id", "size"]).drop("size")
-    got = sorted(map(tuple, rows.collect()))
+    for r in sorted(chosen, key=lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["doc_id"], r["size"], r["sha"])):
+        if total + r["size"] <= SAMPLE_CHARS:
+            total += r["size"]
+            kept.append((r["doc_id"], r["sha"]))
+    if not kept:
+        return [], np.zeros(0, bool), 0.0
+    wanted = docs.sparkSession.createDataFrame(kept, "doc_id long, sha string")
+    got = rows.join(F.broadcast(wanted), ["doc_id", "sha"]).groupBy("doc_id", "sha").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in got.collect())
     return [t for _, t, _ in got], np.array([y > 0 for _, _, y in got], bool), n.get(True, 0) / max(1, sum(n.values()))
 
 
