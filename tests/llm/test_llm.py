@@ -328,6 +328,14 @@ def test_toxicity_sample_passes_over_rows_that_do_not_fit(spark, monkeypatch):
     assert len(toxicity.labelled_sample(df, labels)[0]) == len(ids) - 1
 
 
+def test_toxicity_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 10)
+    same = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit("again").alias("text"))
+    other = spark.range(500).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got, y, share = toxicity.labelled_sample(same.union(other), spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"))
+    assert len(got) == 11 and got.count("again") == 1 and list(y) == [True] + [False] * 10 and share == 0.5
+
+
 # 5
 
 
