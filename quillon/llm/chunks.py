@@ -4,7 +4,9 @@ A cut falls where the rolling hash of the last 32 characters has enough zero bit
 so an insertion moves the cuts near it and no others. Chunks are compared by a
 64-bit digest over all documents; a passage counts as repeated where two or more
 chunks in a row, of MIN_CHARS characters together, also stand in another document
-(with `inside`, also elsewhere in the same one). Single digests may collide; runs of
+(with `inside`, also elsewhere in the same one). The ends of a passage lie inside the
+chunks beside the run: with those it has to span MIN_WORDS words, unless the run alone
+has LONG_CHARS characters (text without spaces). Single digests may collide; runs of
 chunks that all collide do not occur.
 
 Null and empty texts have no chunks. Offsets are code points, ends exclusive. Every
@@ -26,8 +28,9 @@ from .common import doc_texts, map_arrow, staged
 LEAST, USUAL, MOST = 16, 32, 128
 #: Zero bits that a cut needs before and after USUAL.
 HARD_BITS, EASY_BITS = 6, 3
-#: Characters in a run of repeated chunks, for passages of over 50 words whose ends lie inside chunks.
-MIN_CHARS = 100
+#: What a run of repeated chunks needs, for passages of over 50 words: characters, words with the chunks beside it,
+#: and the characters that do without those words.
+MIN_CHARS, MIN_WORDS, LONG_CHARS = 60, 40, 320
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 1 << 16, "u4")
 
 
@@ -70,37 +73,52 @@ def cuts(text: str) -> list[int]:
     return out
 
 
+def words_before(text: str, ends: list[int]) -> np.ndarray:
+    """Words that begin before each of the ends."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = np.append(True, (points == 32) | (points - np.uint32(9) < 5))
+    return np.cumsum(blank[:-1] & ~blank[1:], dtype="i4")[np.array(ends, "i8") - 1]
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, ends array<int>, digests array<long>."""
+    """doc_id, ends array<int>, words array<int> (those that begin before each end), digests array<long>."""
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            ends, found = [], []
+            ends, words, found = [], [], []
             for text in b.column("text"):
                 text = text.as_py()
                 e = cuts(text)
                 ends.append(e)
+                words.append(words_before(text, e))
                 found.append(np.fromiter((digest(text[i:j]) for i, j in zip([0, *e], e)), "u8", len(e)).view("i8"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ends", "digests"])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends, ints), pa.array(words, ints), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ends", "words", "digests"])
 
-    return map_arrow(doc_texts(docs), run, "doc_id long, ends array<int>, digests array<long>")
+    return map_arrow(doc_texts(docs), run, "doc_id long, ends array<int>, words array<int>, digests array<long>")
 
 
-def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, inside: bool = False) -> DataFrame:
     """doc_id, start, end, n_chunks, first_doc_id (the smallest that has a chunk of it): one row for each repeated passage of each row.
 
     With inside, passages that stand twice within one text count as well.
     """
     table = staged(chunk_table(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    one = table.select("row", "doc_id", F.posexplode("digests").alias("k", "digest"), "ends")
-    one = one.select("row", "doc_id", "k", "digest", F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0).alias("start"), F.get("ends", F.col("k")).alias("end"))
+    k = F.col("k")
+    # Places as one number: the character, then the words up to the chunk before or after; both rise along a text.
+    place = lambda at, words: F.shiftleft(F.coalesce(at, F.lit(0)).cast("long"), 32) + F.coalesce(words, F.lit(0))
+    start, end = place(F.get("ends", k - 1), F.get("words", k - 2)), place(F.get("ends", k), F.get("words", F.least(k + 1, F.size("words") - 1)))
+    one = table.select("row", "doc_id", F.posexplode("digests").alias("k", "digest"), "ends", "words").select("row", "doc_id", "k", "digest", start.alias("start"), end.alias("end"))
     places = table.select("row", "doc_id", F.explode("digests").alias("digest")).groupBy("digest")
     shared = places.agg(F.min("doc_id").alias("first_doc_id"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("places"))
     shared = shared.filter("places > 1" if inside else "low < high").select("digest", "first_doc_id")
     shared = staged(shared, "shared")  # as a table, so that the join shuffles both sides and Spark can split a common digest
     again = one.join(shared, "digest")
     by_row = Window.partitionBy("row").orderBy("k")
-    runs = again.withColumn("run", F.col("k") - F.row_number().over(by_row))
+    runs = again.withColumn("run", k - F.row_number().over(by_row))
     runs = runs.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    return runs.filter((F.col("n_chunks") > 1) & (F.col("end") - F.col("start") >= min_chars)).select("doc_id", "start", "end", "n_chunks", "first_doc_id")
+    char, word = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    runs = runs.withColumn("words", word("end") - word("start") + 1).withColumns({"start": char("start"), "end": char("end")})
+    long = F.col("end") - F.col("start")
+    return runs.filter((F.col("n_chunks") > 1) & (long >= min_chars) & ((F.col("words") >= min_words) | (long >= LONG_CHARS))).select("doc_id", "start", "end", "n_chunks", "first_doc_id")
