@@ -598,7 +598,7 @@ def test_passages_by_row(spark):
     rng = random.Random(19)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    p, q, own, twice = text(70), text(70), text(30), text(70)
+    p, q, own, twice = (text(70) for _ in range(4))
     rows = [(None, text(20) + " " + p), (1, p + " " + text(40)), (2, text(5) + " " + q), (2, text(60) + " " + q), (3, own), (3, own), (4, twice + " " + text(50) + " " + twice), (5, "short")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = chunks.repeated_passages(df).collect()
@@ -610,8 +610,8 @@ def test_passages_by_row(spark):
     assert len(more) == 2 and all(rows[6][1][r.start : r.end] in twice for r in more)
 
 
-def brute_passages(texts, min_chars):
-    """Runs of chunks that also stand in another row."""
+def brute_passages(texts):
+    """Runs of chunks that also stand in another row, long enough by characters and by the words from the chunk before to the one after."""
     cut = [[(i, j) for i, j in zip([0, *chunks.cuts(t)], chunks.cuts(t))] for t in texts]
     holders = defaultdict(set)
     for r, (t, c) in enumerate(zip(texts, cut)):
@@ -620,12 +620,16 @@ def brute_passages(texts, min_chars):
     out = Counter()
     for r, (t, c) in enumerate(zip(texts, cut)):
         run = []
-        for i, j in [*c, (0, 0)]:
+        for k, (i, j) in enumerate([*c, (0, 0)]):
             if j and len(holders[t[i:j]]) > 1:
-                run.append((i, j))
+                run.append(k)
                 continue
-            if len(run) > 1 and run[-1][1] - run[0][0] >= min_chars:
-                out[r, run[0][0], run[-1][1], len(run)] += 1
+            if len(run) > 1:
+                a, b = c[run[0]][0], c[run[-1]][1]
+                around = c[max(0, run[0] - 1)][0], c[min(len(c) - 1, run[-1] + 1)][1]
+                words = len(re.findall(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", t[: around[1]])) - len(re.findall(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", t[: around[0]])) + 1
+                if b - a >= chunks.LONG_CHARS or b - a >= chunks.MIN_CHARS and words >= chunks.MIN_WORDS:
+                    out[r, a, b, len(run)] += 1
             run = []
     return out
 
@@ -634,7 +638,7 @@ def test_passages_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     got = Counter((r.doc_id, r.start, r.end, r.n_chunks) for r in chunks.repeated_passages(docs).collect())
-    assert got == Counter({(rows[r].doc_id, *x): n for (r, *x), n in brute_passages([r.text or "" for r in rows], chunks.MIN_CHARS).items()})
+    assert got == Counter({(rows[r].doc_id, *x): n for (r, *x), n in brute_passages([r.text or "" for r in rows]).items()})
 
 
 def test_chunks_resist_shifts():
