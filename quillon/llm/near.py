@@ -154,25 +154,25 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, key: int, side: np.ndarray
 
 
 def block_rows(batches, threshold: float):
-    """Links of each block; rows come sorted by (key, i, j, sub), so one block is held at a time."""
-    columns = ["key", "i", "j", "sub", "set_id", "mult", "keys", "grams"]
+    """Links of each block; rows come sorted by (key, i, j, sub, node), so one block is held at a time."""
+    columns = ["key", "i", "j", "sub", "node", "mult", "keys", "grams"]
 
     def solve(block, rows):
-        rows.sort(key=lambda r: r[1])
+        nodes = np.array([r[1] for r in rows])
         links = linked([np.frombuffer(r[4], "u8") for r in rows], np.array([r[3] for r in rows]), block[0], np.array([r[0] for r in rows]) if block[1] != block[2] else None, threshold)
         mult = np.array([r[2] for r in rows])
-        root = np.arange(len(rows))
+        root = nodes.copy()
         while len(rows) > 1:
-            low = np.minimum(root, np.where(links, root[None, :], len(rows)).min(1))
+            low = np.minimum(root, np.where(links, root[None, :], np.iinfo("i8").max).min(1))
             if (low == root).all():
                 break
             root = low
-        n = (links * mult).sum(1)
-        return [(rows[k][1], rows[root[k]][1], int(n[k])) for k in np.flatnonzero(links.any(1))]
+        some = links.any(1)
+        return list(zip(nodes[some].tolist(), root[some].tolist(), (links * mult).sum(1)[some].tolist()))
 
     def packed(out):
-        c = list(zip(*out)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.binary(), pa.int64()))], ["set_id", "root", "n_links"])
+        c = list(zip(*out)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["node", "root", "n_links"])
 
     block, rows, out = None, [], []
     for b in batches:
@@ -216,43 +216,43 @@ def classes(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
     nodes = sig.filter("n > 0").groupBy("set_id").agg(first.alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = nodes.join(multiplicity(sig), "set_id", "left").withColumn("mult", F.col("rows") - F.coalesce("extra", F.lit(0))).drop("rows", "extra")
-    nodes = staged(nodes, "nodes")
-    keyed_by = nodes.select("set_id", "rep", "n", F.posexplode("keys").alias("band", "key"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed_by = nodes.select("node", "set_id", F.col("rep")["_row"].alias("_row"), "n", F.posexplode("keys").alias("band", "key"))
     mark = [F.bit_xor(F.xxhash64("set_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
     buckets = keyed_by.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("band").alias("band"), *mark).filter("m > 1")
     buckets = buckets.withColumn("split", F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int"))
     # Of buckets with the same members, that of the first band stays: no other can be the first to hold a pair.
     buckets = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("first"), F.first("split").alias("split")).select("first.key", "split")
-    tested = staged(keyed_by.select("key", "set_id", F.col("rep")["_row"].alias("_row")).join(buckets, "key"), "members")
-    chosen = staged(tested.select("_row", "set_id").distinct(), "chosen")
-    small = chosen.count() * (ROW_BYTES + 16) <= BROADCAST_BYTES
-    texts = doc_texts(docs).select("_row", "text").join(F.broadcast(chosen) if small else chosen, "_row").select("set_id", "text")
+    tested = staged(keyed_by.select("key", "node", "_row").join(buckets, "key"), "members")
+    chosen = staged(tested.select("_row", "node").distinct(), "chosen")
+    small = chosen.count() * ROW_BYTES <= BROADCAST_BYTES
+    texts = doc_texts(docs).select("_row", "text").join(F.broadcast(chosen) if small else chosen, "_row").select("node", "text")
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array([grams(t.as_py(), n).tobytes() for t in b.column("text")], pa.binary())], ["set_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([grams(t.as_py(), n).tobytes() for t in b.column("text")], pa.binary())], ["node", "grams"])
 
-    full = map_arrow(texts, sets, "set_id binary, grams binary", cached=True).join(nodes.select("set_id", "mult", "keys"), "set_id")
-    sub = F.pmod(F.xxhash64("set_id"), F.col("split")).cast("int")
+    full = map_arrow(texts, sets, "node long, grams binary", cached=True).join(nodes.select("node", "mult", "keys"), "node")
+    sub = F.pmod(F.xxhash64("node"), F.col("split")).cast("int")
     blocks = (
         tested.withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
-        .select("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "set_id")
-        .join(full, "set_id").select("key", "i", "j", "sub", "set_id", "mult", "keys", "grams")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sub")
+        .select("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node")
+        .join(full, "node").select("key", "i", "j", "sub", "node", "mult", "keys", "grams")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sub", "node")
     )
-    links = staged(map_arrow(blocks, lambda batches: block_rows(batches, threshold), "set_id binary, root binary, n_links long"), "links")
-    labels = components(links.filter("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "set_id")
-    named = labels.join(nodes.select("set_id", "rep"), "set_id")
-    best = named.groupBy("label").agg(F.min("rep").alias("best"))
-    best = labels.join(best, "label").select("set_id", "best")
-    degree = links.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    known = nodes.select("set_id", "rep", "mult").join(degree.join(best, "set_id"), "set_id", "left")
-    known = known.select("set_id", F.coalesce("best", "rep").alias("rep"), (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    links = staged(map_arrow(blocks, lambda batches: block_rows(batches, threshold), "node long, root long, n_links long"), "links")
+    labels = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
+    best = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("best"))
+    best = labels.join(best, "label").select("node", "best")
+    degree = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    known = nodes.select("node", "set_id", "rep", "mult").join(degree.join(best, "node"), "node", "left").withColumn("rep", F.coalesce("best", "rep"))
+    # As a table, so that the join shuffles both sides and Spark can split a set that many rows share.
+    known = staged(known.select("set_id", F.col("rep")["doc_id"].alias("class_id"), F.col("rep")["_row"].alias("keeper"), (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")), "known")
     found = sig.select("_row", "doc_id", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
-    alone = F.col("rep").isNull()
+    alone = F.col("keeper").isNull()
     return found.select(
-        "_row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")["doc_id"]).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("rep")["_row"] == F.col("_row"))).alias("kept"),
+        "_row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("keeper") == F.col("_row"))).alias("kept"),
     )
 
 
