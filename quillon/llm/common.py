@@ -18,6 +18,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 BROADCAST_BYTES = 8 << 20
 #: Bytes that a row key takes in a broadcast table.
 ROW_BYTES = 64
+#: Rows that an operator's function gets at once.
+SLICE_ROWS = 1024
 #: White space of the text contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -99,13 +101,23 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, func, schema: str, cached: bool = False) -> DataFrame:
-    """mapInArrow whose Python workers can import this package; without `cached`, a worker's cache goes first."""
+    """mapInArrow whose Python workers can import this package; without `cached`, a worker's cache goes first.
+
+    Batches are handed on in slices, so that what a worker makes of one is small, and freed memory goes back.
+    """
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
+    def sliced(batches):
+        pool = pa.default_memory_pool()
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                yield b.slice(at, SLICE_ROWS)
+            pool.release_unused()
+
     def run(batches):
         if not cached:
             release()
-        yield from func(batches)
+        yield from func(sliced(batches))
 
     return df.mapInArrow(run, schema)
 
