@@ -22,16 +22,25 @@ def _raw(spark, d):
     return _md(spark, d).select(F.concat(F.lit("corpus/"), "category", F.lit("/"), "name", F.lit("/SKILL.md")).alias("path"), "content")
 
 
-@query()
+@query("""WITH @md SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'z/' ELSE 'a/' END, category, '/', name, '/SKILL.md') AS path, concat('doc-', doc_id) AS name, category,
+concat(CASE WHEN doc_id % 3 = 0 THEN 'Early: ' ELSE 'Text: ' END, role) AS description, concat(category, ',alpha,beta,', role) AS tags, '1.0.0' AS version, role,
+concat('alpha,', category, ',beta') AS triggers, concat('doc-', doc_id * 7 % 1000, ',x') AS related FROM md""")
 def load_skills(spark, d):
-    return K.load(_raw(spark, d))[0].drop("content")
+    """Two folders of which the first, that of every third document, comes last by name."""
+    md = _md(spark, d)
+    place = lambda folder: F.concat(F.lit(folder), "category", F.lit("/"), "name", F.lit("/SKILL.md"))
+    early = md.filter("doc_id % 3 = 0").select(F.lit(0).alias("dir_rank"), place("z/").alias("path"), F.replace("content", F.lit("Text: "), F.lit("Early: ")).alias("content"))
+    rows = K.load(early.unionByName(md.select(F.lit(1).alias("dir_rank"), place("a/").alias("path"), "content")))[0]
+    return rows.select("path", "name", "category", "description", "version", "role", *(F.array_join(c, ",").alias(c) for c in ("tags", "triggers", "related")))
 
 
-@query("""WITH @skills, p AS (SELECT concat('doc-', lpad(CAST(page_id * 3 AS STRING), 8, '0')) AS name, url AS description FROM pages)
+@query("""WITH @skills, p AS (SELECT concat('doc-', lpad(CAST(page_id // 2 * 3 AS STRING), 8, '0')) AS name, min_by(url, page_id) AS description FROM pages GROUP BY 1)
 SELECT name, description FROM skills UNION ALL SELECT name, description FROM p WHERE name NOT IN (SELECT name FROM skills)""")
 def index_merge(spark, d):
-    new = source(spark, d, "pages").select(F.concat(F.lit("doc-"), F.lpad((F.col("page_id") * 3).cast("string"), 8, "0")).alias("name"), F.col("url").alias("description"))
-    return K.merged_index(_skills(spark, d).select("name", "description"), new)
+    """A new list that names every document twice."""
+    name = F.concat(F.lit("doc-"), F.lpad((F.floor(F.col("page_id") / 2) * 3).cast("string"), 8, "0"))
+    new = source(spark, d, "pages").select(name.alias("name"), F.col("url").alias("description"), "page_id")
+    return K.merged_index(_skills(spark, d).select("name", "description"), new, "page_id")
 
 
 @query("""WITH @skills SELECT name, CASE WHEN doc_id % 3 = 0 THEN concat('local ', category) WHEN doc_id % 5 = 0 THEN concat('shared ', role) ELSE concat('remote ', role) END AS content FROM skills""")

@@ -1,5 +1,4 @@
 """Link graph queries over derived links."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -29,9 +28,12 @@ def non_reciprocal(spark, d):
     return G.one_way(_edges(spark, d))
 
 
-@query(_E + " SELECT src, dst, 'missing' AS problem FROM edges WHERE dst NOT IN (SELECT name FROM skills) UNION ALL SELECT src, dst, 'self' FROM edges WHERE src = dst UNION ALL SELECT src, dst, 'one way' FROM edges e WHERE dst IN (SELECT name FROM skills) AND NOT EXISTS (SELECT 1 FROM edges x WHERE x.src = e.dst AND x.dst = e.src AND x.dst IN (SELECT name FROM skills))")
+@query(_E + """, t AS (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM edges WHERE ends_with(dst, '7')), live AS (SELECT src, dst FROM edges WHERE dst IN (SELECT name FROM skills))
+SELECT src, dst, 'missing' AS problem FROM edges WHERE dst NOT IN (SELECT name FROM skills) UNION ALL SELECT src, dst, 'self' FROM edges WHERE src = dst
+UNION ALL SELECT src, dst, 'one way' FROM live WHERE (dst, src) NOT IN (SELECT (src, dst) FROM live) UNION ALL SELECT src, dst, 'duplicate' FROM t GROUP BY src, dst HAVING count(*) > 1""")
 def validate_links(spark, d):
-    return G.problems(_edges(spark, d), _names(spark, d))
+    e = _edges(spark, d)
+    return G.problems(e.unionByName(e.filter(F.col("dst").endswith("7"))), _names(spark, d))
 
 
 _DEG = "g AS (SELECT name, category, count(dst) AS degree FROM skills LEFT JOIN (SELECT src, dst FROM edges) ON src = name GROUP BY name, category)"
@@ -113,21 +115,9 @@ def keyword_multilabel(spark, d):
     return G.keyword_groups(*_keyworded(spark, d)).select("name", "grp")
 
 
-_BIN = "m AS (SELECT name, concat(category, role, CAST(length(content) % 5 AS STRING)) AS grp FROM skills)"
-
-
-def _bins(spark, d):
-    return source(spark, d, "skills").select("name", F.concat("category", "role", (F.length("content") % 5).cast("string")).alias("grp"))
-
-
-@query(f"WITH @skills, {_BIN} SELECT DISTINCT a.name AS src, b.name AS dst FROM m a JOIN m b ON a.grp = b.grp AND a.name <> b.name")
-def shared_group_links(spark, d):
-    return G.shared_groups(_bins(spark, d))
-
-
 @query(f"""WITH @skills, {_HITS}, m AS (SELECT name, string_agg(grp, '+' ORDER BY grp) AS grps FROM h GROUP BY name), s AS (SELECT DISTINCT grps, grp FROM m JOIN h ON h.name = m.name)
 SELECT 'member' AS kind, name AS src, grps AS dst FROM m UNION ALL SELECT DISTINCT 'link', a.grps, b.grps FROM s a JOIN s b ON a.grp = b.grp""")
-def shared_keyword_links(spark, d):
+def shared_group_links(spark, d):
     """Links of documents that share a keyword group, over the whole corpus: members of group sets, and linked sets."""
     # The same names and texts as in skills, without its join to labels, which would shuffle the texts.
     return G.shared_group_sets(G.keyword_groups(source(spark, d, "md").select("name", "text"), _keyworded(spark, d)[1]))
@@ -146,18 +136,7 @@ def group_links(spark, d):
     return G.group_links(members, spark.createDataFrame(_FLOW, "grp string, to_grp string, pos int"))
 
 
-@query(f"""WITH @skills, {_FL}, m AS (SELECT name, category AS grp, row_number() OVER (PARTITION BY category ORDER BY name) AS k FROM skills),
-x AS (SELECT a.name AS src, b.name AS dst FROM m a JOIN m b ON a.grp = b.grp AND a.name <> b.name AND a.k <= 20 AND b.k <= 20 UNION SELECT m.name, h.name FROM m JOIN f ON m.grp = f.grp JOIN m h ON h.grp = f.to_grp AND h.k <= 2 WHERE m.k <= 20) SELECT src, dst FROM x""")
-def curated_links(spark, d):
-    """Every pair of a curated group of up to twenty, and two of each group that it maps to."""
-    m = source(spark, d, "skills").select("name", F.col("category").alias("grp")).withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("name"))).filter("k <= 20")
-    two = m.filter("k <= 2").select(F.col("grp").alias("to_grp"), F.col("name").alias("dst"))
-    flow = spark.createDataFrame(_FLOW, "grp string, to_grp string, pos int")
-    across = m.select(F.col("name").alias("src"), "grp").join(F.broadcast(flow), "grp").join(two, "to_grp").select("src", "dst")
-    return G.shared_groups(m.select("grp", "name")).union(across).distinct()
-
-
-#: Curated groups of curated_links_all: literal lists, whole by definition.
+#: Curated groups: literal lists, whole by definition.
 CURATED = (
     ("src0", ("doc-00000000", "doc-00000040", "doc-00000100", "doc-00000160")),
     ("src1", ("doc-00000001", "doc-00000021", "doc-00000061", "doc-00000121", "doc-00000181")),
@@ -166,16 +145,27 @@ CURATED = (
     ("src4", ("doc-00000024", "doc-00000044", "doc-00000144")),
     ("src9", ("doc-00000009", "doc-00000089", "doc-00000129", "doc-00000169")),
 )
+#: Documents with complementary ones of their own choice, in order: where a mapped group holds some, the first two replace its own.
+COMPLEMENTARY = (
+    ("doc-00000000", ("doc-00000181", "doc-00000061", "doc-00000121", "doc-00000099")),
+    ("doc-00000022", ("doc-00000100",)),
+    ("doc-00000003", ("doc-00000144", "doc-00000099")),
+)
 _CU = "cu AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{n}')" for g, names in CURATED for n in names) + ") v(grp, name))"
+_CO = "co AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', {k})" for n, xs in COMPLEMENTARY for k, x in enumerate(xs)) + ") v(name, dst, pos))"
 
 
-@query(f"""WITH @skills, {_FL}, {_CU}, c AS (SELECT DISTINCT cu.grp, cu.name FROM cu JOIN skills s ON s.name = cu.name), h AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name) AS k FROM c)
-SELECT a.name AS src, b.name AS dst FROM c a JOIN c b ON a.grp = b.grp AND a.name <> b.name UNION SELECT s.name, h.name FROM skills s JOIN f ON s.category = f.grp JOIN h ON h.grp = f.to_grp AND h.k <= 2 WHERE s.name <> h.name""")
-def curated_links_all(spark, d):
-    """Every pair of a curated group, and for every document of a mapped category the first two of each group that it maps to."""
+@query(f"""WITH @skills, {_FL}, {_CU}, {_CO}, c AS (SELECT DISTINCT cu.grp, cu.name FROM cu JOIN skills s ON s.name = cu.name),
+o AS (SELECT s.name, f.to_grp, co.dst, row_number() OVER (PARTITION BY s.name, f.to_grp ORDER BY co.pos) AS k FROM skills s JOIN f ON s.category = f.grp JOIN co ON co.name = s.name JOIN c ON c.grp = f.to_grp AND c.name = co.dst),
+h AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY name) AS k FROM c)
+SELECT a.name AS src, b.name AS dst FROM c a JOIN c b ON a.grp = b.grp AND a.name <> b.name UNION SELECT name, dst FROM o WHERE k <= 2 AND name <> dst
+UNION SELECT s.name, h.name FROM skills s JOIN f ON s.category = f.grp JOIN h ON h.grp = f.to_grp AND h.k <= 2 WHERE s.name <> h.name AND (s.name, f.to_grp) NOT IN (SELECT (name, to_grp) FROM o)""")
+def curated_links(spark, d):
+    """Every pair of a curated group, and for every document of a mapped category two of each group that it maps to."""
     names = source(spark, d, "skills").select("name", F.col("category").alias("grp"))
     listed = spark.createDataFrame([(g, n) for g, group in CURATED for n in group], "grp string, name string")
-    return G.curated(names, listed, spark.createDataFrame(_FLOW, "grp string, to_grp string, pos int"))
+    own = spark.createDataFrame([(n, x, k) for n, xs in COMPLEMENTARY for k, x in enumerate(xs)], "name string, dst string, pos int")
+    return G.curated(names, listed, spark.createDataFrame(_FLOW, "grp string, to_grp string, pos int"), own)
 
 
 @query("SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey")

@@ -95,12 +95,11 @@ def plan_steps(spark, d):
     return P.summary(_selection(spark, d))
 
 
-_WHOLE_PLAN = "SELECT conv_id AS task_id, turn AS step, concat('s', turn) AS name, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 7 = 5 THEN concat('s', turn + 1) ELSE concat('s', turn - 1 - turn % 2) END AS depends_on FROM conversations"
-_PLAN = _WHOLE_PLAN + " WHERE turn < 5"
+_PLAN = "SELECT conv_id AS task_id, turn AS step, concat('s', turn) AS name, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 7 = 5 THEN concat('s', turn + 1) WHEN turn % 11 = 10 THEN concat('s', turn) ELSE concat('s', turn - 1 - turn % 2) END AS depends_on FROM conversations"
 
 
-def _plan(spark, d, sql=_PLAN):
-    return spark.sql(sql.replace("conversations", "{c}"), c=source(spark, d, "conversations")).distinct()
+def _plan(spark, d):
+    return spark.sql(_PLAN.replace("conversations", "{c}"), c=source(spark, d, "conversations")).distinct()
 
 
 @query(f"WITH p AS (SELECT DISTINCT * FROM ({_PLAN})) SELECT task_id, step, name, depends_on FROM p WHERE depends_on IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p e WHERE e.task_id = p.task_id AND e.name = p.depends_on AND e.step <= p.step)")
@@ -115,20 +114,6 @@ def plan_stages(spark, d):
     return P.stages(_plan(spark, d))
 
 
-@query(f"WITH p AS (SELECT DISTINCT * FROM ({_WHOLE_PLAN})) SELECT task_id, step, name, depends_on FROM p WHERE depends_on IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p e WHERE e.task_id = p.task_id AND e.name = p.depends_on AND e.step <= p.step)")
-def plan_validate_all(spark, d):
-    """plan_validate over whole plans, without its limit of five steps."""
-    return P.invalid(_plan(spark, d, _WHOLE_PLAN))
-
-
-@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT * FROM ({_WHOLE_PLAN})), r AS (SELECT task_id, name, 0 AS depth FROM p WHERE depends_on IS NULL UNION ALL SELECT p.task_id, p.name, depth + 1 FROM p JOIN r ON p.task_id = r.task_id AND p.depends_on = r.name),
-l AS (SELECT p.task_id, p.name, max(depth) AS stage FROM p LEFT JOIN r ON r.task_id = p.task_id AND r.name = p.name GROUP BY p.task_id, p.name)
-SELECT task_id, CAST(stage AS INTEGER) AS stage, string_agg(name, ',' ORDER BY name) AS names, CASE WHEN count(*) > 1 THEN 'parallel-group' ELSE 'single' END AS kind FROM l GROUP BY task_id, stage""")
-def plan_stages_all(spark, d):
-    """plan_stages over whole plans, without its limit of five steps."""
-    return P.stages(_plan(spark, d, _WHOLE_PLAN))
-
-
 _RUNS = "SELECT user_id AS task_id, event_id AS step, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events"
 
 

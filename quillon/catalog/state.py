@@ -84,11 +84,24 @@ def cleanup_totals(spark, d):
     return _expiry(spark, d).agg(F.count("*").alias("scanned"), gone.alias("deleted"), F.count_if(F.col("action") == "defer").alias("deferred"), (gone * 1024).alias("freed"))
 
 
-@query(f"{_E}, l AS (SELECT user_id, us // 5000000 AS slot, max_by(value, (us, event_id)) AS value FROM e GROUP BY user_id, us // 5000000) SELECT user_id, slot, value, (row_number() OVER (PARTITION BY slot ORDER BY user_id) - 1) // 10 AS batch FROM l")
+_FLUSH = """WITH RECURSIVE e AS (SELECT user_id, value, epoch_us(ts) // {flush} AS slot, row_number() OVER (PARTITION BY epoch_us(ts) // {flush} ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT slot, n, user_id, value, 0::BIGINT AS flush, [user_id] AS held FROM e WHERE n = 1
+ UNION ALL SELECT e.slot, e.n, e.user_id, e.value, CASE WHEN len(held) >= {size} THEN flush + 1 ELSE flush END, CASE WHEN len(held) >= {size} THEN [e.user_id] WHEN list_contains(held, e.user_id) THEN held ELSE list_append(held, e.user_id) END FROM w JOIN e ON e.slot = w.slot AND e.n = w.n + 1),
+l AS (SELECT user_id, slot, flush, max_by(value, n) AS value FROM w GROUP BY user_id, slot, flush)
+SELECT user_id, slot, flush, value, (row_number() OVER (PARTITION BY slot, flush ORDER BY user_id) - 1) // 10 AS batch FROM l"""
+
+
+@query(_FLUSH.format(flush=5_000_000, size=50))
 def write_coalesce(spark, d):
     return S.last_writes(_events(spark, d), "user_id")
 
 
+@query(_FLUSH.format(flush=43_200_000_000, size=20))
+def write_flush(spark, d):
+    """Half-day intervals, in which twenty waiting keys trigger the flush."""
+    return S.last_writes(_events(spark, d), "user_id", size=20, flush=43_200_000_000)
+
+
 @query(f"{_E} SELECT event_id, min(event_id) OVER (PARTITION BY user_id, us // 60000000) AS served_by FROM e")
 def inflight_dedupe(spark, d):
     """Requests of a key in the same minute share the first one's result."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions.code import code_metrics as measure_code, signature
 from ..operators.expand import expand_triggers as expand
+from ..operators.routing import parsed_ranking
 from ..registry import query, source
 
 _DROP = r"regexp_replace(content, '(?s)\A(.*?)((?:\A|\n)##\s+{t}\n.*?)(\n##.*)?\z', '\1\3')"
@@ -36,7 +37,26 @@ _text_query("drop_code", M.drop_code, "WITH @md SELECT name, regexp_replace(cont
 _text_query("flatten_headings", lambda c: M.flatten_headings(M.normalise_headings(c)), r"WITH @md SELECT name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)^##\s+', '## ', 'g'), '(?m)^## Core Workflow$', '## Workflow', 'g'), '(?m)^##\s+.+\n', '', 'g'), '\n\n+', ' ', 'g') AS content FROM md")
 _text_query("ensure_frontmatter", lambda c: M.ensure_frontmatter(F.lit("# Short\ntext"), c), r"WITH @md SELECT name, regexp_extract(content, '(?s)\A---\r?\n(.*?)\r?\n---', 0) || chr(10) || chr(10) || '# Short' || chr(10) || 'text' AS content FROM md")
 _text_query("sanitize", lambda c: M.sanitised(F.concat(c, F.lit(" eval (x) exec(`y`) system\t("))), r"""WITH @md SELECT name, replace(regexp_replace(regexp_replace(regexp_replace(content || ' eval (x) exec(`y`) system' || chr(9) || '(', 'eval\s*\(', 'eval_blocked(', 'g'), 'exec\s*\(', 'exec_blocked(', 'g'), 'system\s*\(', 'system_blocked(', 'g'), '`', '\`') AS content FROM md""")
-_text_query("replace_region", lambda c: M.replace_region(c, "```python", "```", F.lit("pass")), "WITH @md SELECT name, content || chr(10) || '```python' || chr(10) || 'pass' || chr(10) || '```' AS content FROM md")
+_REGION = "CASE doc_id % 3 WHEN 0 THEN content WHEN 1 THEN replace(content, '```python', '``` python') ELSE replace(content, chr(10) || '```' || chr(10), chr(10)) END"
+
+
+@query(rf"""WITH @md, r AS (SELECT name, {_REGION} AS content FROM md)
+SELECT name, CASE WHEN contains(content, '```python') THEN regexp_replace(content, '(?s)```python.*?```', '```python' || chr(10) || 'pay $1' || chr(10) || '```', 'g')
+ELSE regexp_replace(content, '\s+\z', '') || chr(10) || chr(10) || '```python' || chr(10) || 'pay $1' || chr(10) || '```' END AS content FROM r""")
+def replace_region(spark, d):
+    """Documents with the region, without its first mark, and without its last one."""
+    i, c = F.col("doc_id") % 3, F.col("content")
+    text = F.when(i == 0, c).when(i == 1, F.replace(c, F.lit("```python"), F.lit("``` python"))).otherwise(F.replace(c, F.lit("\n```\n"), F.lit("\n")))
+    return _md(spark, d).select("name", M.replace_region(text, "```python", "```", F.lit("pay $1")).alias("content"))
+
+
+@query(r"""SELECT page_id, 'eval_blocked(' || page_id || ') \`' || url || '\`' AS a, CASE WHEN page_id % 2 = 0 THEN 'system_blocked(x) exec_blocked(y)' ELSE 'systems (x)' END AS b FROM pages""")
+def sanitize_map(spark, d):
+    """Every value of a map, as each value of a request's context."""
+    b = F.when(F.col("page_id") % 2 == 0, "system (x) exec\t(y)").otherwise("systems (x)")
+    m = F.create_map(F.lit("a"), F.concat(F.lit("eval ("), "page_id", F.lit(") `"), "url", F.lit("`")), F.lit("b"), b)
+    clean = M.sanitised_values(m)
+    return source(spark, d, "pages").select("page_id", clean["a"].alias("a"), clean["b"].alias("b"))
 
 
 @query(f"""WITH @md, l1 AS (SELECT name, length(content) AS n, {_L1} AS content FROM md), l2 AS (SELECT name, n, content AS c1, {_DROP.replace("{t}", "When to Use")} AS content FROM l1),
@@ -151,10 +171,14 @@ def footer(spark, d):
     return s.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["line"]), "\n").alias("footer"))
 
 
-@query(r"""WITH r AS (SELECT conv_id, turn, '{"rankings": [{"name": "a' || conv_id || '", "score": 0.' || (turn % 10) || '}, {"name": "b", "score": 0.5}]}' AS reply FROM conversations)
-SELECT conv_id, turn, 'a' || conv_id AS name, CAST('0.' || (turn % 10) AS DOUBLE) AS score FROM r UNION ALL SELECT conv_id, turn, 'b', 0.5::DOUBLE FROM r""")
+@query("""SELECT conv_id, turn, 'a' || conv_id AS name, CASE WHEN turn % 4 = 3 THEN 0.0 ELSE CAST('0.' || (turn % 10) AS DOUBLE) END AS score, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'fits ' || role END AS reason FROM conversations
+UNION ALL SELECT conv_id, turn, 'b', 0.5::DOUBLE, CASE WHEN turn % 4 = 0 THEN 'ok' ELSE 'is, ok' END FROM conversations""")
 def rank_parse(spark, d):
-    reply = F.concat(F.lit('Here: {"rankings": [{"name": "a'), "conv_id", F.lit('", "score": 0.'), F.col("turn") % 10, F.lit('}, {"name": "b", "score": 0.5}]} done'))
-    json = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(json, "rankings array<struct<name:string,score:double>>")
-    return source(spark, d, "conversations").select("conv_id", "turn", F.inline(parsed["rankings"]))
+    """Replies as JSON in prose, as numbered lines, as broken JSON with lines, and with a score that is no number."""
+    i, t = F.col("conv_id").cast("string"), F.col("turn")
+    score = F.concat(F.lit("0."), (t % 10).cast("string"))
+    json = F.concat(F.lit('Here: {"rankings": [{"name": "a'), i, F.lit('", "score": '), score, F.lit('}, {"name": "c", "score": 1}, {"skillName": "b", "score": 0.5, "reason": "ok"}]} done'))
+    lines = lambda value: F.concat(F.lit("1. a"), i, F.lit(" score: "), value, F.lit(" reason: fits "), "role", F.lit(" \n no. 2.\n2.  b Score:0.5Reason: is, ok\n3. c score: 1 reason: unknown"))
+    reply = F.when(t % 4 == 0, json).when(t % 4 == 1, lines(score)).when(t % 4 == 2, F.concat(F.lit('{"rankings": [{"name" }\n'), lines(score))).otherwise(lines(F.lit(".")))
+    rows = source(spark, d, "conversations").select("conv_id", "turn", parsed_ranking(reply, F.array(F.concat(F.lit("a"), i), F.lit("b"))).alias("r"))
+    return rows.select("conv_id", "turn", F.inline("r"))

@@ -30,7 +30,7 @@ class Engine:
     def from_folders(cls, spark: SparkSession, *folders: str) -> Engine:
         """Documents of the folders, the first of each name in their order."""
         raw = tables.scan_documents(spark, *folders)
-        return cls(spark, corpus.first_by_name(corpus.with_metadata(raw).filter(corpus.is_valid()), "path"))
+        return cls(spark, corpus.load(raw)[0])
 
     def list(self) -> DataFrame:
         return self.skills.select("name", "category", "description")

@@ -4,8 +4,11 @@ Sections end at the next heading of level two or more, or at the end of the text
 """
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,11 +175,12 @@ def sloc(code: Column) -> Column:
 
 
 def replace_region(text: Column, begin: str, end: str, new: Column) -> Column:
-    """Text between two markers replaced; appended with its markers where they are absent."""
+    """Every text from the one marker to the next other one replaced by a new block; appended where the first marker is absent."""
     block = F.concat(F.lit(begin + "\n"), new, F.lit("\n" + end))
-    at, to = F.locate(begin, text), F.locate(end, text)
-    swapped = F.concat(F.substring(text, F.lit(1), at - 1), block, F.substring(text, to + len(end), F.length(text)))
-    return F.when((at > 0) & (to > at), swapped).otherwise(F.concat(text, F.lit("\n"), block))
+    quoted = F.replace(F.replace(block, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    region = F.lit("(?s)" + re.escape(begin) + ".*?" + re.escape(end))
+    appended = F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), block)
+    return F.when(text.contains(begin), F.regexp_replace(text, region, quoted)).otherwise(appended)
 
 
 def sanitised(text: Column) -> Column:
@@ -185,6 +189,35 @@ def sanitised(text: Column) -> Column:
     return F.replace(text, F.lit("`"), F.lit("\\`"))
 
 
+def sanitised_values(values: Column) -> Column:
+    """A map of texts with every value sanitised."""
+    return F.transform_values(values, lambda _, v: sanitised(v))
+
+
+def sanitised_json(text: Column) -> Column:
+    """JSON text with every string in it sanitised, at any depth; keys stay. Null where it does not parse."""
+
+    def clean(x):
+        if isinstance(x, str):
+            for name in ("eval", "exec", "system"):
+                x = re.sub(rf"{name}\s*\(", f"{name}_blocked(", x)
+            return x.replace("`", "\\`")
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items()}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(clean(json.loads(t)), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Share of common lower-case words; 0 where neither has any."""
     words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"[ \t\r\n]+"), lambda w: w != ""))

@@ -20,7 +20,8 @@ SIZE_STEPS = (1000, 2000, 3000, 5000, 10000)
 def with_metadata(docs: DataFrame) -> DataFrame:
     """Name, category, description, tags and version from front matter, with defaults from the path.
 
-    docs has (path, content); the directory is the last but one part of the path.
+    docs has (path, content) and may have dir_rank, the place of its folder among several; the directory is the
+    last but one part of the path.
     """
     f = F.col("f")
     folder = F.element_at(F.split("path", "/"), -2)
@@ -29,7 +30,7 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     triggers = F.coalesce(M.split_list(f["triggers"]), F.array().cast("array<string>"))
     tags = F.array_distinct(F.array_compact(F.concat(F.array(category), triggers, F.array(f["role"], f["scope"]))))
     return docs.withColumn("f", M.lenient_fields(M.frontmatter(F.col("content")))).select(
-        "path", name.alias("name"), category.alias("category"),
+        *(c for c in ("dir_rank",) if c in docs.columns), "path", name.alias("name"), category.alias("category"),
         F.coalesce(f["description"], F.concat(F.lit("Skill: "), name)).alias("description"),
         tags.alias("tags"), F.coalesce(f["version"], F.lit("1.0.0")).alias("version"), f["role"].alias("role"), triggers.alias("triggers"),
         F.coalesce(M.split_list(f["related-skills"]), F.array().cast("array<string>")).alias("related"), "content",
@@ -46,9 +47,10 @@ def first_by_name(docs: DataFrame, *order) -> DataFrame:
 
 
 def load(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid documents, first wins by name in path order, and the rejected ones."""
+    """Valid documents, first wins by name in the order of folders, then paths, and the rejected ones."""
     rows = with_metadata(docs)
-    return first_by_name(rows.filter(is_valid()), "path"), rows.filter(~is_valid())
+    order = [c for c in ("dir_rank", "path") if c in rows.columns]
+    return first_by_name(rows.filter(is_valid()), *order), rows.filter(~is_valid())
 
 
 def yaml_fields(front: Column) -> Column:
@@ -69,9 +71,10 @@ def yaml_fields(front: Column) -> Column:
     return F.pandas_udf(run, "string")(front)
 
 
-def merged_index(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing rows and the new ones whose names are unseen."""
-    return existing.unionByName(new.join(existing.select("name"), "name", "left_anti"))
+def merged_index(existing: DataFrame, new: DataFrame, *order) -> DataFrame:
+    """Existing rows and the new ones whose names are unseen; of new ones with the same name the first in order."""
+    unseen = new.join(existing.select("name"), "name", "left_anti")
+    return existing.unionByName(first_by_name(unseen, *order or sorted(new.columns)).select(*existing.columns))
 
 
 def resolved_content(candidates: DataFrame) -> DataFrame:

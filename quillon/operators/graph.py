@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,14 +72,12 @@ def repaired(edges: DataFrame, names: DataFrame, suggestions: DataFrame, most: i
 
 
 def problems(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(src, dst, problem): missing targets, self-links, one-way links."""
-    self_links = edges.filter("src = dst").select("src", "dst")
-    found = ((dangling(edges, names), "missing"), (self_links, "self"), (one_way(alive(edges, names)), "one way"))
-    out = None
-    for rows, kind in found:
-        rows = rows.withColumn("problem", F.lit(kind))
-        out = rows if out is None else out.union(rows)
-    return out
+    """(src, dst, problem): missing targets, self-links, one-way links, links that stand more than once."""
+    once = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = once.select("src", "dst")
+    live = alive(links, names)
+    found = ((dangling(links, names), "missing"), (links.filter("src = dst"), "self"), (one_way(live), "one way"), (once.filter("n > 1").select("src", "dst"), "duplicate"))
+    return reduce(DataFrame.union, [rows.withColumn("problem", F.lit(kind)) for rows, kind in found])
 
 
 #: Documents of one category that a block holds from each side.
@@ -176,10 +175,20 @@ def shared_group_sets(groups: DataFrame) -> DataFrame:
     return members.select(F.lit("member").alias("kind"), F.col("name").alias("src"), F.array_join("grps", "+").alias("dst")).union(links.select(F.lit("link"), "src", "dst"))
 
 
-def curated(members: DataFrame, listed: DataFrame, flow: DataFrame, two: int = 2) -> DataFrame:
-    """(src, dst): all pairs of each listed group, and from every member to the first `two` of the groups that the flow maps its own to."""
+def curated(members: DataFrame, listed: DataFrame, flow: DataFrame, own: DataFrame | None = None, two: int = 2) -> DataFrame:
+    """(src, dst): all pairs of each listed group, and from every member to `two` of each group that the flow maps its own to.
+
+    Those are the group's first by name, or of its members the first that `own` (name, dst, pos) gives the document.
+    Lists, flow and own choices are literal tables, small by definition.
+    """
     found = listed.join(members.select("name").distinct(), "name", "left_semi").select("grp", "name").distinct()
     heads = found.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("name"))).filter(F.col("k") <= two).select(F.col("grp").alias("to_grp"), F.col("name").alias("dst"))
-    ways = flow.join(heads, "to_grp").select("grp", "dst")
-    across = members.select(F.col("name").alias("src"), "grp").join(F.broadcast(ways), "grp").filter("src <> dst").select("src", "dst")
-    return shared_groups(found).union(across).distinct()
+    mapped = members.select("name", "grp").join(F.broadcast(flow.select("grp", "to_grp")), "grp").select("name", "to_grp")
+    if own is None:
+        across = mapped.join(F.broadcast(heads), "to_grp")
+    else:
+        inside = own.join(found.select(F.col("name").alias("dst"), F.col("grp").alias("to_grp")), "dst")
+        chosen = mapped.join(F.broadcast(inside), ["name", "to_grp"]).withColumn("k", F.row_number().over(Window.partitionBy("name", "to_grp").orderBy("pos")))
+        plain = mapped.join(F.broadcast(inside.select("name", "to_grp").distinct()), ["name", "to_grp"], "left_anti").join(F.broadcast(heads), "to_grp")
+        across = plain.select("name", "dst").union(chosen.filter(F.col("k") <= two).select("name", "dst"))
+    return shared_groups(found).union(across.filter("name <> dst").select(F.col("name").alias("src"), "dst")).distinct()

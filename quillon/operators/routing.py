@@ -51,3 +51,20 @@ def prompt_line(rank: Column, name: Column, category: Column) -> Column:
 def ranking_key(task: Column, names: Column) -> Column:
     """Key of a cached ranking: it does not depend on case, blanks around or the order of candidates."""
     return F.sha2(F.concat_ws("|", F.lower(F.trim(task)), F.array_join(F.array_sort(names), ",")), 256)
+
+
+def parsed_ranking(reply: Column, names: Column) -> Column:
+    """(name, score, reason) rows of a model's reply that rank one of the names.
+
+    What stands from the first brace to the last is read as JSON; where there is none, or it does not
+    parse, the lines `1. name score: 0.5 reason: text` are read, a score that is no number as 0.
+    """
+    json = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    entry = "struct<name:string,skillName:string,score:double,reason:string>"
+    listed = F.transform(F.from_json(json, f"rankings array<{entry}>")["rankings"], lambda x: F.struct(F.coalesce(x["name"], x["skillName"]).alias("name"), x["score"].alias("score"), x["reason"].alias("reason")))
+    line = r"(?i)(\d+)\.\s+(\S+)\s+score:\s*([\d.]+)\s*reason:\s*(.+)"
+    score = lambda x: F.coalesce(F.regexp_extract(x, line, 3).try_cast("double"), F.lit(0.0))
+    told = F.transform(F.filter(F.split(reply, "\n"), lambda x: x.rlike(line)), lambda x: F.struct(F.regexp_extract(x, line, 2).alias("name"), score(x).alias("score"), F.trim(F.regexp_extract(x, line, 4)).alias("reason")))
+    none = F.array().cast("array<struct<name:string,score:double,reason:string>>")
+    rows = F.when(F.try_parse_json(json).isNotNull(), F.coalesce(listed, none)).otherwise(told)
+    return F.filter(rows, lambda x: F.array_contains(names, x["name"]))

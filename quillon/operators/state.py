@@ -24,18 +24,6 @@ def ttl_replay(events: DataFrame, ttl: Column, *keys: str) -> DataFrame:
     return events.withColumn("outcome", F.when(gap.isNull(), "miss").when(gap <= ttl, "hit").otherwise("expired"))
 
 
-def count_windows(us, width: int = WINDOW) -> list[tuple[int, int]]:
-    """(number of window, count in it) for sorted times: a window starts at its first event and restarts at `width`."""
-    out, start, number, count = [], None, -1, 0
-    for t in us:
-        if start is None or t - start >= width:
-            start, number, count = t, number + 1, 1
-        else:
-            count += 1
-        out.append((number, count))
-    return out
-
-
 def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
     """Events with their anchored window and the count so far.
 
@@ -75,11 +63,32 @@ def expiry(age: Column, idle: Column, accesses: Column, most: int = FRESH) -> Co
 
 
 def last_writes(writes: DataFrame, key: str, size: int = 50, batch: int = 10, flush: int = 5_000_000) -> DataFrame:
-    """(key, slot, value, batch): the last write of each key in each flush interval, in batches by key."""
-    slot = F.floor(F.col("us") / flush)
-    last = writes.groupBy(key, slot.alias("slot")).agg(F.max_by("value", F.struct("us", "event_id")).alias("value"))
-    place = F.row_number().over(Window.partitionBy("slot").orderBy(key)) - 1
-    return last.select(key, "slot", "value", F.floor(place / batch).cast("long").alias("batch"))
+    """(key, slot, flush, value, batch): the last write of each key in each flush, in batches by key.
+
+    Writes collect in a buffer that holds one entry for each key. It is flushed when the interval ends, and
+    within it as soon as `size` keys are waiting. A slot is one interval of events, handled in order of time.
+    """
+    writes.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    rows = writes.select(key, "event_id", "us", "value", F.floor(F.col("us") / flush).alias("slot"))
+
+    def solve(batches):
+        # Slots come whole and in order; only the open buffer is carried from batch to batch.
+        now, number, held = None, 0, set()
+        for g in batches:
+            found = []
+            for k, slot in zip(g[key].tolist(), g["slot"].tolist()):
+                if slot != now:
+                    now, number, held = slot, 0, set()
+                elif len(held) >= size:
+                    number, held = number + 1, set()
+                held.add(k)
+                found.append(number)
+            yield g.assign(flush=found)[[key, "event_id", "us", "value", "slot", "flush"]]
+
+    runs = rows.repartition("slot").sortWithinPartitions("slot", "us", "event_id").mapInPandas(solve, f"{key} long, event_id long, us long, value double, slot long, flush long")
+    last = runs.groupBy(key, "slot", "flush").agg(F.max_by("value", F.struct("us", "event_id")).alias("value"))
+    place = F.row_number().over(Window.partitionBy("slot", "flush").orderBy(key)) - 1
+    return last.select(key, "slot", "flush", "value", F.floor(place / batch).cast("long").alias("batch"))
 
 
 def evict_victim(entries: DataFrame, group: str) -> DataFrame:

@@ -45,10 +45,9 @@ def summary(selection: DataFrame) -> DataFrame:
 
 def invalid(plan: DataFrame) -> DataFrame:
     """Steps whose dependency is neither earlier in the plan nor the step itself."""
-    earlier = plan.select("task_id", F.col("step").alias("at"), F.col("name").alias("depends_on"))
-    waits = plan.filter("depends_on is not null").alias("p")
-    ok = waits.join(earlier, ["task_id", "depends_on"]).filter("at <= step").select("task_id", "step").distinct()
-    return waits.join(ok, ["task_id", "step"], "left_anti").select("task_id", "step", "name", "depends_on")
+    earlier = plan.select(F.col("task_id").alias("of"), F.col("step").alias("at"), F.col("name").alias("known"))
+    met = F.col("task_id").eqNullSafe(F.col("of")) & (F.col("depends_on") == F.col("known")) & (F.col("at") <= F.col("step"))
+    return plan.filter("depends_on is not null").join(earlier, met, "left_anti").select("task_id", "step", "name", "depends_on")
 
 
 def step_stages(rows: pd.DataFrame) -> pd.DataFrame:

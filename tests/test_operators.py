@@ -141,19 +141,20 @@ def test_plans(spark):
 
 def test_stages_of_long_plans(spark):
     rows = [(1, k, f"s{k}", f"s{k - 1}" if k else None) for k in range(300)] + [(2, 0, "x", "y"), (2, 1, "y", "x"), (2, 2, "z", "gone"), (2, 3, "free", None)]
-    rows += [(None, 0, "a", None), (None, 1, "b", "a")]
+    rows += [(None, 0, "a", None), (None, 1, "b", "a"), (3, 0, "self", "self"), (3, 1, "next", "self")]
     plan = spark.createDataFrame(rows, "task_id long, step int, name string, depends_on string")
     got = {(r.task_id, r.stage): (r.names, r.kind) for r in planner.stages(plan).collect()}
     want = {(1, k): (f"s{k}", "single") for k in range(300)}
     want |= {(2, 0): ("free", "single"), (2, None): ("x,y,z", "parallel-group"), (None, 0): ("a", "single"), (None, 1): ("b", "single")}
-    assert got == want
+    want |= {(3, None): ("next,self", "parallel-group")}  # a step that waits for itself is on a cycle, though it validates
+    assert got == want and {r.task_id for r in planner.invalid(plan).collect()} == {2}
 
 
 def test_whole_plans(spark, sf_dir):
     every = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct().collect()
-    rows = QUERIES["plan_stages_all"](spark, sf_dir).collect()
+    rows = QUERIES["plan_stages"](spark, sf_dir).collect()
     assert sorted((r.task_id, n) for r in rows for n in r.names.split(",")) == sorted((c, f"s{t}") for c, t in every)
-    late = {(r.task_id, r.step) for r in QUERIES["plan_validate_all"](spark, sf_dir).collect()}
+    late = {(r.task_id, r.step) for r in QUERIES["plan_validate"](spark, sf_dir).collect()}
     assert {(c, t) for c, t in every if t == 5} <= late
 
 
@@ -168,24 +169,35 @@ def test_links(spark):
 
 
 def test_curated_links_reach_every_document(spark, sf_dir):
-    from quillon.catalog.graph import _FLOW, CURATED
+    from quillon.catalog.graph import _FLOW, COMPLEMENTARY, CURATED
 
-    lists = dict(CURATED)
+    lists, own = dict(CURATED), dict(COMPLEMENTARY)
     docs = [(f"doc-{r.doc_id:08d}", r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()]
     want = {(a, b) for names in lists.values() for a in names for b in names if a != b}
-    want |= {(n, x) for n, c in docs for grp, to, _ in _FLOW if grp == c for x in sorted(lists[to])[:2] if x != n}
-    assert {tuple(r) for r in QUERIES["curated_links_all"](spark, sf_dir).collect()} == want
-    more = spark.createDataFrame([(f"n{k:03d}", "a") for k in range(50)] + [("z1", "b"), ("z2", "b")], "name string, grp string")
-    listed = spark.createDataFrame([("b", "z1"), ("b", "z2"), ("b", "gone")], "grp string, name string")
+    for n, c in docs:
+        for grp, to, _ in _FLOW:
+            if grp == c:
+                want |= {(n, x) for x in ([x for x in own.get(n, ()) if x in lists[to]] or sorted(lists[to]))[:2] if x != n}
+    assert {tuple(r) for r in QUERIES["curated_links"](spark, sf_dir).collect()} == want
+    assert any(n in own and x in own[n] for n, x in want)
+    more = spark.createDataFrame([(f"n{k:03d}", "a") for k in range(50)] + [("z1", "b"), ("z2", "b")] + [(f"m{k:02d}", "c") for k in range(25)], "name string, grp string")
+    listed = spark.createDataFrame([("b", "z1"), ("b", "z2"), ("b", "gone")] + [("c", f"m{k:02d}") for k in range(25)], "grp string, name string")
     flow = spark.createDataFrame([("a", "b", 0)], "grp string, to_grp string, pos int")
     got = {tuple(r) for r in graph.curated(more, listed, flow).collect()}
-    assert got == {(f"n{k:03d}", z) for k in range(50) for z in ("z1", "z2")} | {("z1", "z2"), ("z2", "z1")}
+    group = {f"m{k:02d}" for k in range(25)}
+    assert got == {(f"n{k:03d}", z) for k in range(50) for z in ("z1", "z2")} | {("z1", "z2"), ("z2", "z1")} | {(a, b) for a in group for b in group if a != b}
+
+
+def test_link_problems(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("a", "a"), ("a", "x"), ("a", "x"), ("c", "a")], "src string, dst string")
+    n = spark.createDataFrame([(x,) for x in "abc"], "name string")
+    assert {tuple(r) for r in graph.problems(e, n).collect()} == {("a", "b", "duplicate"), ("a", "x", "duplicate"), ("a", "x", "missing"), ("a", "a", "self"), ("c", "a", "one way")}
 
 
-def test_shared_keyword_links_are_whole(spark, sf_dir):
+def test_shared_group_links_are_whole(spark, sf_dir):
     from quillon.catalog.graph import _keyworded
 
-    rows = QUERIES["shared_keyword_links"](spark, sf_dir).collect()
+    rows = QUERIES["shared_group_links"](spark, sf_dir).collect()
     members = {r.src: r.dst for r in rows if r.kind == "member"}
     links = {(r.src, r.dst) for r in rows if r.kind == "link"}
     groups = graph.keyword_groups(*_keyworded(spark, sf_dir))
@@ -205,20 +217,64 @@ def test_suggestions_equal_brute_force(spark, monkeypatch):
     assert [(r.score, r.src, r.dst) for r in graph.suggested(docs, e).collect()] == want
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=30))
-def test_window_counter(gaps):
-    times, t = [], 0
-    for g in gaps:
-        t += g
-        times.append(t)
-    found = state.count_windows(times, 30)
-    start = None
-    for t, (_, count) in zip(times, found):
-        if start is None or t - start >= 30:
-            start = t
-            assert count == 1
-    assert [n for n, _ in found] == sorted(n for n, _ in found)
+def test_access_windows_equal_a_replay(spark):
+    rng = np.random.default_rng(5)
+    rows, want, event = [], set(), 0
+    for user in range(40):
+        t, start, number, count = 0, None, -1, 0
+        for gap in rng.integers(0, rng.choice([5, 20, 50]), rng.integers(0, 40)).tolist():
+            t, event = t + gap, event + 1
+            start, number, count = (t, number + 1, 1) if start is None or t - start >= 30 else (start, number, count + 1)
+            rows.append((user, event, t))
+            want.add((user, event, number, count))
+    e = spark.createDataFrame(rows, "user_id long, event_id long, us long")
+    assert {tuple(r) for r in state.access_windows(e, width=30).collect()} == want
+
+
+def test_buffer_flushes_by_count(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), i, int(us), float(i)) for i, (k, us) in enumerate(zip(rng.integers(0, 12, 400), np.sort(rng.integers(0, 4000, 400))))]
+    want, held, slot, flush = {}, set(), None, 0
+    for k, i, us, value in sorted(rows, key=lambda r: (r[2], r[1])):
+        if us // 1000 != slot:
+            held, slot, flush = set(), us // 1000, 0
+        elif len(held) >= 7:
+            held, flush = set(), flush + 1
+        held.add(k)
+        want[k, slot, flush] = value
+    got = state.last_writes(spark.createDataFrame(rows, "user_id long, event_id long, us long, value double"), "user_id", 7, 3, 1000).collect()
+    assert {(r.user_id, r.slot, r.flush): r.value for r in got} == want and max(f for _, _, f in want) > 3
+    for r in got:
+        assert r.batch == sum((s, f) == (r.slot, r.flush) and k < r.user_id for k, s, f in want) // 3
+
+
+def test_folders_win_in_their_order(spark, tmp_path):
+    for folder in ("z", "a"):
+        (tmp_path / folder / "one").mkdir(parents=True)
+        (tmp_path / folder / "one" / "SKILL.md").write_text(f"---\nname: one\ndescription: from {folder}\nmetadata:\n  domain: d\n---\n# One\n")
+    (tmp_path / "a" / "two").mkdir()
+    (tmp_path / "a" / "two" / "SKILL.md").write_text("---\nname: two\ndescription: from a\n---\n# Two\n")
+    for order in (("z", "a"), ("a", "z")):
+        rows = Engine.from_folders(spark, *(str(tmp_path / x) for x in order)).list().collect()
+        assert {r.name: r.description for r in rows} == {"one": f"from {order[0]}", "two": "from a"}
+
+
+def test_merged_index_takes_a_name_once(spark):
+    old, new = (spark.createDataFrame(x, "name string, at int") for x in ([("x", 0)], [("y", 2), ("y", 1), ("x", 1)]))
+    assert sorted(map(tuple, corpus.merged_index(old, new, "at").collect())) == [("x", 0), ("y", 1)]
+
+
+def test_regions(spark):
+    r = lambda text, new="n": one(spark, M.replace_region(F.lit(text), "<!-- A -->", "-->", F.lit(new)))
+    assert r("x --> <!-- A --> old --> y") == "x --> <!-- A -->\nn\n--> y"
+    assert r("no marks \n\n", "a\\b $0") == "no marks\n\n<!-- A -->\na\\b $0\n-->"
+    assert r("<!-- A --> open", "$1") == "<!-- A --> open" and r("<!-- A -->1--><!-- A -->2-->") == "<!-- A -->\nn\n--><!-- A -->\nn\n-->"
+
+
+def test_sanitised_json(spark):
+    clean = lambda t: one(spark, M.sanitised_json(F.lit(t)))
+    assert clean('{"eval (": ["exec  (1)", {"a": "`x` système(1)"}], "n": 1.5}') == '{"eval (": ["exec_blocked(1)", {"a": "\\\\`x\\\\` système(1)"}], "n": 1.5}'
+    assert clean("not json") is None
 
 
 def test_ttl_edges(spark):
