@@ -102,7 +102,7 @@ _HITS = f"kw AS ({_KW}), h AS (SELECT name, grp, ord, count(DISTINCT keyword) AS
 
 
 def _keyworded(spark, d):
-    return source(spark, d, "skills").select("name", F.col("content").alias("text")), spark.createDataFrame(list(KEYWORDS), "grp string, ord int, keyword string")
+    return source(spark, d, "skills").select("name", F.col("content").alias("text")), KEYWORDS
 
 
 @query(f"WITH @skills, {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY hits DESC, ord) AS k FROM h) SELECT s.name, coalesce(grp, 'none') AS grp FROM skills s LEFT JOIN k ON k.name = s.name AND k = 1")

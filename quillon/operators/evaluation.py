@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def compression_metrics(events: DataFrame) -> DataFrame:
     """Totals of (event, before, after, cache_size) events; the mean ratio is 1 without any."""
@@ -19,12 +21,21 @@ def compression_metrics(events: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Nearest-rank percentiles and the element in the middle."""
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, value, F.row_number().over(w.orderBy(value)).alias("n"), F.count("*").over(w).alias("c"))
-    at = lambda k: F.max(F.when(F.col("n") == k, F.col(value)))
+    """Nearest-rank percentiles and the element in the middle.
+
+    Equal values are counted first, then dealt by range, so that a group of any size is spread over many tasks:
+    a value's rank is its rank in its range and the numbers of the ranges before.
+    """
+    counted = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    ranges = staged(counted.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(group, "part").agg(F.sum("n").alias("m"))
+    of = Window.partitionBy(group)
+    before = sums.select(group, "part", (F.sum("m").over(of.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(of).alias("c"))
+    upto = F.sum("n").over(Window.partitionBy(group, "part").orderBy(value)) + F.col("before")
+    placed = ranges.join(before, [group, "part"]).select(group, value, "c", "n", upto.alias("upto"))
+    at = lambda k: F.max(F.when((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k), F.col(value)))
     share = lambda p: at(F.ceil(F.lit(p) * F.col("c")))
-    return ranked.groupBy(group).agg(at(F.floor(F.col("c") / 2) + 1).alias("median"), share(0.5).alias("p50"), share(0.95).alias("p95"), share(0.99).alias("p99"))
+    return placed.groupBy(group).agg(at(F.floor(F.col("c") / 2) + 1).alias("median"), share(0.5).alias("p50"), share(0.95).alias("p95"), share(0.99).alias("p99"))
 
 
 def summary(rows: DataFrame, group: str, value: str, tokens: str, price: float) -> DataFrame:

@@ -1,15 +1,12 @@
 """Operators on directed links (src, dst) between named documents. Order is by name."""
 from __future__ import annotations
 
-import os
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..sources.tables import staged
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -80,66 +77,74 @@ def problems(edges: DataFrame, names: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [rows.withColumn("problem", F.lit(kind)) for rows, kind in found])
 
 
-#: Documents of one category that a block holds from each side.
-BLOCK = 256
-
-
-def block_best(rows: pd.DataFrame, least: float, most: int) -> pd.DataFrame:
-    """The best pairs of a block of one category: word sets are compared by one matrix product."""
-    rows = rows.sort_values("name", ignore_index=True)
-    words = [w if w is not None else [] for w in rows["words"]]
-    sizes = np.array([len(w) for w in words])
-    _, column = np.unique(np.concatenate([np.asarray(w, object) for w in words] or [[]]).astype(str), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    both = np.zeros((len(rows), len(rows)), "f4")
-    for low in range(0, int(column.max(initial=-1)) + 1, 8192):
-        inside = (column >= low) & (column < low + 8192)
-        x = np.zeros((len(rows), 8192), "f4")
-        x[owner[inside], column[inside] - low] = 1
-        both += x @ x.T
-    either = sizes[:, None] + sizes - both
-    score = np.round(np.divide(both, either, out=np.zeros_like(both, "f8"), where=either > 0, dtype="f8"), 6)
-    ok = np.triu(score > least, 1)
-    side = rows["sub"].to_numpy()
-    if rows["i"].iloc[0] != rows["j"].iloc[0]:
-        ok &= side[:, None] != side[None, :]
-    place = {n: k for k, n in enumerate(rows["name"])}
-    for k, linked in enumerate(rows["linked"]):
-        for n in linked if linked is not None else ():
-            if n in place:
-                ok[k, place[n]] = False
-    at, to = np.nonzero(ok)
-    found = pd.DataFrame({"category": rows["category"].iloc[0], "src": rows["name"].to_numpy()[at], "dst": rows["name"].to_numpy()[to], "score": score[at, to]})
-    return found.sort_values(["score", "src", "dst"], ascending=[False, True, True]).head(most)
+#: Similarities at which suggestions are looked for, one after the other, until there are enough.
+LEVELS = (0.9, 0.7, 0.5)
+#: Common words that come last in every document's order of words; all others come before, in the order of a hash.
+COMMON_WORDS = 10_000
 
 
 def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     """The most similar pairs of a category that the first does not link to yet: docs has (name, category, text).
 
-    Categories are compared in blocks of bounded size; each block returns its best pairs only.
+    Documents of a category with equal word sets are one class. At each level, classes meet that share one of
+    the first words of both, in an order in which common words come last: pairs at the level or above cannot
+    miss each other. Levels fall until `most` pairs are found at one, so the best pairs never cost the many
+    faint ones. Of a class only as many names take part as the answer can hold, given the links there are.
     """
-    docs.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != ""))
-    linked = edges.groupBy(F.col("src").alias("name")).agg(F.collect_set("dst").alias("linked"))
-    parts = docs.groupBy("category").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("split"))
-    rows = docs.select("name", "category", words.alias("words")).join(linked, "name", "left").join(parts, "category")
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("name"), "split").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
-    rows = rows.select("category", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "name", "words", "linked")
-    best = rows.groupBy("category", "i", "j").applyInPandas(lambda g: block_best(g, least, most), "category string, src string, dst string, score double")
-    return best.orderBy(F.col("score").desc(), "src", "dst").limit(most)
-
-
-def keyword_groups(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(name, grp, ord, hits): groups of which any keyword stands in the text; keywords has (grp, ord, keyword)."""
-    hit = docs.join(F.broadcast(keywords), F.lower("text").contains(F.col("keyword")))
-    return hit.groupBy("name", "grp", "ord").agg(F.countDistinct("keyword").alias("hits"))
-
-
-def classified(docs: DataFrame, keywords: DataFrame, default: str) -> DataFrame:
+    rows = docs.select("name", "category", words.alias("words")).filter(F.size("words") > 0)
+    marks = [F.xxhash64(F.lit(s), F.array_sort("words")).alias(f"h{s}") for s in (1, 2)]
+    rows = staged(rows.select("*", *marks), "word-sets")
+    own = ["category", "h1", "h2"]
+    links = edges.select("src", "dst").distinct()
+    between = links.join(rows.select(F.col("name").alias("src"), *own), "src").join(rows.select(F.col("name").alias("dst"), "category", *(F.col(h).alias(f"to_{h}") for h in ("h1", "h2"))), ["dst", "category"])
+    # Between two classes, the first `most` + linked pairs by name hold `most` pairs without a link.
+    linked = between.groupBy(*own, "to_h1", "to_h2").count().agg(F.max("count")).first()[0] or 0
+    ranked = rows.select("name", *own).withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name")))
+    heads = staged(ranked.filter(F.col("k") <= most + 2 * linked + 1).select("name", *own), "class-heads")
+    sets = staged(rows.groupBy(*own).agg(F.first("words").alias("words"), F.min("name").alias("id")), "classes")
+    each = sets.select("id", "category", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = F.broadcast(each.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(COMMON_WORDS))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.xxhash64("word").alias("h"), "word")))
+    ordered = staged(each.join(common, "word", "left").groupBy("id", "category").agg(order["word"].alias("words")).withColumn("n", F.size("words")), "ordered")
+    for level in (*(x for x in LEVELS if x > least), least):
+        first = ordered.select("id", "category", "n", F.explode(F.slice("words", F.lit(1), (F.col("n") - F.ceil(level * F.col("n") - 1e-9) + 1).cast("int"))).alias("word"))
+        a, b = (first.select("category", "word", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+        fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= level * F.greatest("na", "nb") - 1e-9)
+        met = a.join(b, ["category", "word"]).filter(fits).select("category", "a", "b").distinct()
+        left, right = (ordered.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+        both = F.size(F.array_intersect("wa", "wb"))
+        score = F.round(both / (F.size("wa") + F.size("wb") - both), 6)
+        near = met.join(left, "a").join(right, "b").select("category", "a", "b", score.alias("score")).filter(F.col("score") >= round(level, 6))
+        same = sets.select("category", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+        of = sets.select("id", *own).join(heads, own).select("id", "name")
+        x, y = of.select(F.col("id").alias("a"), F.col("name").alias("x")), of.select(F.col("id").alias("b"), F.col("name").alias("y"))
+        pairs = near.union(same).join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        pairs = pairs.select("category", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "score").filter(F.col("score") > least)
+        best = pairs.join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst").limit(most)
+        best = staged(best, "suggested")
+        if level == least or best.count() >= most:
+            return best.orderBy(F.col("score").desc(), "src", "dst")
+
+
+def keyword_hits(text: Column, keywords) -> Column:
+    """Array of (grp, ord, hits): groups of which any keyword stands in the text; keywords are rows (grp, ord, keyword)."""
+    low, groups = F.lower(text), {}
+    for grp, rank, keyword in keywords:
+        groups.setdefault((grp, rank), set()).add(keyword)
+    hits = [F.struct(F.lit(g).alias("grp"), F.lit(o).alias("ord"), sum((low.contains(k).cast("int") for k in sorted(ks)), F.lit(0)).cast("long").alias("hits")) for (g, o), ks in groups.items()]
+    return F.filter(F.array(*hits), lambda x: x["hits"] > 0)
+
+
+def keyword_groups(docs: DataFrame, keywords) -> DataFrame:
+    """(name, grp, ord, hits) of every document, row by row."""
+    return docs.select("name", F.inline(keyword_hits(F.col("text"), keywords)))
+
+
+def classified(docs: DataFrame, keywords, default: str) -> DataFrame:
     """(name, grp): the group with most keywords, the first in order on a tie, the default without any."""
-    w = Window.partitionBy("name").orderBy(F.col("hits").desc(), "ord")
-    best = keyword_groups(docs, keywords).withColumn("k", F.row_number().over(w)).filter("k = 1").select("name", "grp")
-    return docs.select("name").join(best, "name", "left").select("name", F.coalesce("grp", F.lit(default)).alias("grp"))
+    best = F.array_min(F.transform(keyword_hits(F.col("text"), keywords), lambda x: F.struct((-x["hits"]).alias("few"), x["ord"].alias("ord"), x["grp"].alias("grp"))))
+    return docs.select("name", F.coalesce(best["grp"], F.lit(default)).alias("grp"))
 
 
 def group_links(members: DataFrame, flow: DataFrame, own: int = 2, most: int = 4) -> DataFrame:

@@ -1,57 +1,78 @@
-"""Exact vector search of a stated query set against all rows, in blocks."""
+"""Exact vector search of a stated query set against all rows, in blocks.
+
+Both sides are packed into blocks of bounded size where they stand, without a shuffle, and each pair of
+blocks is solved by one matrix product that returns only its best rows. The query set is whole and every
+row is compared, so the work is queries times rows; queries are broadcast below a checked size, else
+their blocks are written to a table that every task reads.
+"""
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Bytes of query vectors in one block; each block is one pass over the rows.
-BLOCK_BYTES = 16 << 20
+#: Bytes of vectors in one block, and of all query vectors that are broadcast.
+BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 8 << 20
+
+
+def packed(vectors: DataFrame, width: int, names: tuple[str, str]) -> DataFrame:
+    """Blocks of (id, v) rows of the width: ids and all their values in one row."""
+    most = max(1, BLOCK_BYTES // (8 * width))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                ids, flat = part.column("id"), part.column("v").flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, flat)], list(names))
+
+    rows = vectors.select("id", F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == width)
+    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>")
 
 
 def scored(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", radius: float | None = None) -> DataFrame:
-    """(query_id, id, value): the best k of each batch of rows, or all within the radius.
+    """(query_id, id, value): the best k of each block of rows, or all within the radius.
 
-    vectors and queries have (id, v). Values are rounded to six digits, and ties go to the smaller id.
+    vectors and queries have (id, v); null vectors and those of another width than the widest query have no
+    values. Values are rounded to six digits, and ties go to the smaller id.
     """
     vectors.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    width = queries.select(F.max(F.size("v"))).first()[0]
+    width, n = queries.select(F.max(F.size("v")), F.count("*")).first()
     schema = "query_id long, id long, value double"
-    if not width:
+    if not width or width < 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    block = max(1, BLOCK_BYTES // (8 * width))
-    n = queries.count()
-    parts = []
-    ranked = queries.select("id", "v") if n <= block else queries.select("id", "v").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(-(-n // block))))
-    for b in range(-(-n // block)):
-        rows = (ranked if n <= block else ranked.filter(F.col("b") == b)).orderBy("id").select("id", "v").collect()
-        ids = np.array([r[0] for r in rows], "i8")
-        q = np.array([r[1] for r in rows], "f8").reshape(len(ids), -1)
-
-        def run(batches, ids=ids, q=q):
-            for df in batches:
-                if not len(df):
-                    continue
-                v = np.stack(df["v"].to_numpy()).astype("f8")
-                if metric == "cosine":
-                    length = np.linalg.norm(v, axis=1)[None, :] * np.linalg.norm(q, axis=1)[:, None]
-                    value = np.round(np.divide(q @ v.T, length, out=np.zeros((len(q), len(v))), where=length > 0), 6)
-                else:
-                    value = np.round(np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(2), 0)), 6) if q.shape[0] * v.size < 4e7 else np.stack([np.round(np.sqrt(((x - v) ** 2).sum(1)), 6) for x in q])
-                if radius is not None:
-                    i, j = np.nonzero(value <= radius)
-                else:
-                    order = np.lexsort((np.broadcast_to(df["id"].to_numpy(), value.shape), -value if metric == "cosine" else value), axis=1)[:, :k]
-                    i, j = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-                yield pd.DataFrame({"query_id": ids[i], "id": df["id"].to_numpy()[j], "value": value[i, j]})
-
-        parts.append(vectors.select("id", "v").mapInPandas(run, schema))
-    return reduce(DataFrame.unionByName, parts)
+    asked = packed(queries, width, ("query_ids", "query"))
+    asked = F.broadcast(asked) if 8 * width * n <= BROADCAST_BYTES else staged(asked, "query-blocks")
+
+    def run(batches):
+        for b in batches:
+            for query_ids, query, ids, rows in zip(*(b.column(c) for c in ("query_ids", "query", "ids", "rows"))):
+                at, of = query_ids.values.to_numpy(), ids.values.to_numpy()
+                i, j, value = solve(query.values.to_numpy().reshape(-1, width), rows.values.to_numpy().reshape(-1, width), of, k, metric, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(of[j]), pa.array(value)], ["query_id", "id", "value"])
+
+    return packed(vectors, width, ("ids", "rows")).crossJoin(asked).mapInArrow(run, schema)
+
+
+def solve(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int | None, metric: str, radius: float | None):
+    """Query and row numbers of a pair of blocks, and their values."""
+    if metric == "cosine":
+        length = np.linalg.norm(v, axis=1)[None, :] * np.linalg.norm(q, axis=1)[:, None]
+        value = np.round(np.divide(q @ v.T, length, out=np.zeros((len(q), len(v))), where=length > 0), 6)
+    else:
+        value = np.stack([np.round(np.sqrt(((x - v) ** 2).sum(1)), 6) for x in q])
+    if radius is not None:
+        i, j = np.nonzero(value <= radius)
+    else:
+        order = np.lexsort((np.broadcast_to(ids, value.shape), -value if metric == "cosine" else value), axis=1)[:, :k]
+        i, j = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
+    return i, j, value[i, j]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 MINUTE = 60_000_000
+DAY = 24 * 60 * MINUTE
 TTL, HOT_TTL, WINDOW, FRESH = 60 * MINUTE, 30 * MINUTE, 30 * MINUTE, 7 * 24 * 60 * MINUTE
 
 
@@ -17,11 +18,26 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def with_gap(events: DataFrame, *keys: str) -> DataFrame:
+    """events with `day` and `gap`, the time since the key's event before; null for its first.
+
+    Events are handled by key and day, so a busy key is spread over its days; a day's first event follows the
+    last one of the key's day before, which a table of one row for each key and day tells.
+    """
+    days = events.withColumn("day", F.floor(F.col("us") / DAY))
+    last = days.groupBy(*keys, "day").agg(F.max("us").alias("last"))
+    last = last.withColumn("last", F.lag("last").over(Window.partitionBy(*keys).orderBy("day")))
+    last = last.withColumnsRenamed({k: f"_{k}" for k in (*keys, "day")})
+    rows = days.join(last, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "day")], "left").select(*days.columns, "last")
+    before = F.lag("us").over(Window.partitionBy(*keys, "day").orderBy("us", "event_id"))
+    return rows.withColumn("gap", F.col("us") - F.coalesce(before, "last")).drop("last")
+
+
 def ttl_replay(events: DataFrame, ttl: Column, *keys: str) -> DataFrame:
     """Each access with its outcome: hit up to the ttl after the access before (which renews it), expired beyond, else miss."""
-    before = F.lag("us").over(Window.partitionBy(*keys).orderBy("us", "event_id"))
-    gap = F.col("us") - before
-    return events.withColumn("outcome", F.when(gap.isNull(), "miss").when(gap <= ttl, "hit").otherwise("expired"))
+    gap = F.col("gap")
+    rows = with_gap(events, *keys).withColumn("outcome", F.when(gap.isNull(), "miss").when(gap <= ttl, "hit").otherwise("expired"))
+    return rows.drop("gap", "day")
 
 
 def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
@@ -32,9 +48,12 @@ def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW)
     busy key is spread over its runs.
     """
     events.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    w = Window.partitionBy(key).orderBy("us", "event_id")
-    gap = F.col("us") - F.lag("us").over(w)
-    rows = events.select(key, "event_id", "us", F.sum(F.when(gap >= width, 1).otherwise(0)).over(w).alias("run"))
+    # The number of a run: long gaps of the key's days before, and of its day so far.
+    starts = with_gap(events.select(key, "event_id", "us"), key).withColumn("long", F.when(F.col("gap") >= width, 1).otherwise(0))
+    days = starts.groupBy(key, "day").agg(F.sum("long").alias("m"))
+    days = days.select(F.col(key).alias("_key"), F.col("day").alias("_day"), (F.sum("m").over(Window.partitionBy(key).orderBy("day")) - F.col("m")).alias("before"))
+    so_far = F.sum("long").over(Window.partitionBy(key, "day").orderBy("us", "event_id"))
+    rows = starts.join(days, F.col(key).eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))).select(key, "event_id", "us", (so_far + F.col("before")).alias("run"))
 
     def solve(batches):
         # Runs come whole and in order; only the open window is carried from batch to batch.

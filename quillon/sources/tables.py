@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; temporary only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the shared folder that spark.checkpoint.dir names; temporary only in local mode where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.gettempdir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_documents(spark: SparkSession, *folders: str) -> DataFrame:
     """(dir_rank, path, content) of every SKILL.md below the folders, in their order."""
     out = None

@@ -19,14 +19,14 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def sliding_ttl(events: DataFrame, ttl_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """(user_id, event_id, outcome): miss, hit or expired against the key's access before; a gap equal to the ttl is a hit."""
+    """(user_id, event_id, outcome): miss, hit or expired against the key's access before; a gap equal to the ttl is a hit.
+
+    One number stays for every key ever seen: without it an expired key could not be told from a new one.
+    """
     events.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     ttl = ttl_seconds * 1_000_000
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         last = state.get[0] if state.exists else None
         out = []
@@ -41,11 +41,17 @@ def sliding_ttl(events: DataFrame, ttl_seconds: int = 3600, late: str = "10 minu
 
 
 def window_counts(events: DataFrame, width_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
-    """(user_id, event_id, in_window): count in the anchored window, which restarts at the width."""
+    """(user_id, event_id, in_window): count in the anchored window, which restarts at the width.
+
+    A key's state goes when its window has ended for the watermark: the next event starts a new one anyway.
+    """
     events.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     width = width_seconds * 1_000_000
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         start, count = state.get if state.exists else (None, 0)
         out = []
@@ -53,10 +59,11 @@ def window_counts(events: DataFrame, width_seconds: int = 1800, late: str = "10
             start, count = (us, 1) if start is None or us - start >= width else (start, count + 1)
             out.append(count)
         state.update((start, count))
+        state.setTimeoutTimestamp(max((start + width) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "in_window": out})
 
     rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, in_window long", "start long, count long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, in_window long", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_requests(events: DataFrame, key: str, late: str = "1 minute") -> DataFrame:

@@ -207,7 +207,7 @@ def test_shared_group_links_are_whole(spark, sf_dir):
 
 
 def test_suggestions_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(graph, "BLOCK", 4)
+    monkeypatch.setattr(graph, "COMMON_WORDS", 3)
     rng = np.random.default_rng(3)
     rows = [(f"n{i:02d}", f"c{i % 2}", " ".join(rng.choice(list("abcdefgh"), 5))) for i in range(30)] + [("z", "c0", None)]
     docs, e = spark.createDataFrame(rows, "name string, category string, text string"), spark.createDataFrame([("n00", "n02")], "src string, dst string")
