@@ -36,6 +36,11 @@ def validate_links(spark, d):
     return G.problems(e.unionByName(e.filter(F.col("dst").endswith("7"))), _names(spark, d))
 
 
+def _texts(spark, d):
+    """The names and texts of skills, without its join to labels, which would shuffle the texts."""
+    return source(spark, d, "md").select("name", "category", "text")
+
+
 _DEG = "g AS (SELECT name, category, count(dst) AS degree FROM skills LEFT JOIN (SELECT src, dst FROM edges) ON src = name GROUP BY name, category)"
 
 
@@ -91,8 +96,7 @@ _SHORT = "SELECT name, category, substr(content, 1, 60) AS text FROM skills"
 p AS (SELECT a.category, a.name AS src, b.name AS dst, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS score FROM t a JOIN t b ON a.category = b.category AND a.name < b.name WHERE (a.name, b.name) NOT IN (SELECT (src, dst) FROM edges))
 SELECT * FROM p WHERE score > 0.3 ORDER BY score DESC, src, dst LIMIT 50""")
 def suggest_links(spark, d):
-    docs = source(spark, d, "skills").select("name", "category", F.col("content").alias("text"))
-    return G.suggested(docs, _edges(spark, d))
+    return G.suggested(_texts(spark, d), _edges(spark, d))
 
 
 #: Keyword groups of these queries: a parameter of the operators.
@@ -102,7 +106,7 @@ _HITS = f"kw AS ({_KW}), h AS (SELECT name, grp, ord, count(DISTINCT keyword) AS
 
 
 def _keyworded(spark, d):
-    return source(spark, d, "skills").select("name", F.col("content").alias("text")), KEYWORDS
+    return _texts(spark, d).select("name", "text"), KEYWORDS
 
 
 @query(f"WITH @skills, {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY hits DESC, ord) AS k FROM h) SELECT s.name, coalesce(grp, 'none') AS grp FROM skills s LEFT JOIN k ON k.name = s.name AND k = 1")
@@ -119,8 +123,7 @@ def keyword_multilabel(spark, d):
 SELECT 'member' AS kind, name AS src, grps AS dst FROM m UNION ALL SELECT DISTINCT 'link', a.grps, b.grps FROM s a JOIN s b ON a.grp = b.grp""")
 def shared_group_links(spark, d):
     """Links of documents that share a keyword group, over the whole corpus: members of group sets, and linked sets."""
-    # The same names and texts as in skills, without its join to labels, which would shuffle the texts.
-    return G.shared_group_sets(G.keyword_groups(source(spark, d, "md").select("name", "text"), _keyworded(spark, d)[1]))
+    return G.shared_group_sets(G.keyword_groups(*_keyworded(spark, d)))
 
 
 _FLOW = [("src0", "src1", 0), ("src0", "src2", 1), ("src1", "src2", 0), ("src2", "src0", 0), ("src3", "src1", 0), ("src3", "src9", 1), ("src3", "src4", 2)]

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markdown import let
 from ..sources.tables import staged
 
 
@@ -91,10 +92,9 @@ def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int =
     miss each other. Levels fall until `most` pairs are found at one, so the best pairs never cost the many
     faint ones. Of a class only as many names take part as the answer can hold, given the links there are.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != ""))
-    rows = docs.select("name", "category", words.alias("words")).filter(F.size("words") > 0)
-    marks = [F.xxhash64(F.lit(s), F.array_sort("words")).alias(f"h{s}") for s in (1, 2)]
-    rows = staged(rows.select("*", *marks), "word-sets")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
+    marked = let(words, lambda w: F.struct(w.alias("words"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
+    rows = staged(docs.select("name", "category", marked.alias("m")).select("name", "category", "m.*"), "word-sets").filter(F.size("words") > 0)
     own = ["category", "h1", "h2"]
     links = edges.select("src", "dst").distinct()
     between = links.join(rows.select(F.col("name").alias("src"), *own), "src").join(rows.select(F.col("name").alias("dst"), "category", *(F.col(h).alias(f"to_{h}") for h in ("h1", "h2"))), ["dst", "category"])
