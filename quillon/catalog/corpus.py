@@ -54,13 +54,14 @@ def content_resolve(spark, d):
     return K.resolved_content(s.select("name", tries))
 
 
-@query()
+@query("SELECT CAST(vec_id AS VARCHAR) AS name, CAST(label AS VARCHAR) AS category, len(embedding) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def vector_index_roundtrip(spark, d):
     e = source(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("label").cast("string").alias("category"), "embedding")
-    return tables.read_vector_index(spark, tables.write_vector_index(e))
+    rows = tables.read_vector_index(spark, tables.write_vector_index(e))
+    return rows.select("name", "category", F.size("embedding").cast("long").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query("SELECT n_name AS line FROM nation UNION ALL SELECT lower(n_name) FROM nation")
 def file_ops(spark, d):
     folder = tables.scratch(spark, "notes")
     names = source(spark, d, "nation").select("n_name")
@@ -98,7 +99,7 @@ def run_stream_fold(spark, d):
     return logs.folded(e, "user_id", "event_id", F.col("event_type"), text=F.col("event_type"), tokens=F.col("k"), error=F.col("event_id").cast("string"))
 
 
-@query()
+@query("SELECT concat('exercise-', item_id) AS name, text AS task, 'simple' AS tier FROM benchmark WHERE text IS NOT NULL")
 def exercise_scan(spark, d):
     lines = source(spark, d, "benchmark").select(F.to_json(F.struct(F.concat(F.lit("exercise-"), "item_id").alias("name"), F.col("text").alias("task"), F.lit("simple").alias("tier"))).alias("value"))
     return logs.exercises(lines)
@@ -204,6 +205,57 @@ def embed_cache_split(spark, d):
     return docs.join(cache, "key", "left_semi").select("doc_id", F.lit("hit").alias("cached")).union(docs.join(cache, "key", "left_anti").select("doc_id", F.lit("miss")))
 
 
+_STORED = "SELECT category AS domain, name AS skill, 'brief' AS version, 0 AS created, description AS content FROM skills UNION ALL SELECT category, name, 'detailed', 1, concat(role, ' ', name) FROM skills UNION ALL SELECT category, name, 'brief', 2, CASE WHEN doc_id % 4 = 1 THEN concat('new ', name) WHEN doc_id % 4 = 2 THEN '' END FROM skills"
+
+
+@query(f"WITH @skills, s AS ({_STORED}) SELECT domain, skill, version, max(created) AS created, max_by(content, created) AS content FROM s WHERE content <> '' GROUP BY ALL")
+def version_cache(spark, d):
+    """Versions written twice, of which the last with content counts, read back by folder."""
+    path = tables.scratch(spark, "versions")
+    rows = spark.sql(_STORED.replace("FROM skills", "FROM {s}"), s=_skills(spark, d))
+    for k in (0, 1, 2):
+        tables.write_versions(rows.filter(F.col("created") == k), path)
+    return tables.read_versions(spark, path, "skill string, created int, content string")
+
+
+@query("SELECT concat('t', vec_id) AS key, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS written, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE len(embedding) END AS size FROM embeddings WHERE vec_id % 5 <> 1 OR vec_id % 3 = 0")
+def embedding_cache(spark, d):
+    """A cache of embeddings with later writes, broken lines and rows without a vector."""
+    path = tables.scratch(spark, "embedding-cache")
+    e = source(spark, d, "embeddings").select(F.concat(F.lit("t"), "vec_id").alias("key"), "embedding", "vec_id")
+    tables.save_cache(e.filter("vec_id % 5 <> 1").select("key", F.lit(1).alias("written"), "embedding"), path)
+    tables.save_cache(e.filter("vec_id % 3 = 0").select("key", F.lit(2).alias("written"), F.array().cast("array<double>").alias("embedding")), path)
+    tables.save_cache(e.filter("vec_id % 7 = 0").select("key", F.lit(3).alias("written")), path)
+    e.filter("vec_id % 5 = 1").select(F.concat(F.lit('{"key": "'), "key", F.lit('", "embedding": [0.1, '))).write.mode("append").text(path)
+    rows = tables.load_cache(spark, path, "key string, written int, embedding array<double>", "embedding")
+    return rows.select("key", "written", F.size("embedding").cast("long").alias("size"))
+
+
+@query("SELECT event_id, event_type AS level, concat(user_id, ' ', event_type) AS message FROM events WHERE event_type IN ('purchase', 'error')")
+def log_sink(spark, d):
+    """Entries at a level or above, written as JSON lines and read back."""
+    path = tables.scratch(spark, "log")
+    e = source(spark, d, "events").select("event_id", F.col("event_type").alias("level"), F.concat_ws(" ", "user_id", "event_type").alias("message"))
+    logs.write_log(e, path, "purchase", ("view", "click", "signup", "purchase", "error"))
+    return logs.read_ndjson(spark, path, "event_id long, level string, message string")
+
+
+@query("SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) // count(*) AS tokens FROM conversations GROUP BY conv_id")
+def batch_tokens(spark, d):
+    """Texts embedded in one call share its tokens evenly."""
+    calls = source(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("texts"), F.sum(F.length("text")).alias("total"))
+    return logs.batch_tokens(calls).select("conv_id", F.size("texts").cast("long").alias("n"), "tokens")
+
+
+@query("SELECT user_id, count(*) AS n, round(max(value), 4) AS most FROM events GROUP BY user_id")
+def result_sink(spark, d):
+    """Nested results of each run, written as JSON and read back."""
+    path = tables.scratch(spark, "results")
+    runs = source(spark, d, "events").groupBy("user_id").agg(F.struct(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("most")).alias("result"))
+    tables.write_results(runs, path)
+    return spark.read.schema("user_id long, result struct<n:long,most:double>").json(path).select("user_id", "result.*")
+
+
 @query("WITH @skills SELECT name FROM skills WHERE nullif(role, 'es') IS NOT NULL")
 def valid_skills(spark, d):
     tags = F.array_compact(F.array(F.nullif("role", F.lit("es"))))

@@ -188,7 +188,9 @@ def allow_list(spark, d):
     return source(spark, d, "skills").select("name", S.allow_listed(F.col("role"), allowed).alias("allowed"))
 
 
-@query()
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing name' WHEN 1 THEN 'missing name+k is not number' WHEN 2 THEN '' ELSE 'not JSON' END AS errors FROM events")
 def schema_check(spark, d):
     rules = '{"required": ["k", "name"], "properties": {"k": {"type": "number"}}}'
-    return source(spark, d, "events").select("event_id", S.schema_errors(F.col("props"), rules).alias("errors"))
+    i = F.col("event_id") % 4
+    record = F.when(i == 0, F.col("props")).when(i == 1, '{"k": true}').when(i == 2, F.concat(F.lit('{"name": "x", "more": [], "k": '), "event_id", F.lit("}"))).otherwise(F.concat("props", F.lit("}")))
+    return source(spark, d, "events").select("event_id", F.array_join(S.schema_errors(record, rules), "+").alias("errors"))

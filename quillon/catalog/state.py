@@ -143,10 +143,13 @@ def evict_victim(spark, d):
     return S.evict_victim(x, "grp")
 
 
-@query()
+@query(f"""{_E}, {_HOT}, f AS (SELECT DISTINCT user_id FROM e WHERE user_id NOT IN (SELECT user_id FROM h) ORDER BY md5('7:' || user_id) LIMIT 100),
+w AS (SELECT user_id, 0 AS way, lpad(CAST(1000000000 - hits AS VARCHAR), 10, '0') AS r FROM h UNION ALL SELECT user_id, 1, md5('7:' || user_id) FROM f)
+SELECT user_id, (row_number() OVER (ORDER BY way, r, user_id) - 1) // 10 AS batch FROM w""")
 def warmup_batches(spark, d):
-    """The hot keys, then a random fill of as many, in batches of ten."""
-    hot = _hot(spark, d).select("user_id", F.lit(0).alias("way"), F.col("hits").cast("double").alias("r"))
-    fill = _events(spark, d).select("user_id").distinct().join(hot.select("user_id"), "user_id", "left_anti").withColumn("way", F.lit(1)).withColumn("r", F.rand(42)).orderBy("r").limit(100)
-    place = F.row_number().over(Window.orderBy("way", F.col("r").desc(), "user_id")) - 1
+    """The hot keys, then a fill of as many in the order of a seeded hash, in batches of ten."""
+    hot = _hot(spark, d).select("user_id", F.lit(0).alias("way"), F.lpad((1_000_000_000 - F.col("hits")).cast("string"), 10, "0").alias("r"))
+    fill = _events(spark, d).select("user_id").distinct().join(hot.select("user_id"), "user_id", "left_anti")
+    fill = fill.withColumn("way", F.lit(1)).withColumn("r", F.md5(F.concat(F.lit("7:"), F.col("user_id").cast("string")))).orderBy("r").limit(100)
+    place = F.row_number().over(Window.orderBy("way", "r", "user_id")) - 1  # over two hundred rows at most
     return hot.unionByName(fill).select("user_id", F.floor(place / 10).cast("long").alias("batch"))

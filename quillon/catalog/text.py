@@ -1,6 +1,7 @@
 """Text queries over documents wrapped as markdown."""
 from pyspark.sql import functions as F
 
+from ..engine import compressed_versions
 from ..functions import markdown as M
 from ..functions.code import code_metrics as measure_code, signature
 from ..operators.expand import expand_triggers as expand
@@ -59,24 +60,40 @@ def sanitize_map(spark, d):
     return source(spark, d, "pages").select("page_id", clean["a"].alias("a"), clean["b"].alias("b"))
 
 
-@query(f"""WITH @md, l1 AS (SELECT name, length(content) AS n, {_L1} AS content FROM md), l2 AS (SELECT name, n, content AS c1, {_DROP.replace("{t}", "When to Use")} AS content FROM l1),
-l3 AS (SELECT name, n, c1, content AS c2, {_DROP.replace("{t}", "When NOT to Use")} AS content FROM l2)
-SELECT name, CAST(v.level AS INTEGER) AS level, CAST(n AS BIGINT) AS original_chars, length(CASE v.level WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE content END) AS chars,
-round(length(CASE v.level WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE content END) / n, 6) AS ratio FROM l3, (VALUES (1), (2), (3)) v(level)""")
-def compress_levels(spark, d):
-    md = _md(spark, d)
-    for k in (1, 2, 3):
-        md = md.withColumn(f"c{k}", M.RECIPES[k](F.col(f"c{k - 1}") if k > 1 else F.col("content")))
-    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("level"), F.length(f"c{k}").cast("long").alias("chars")) for k in (1, 2, 3))))
-    out = md.select("name", F.length("content").cast("long").alias("original_chars"), rows)
-    return out.withColumn("ratio", F.round(F.col("chars") / F.col("original_chars"), 6))
+_HEADINGS = r"regexp_replace(regexp_replace(content, '(?m)^##\s+', '## ', 'g'), '(?m)^## Core Workflow$', '## Workflow', 'g')"
+_STEPS = (
+    _L1, _DROP.replace("{t}", "When to Use"), _DROP.replace("{t}", "When NOT to Use"), _FLOW, _DROP.replace("{t}", "Related Skills"), _STRIP,
+    "regexp_replace(content, '(?s)```.*?```', '[code example removed]', 'g')", _HEADINGS, r"regexp_replace(regexp_replace(content, '(?m)^##\s+.+\n', '', 'g'), '\n\n+', ' ', 'g')",
+)
+_TOKENS = "greatest(1.0::DOUBLE, ceil(length({c}) / 4) + (length({c}) - length(replace({c}, chr(10), ''))) / 2)"
+_LEVELS = ", ".join(f"l{k} AS (SELECT name, {step} AS content FROM (SELECT *, {_FIND} AS f FROM {f'l{k - 1}' if k > 1 else 'md'}))" for k, step in enumerate(_STEPS, 1))
+_ALL = " UNION ALL ".join(f"SELECT name, {k} AS level, content FROM l{min(k, 9)}" for k in range(1, 11))
 
 
-@query()
-def compress_all_levels(spark, d):
-    md = _md(spark, d)
-    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("level"), F.length(M.compressed(F.col("content"), k)).alias("chars")) for k in (4, 6, 7, 8, 10))))
-    return md.select("name", F.length("content").alias("original_chars"), rows)
+@query(f"""WITH @md, {_LEVELS}, a AS ({_ALL}) SELECT a.name, CAST(level AS INTEGER) AS level, length(md.content) AS original_chars, length(a.content) AS chars, round(length(a.content) / length(md.content), 6) AS ratio,
+greatest(0, {_TOKENS.format(c='md.content')} - {_TOKENS.format(c='a.content')}) AS tokens_saved, round({_TOKENS.format(c='a.content')} / {_TOKENS.format(c='md.content')}, 6) AS token_ratio FROM a JOIN md ON md.name = a.name""")
+def compress_levels(spark, d):
+    """All ten levels, each on top of the one before."""
+    md = _md(spark, d).withColumn("c0", F.col("content"))
+    tokens = lambda c: M.token_estimate(F.col(c)).cast("double")
+    for k in range(1, 11):
+        md = md.withColumn(f"c{k}", M.RECIPES[k](F.col(f"c{k - 1}")))
+    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("level"), F.length(f"c{k}").cast("long").alias("chars"), tokens(f"c{k}").alias("tokens")) for k in range(1, 11))))
+    out = md.select("name", F.length("content").cast("long").alias("original_chars"), tokens("content").alias("before"), rows)
+    return out.select(
+        "name", "level", "original_chars", "chars", F.round(F.col("chars") / F.col("original_chars"), 6).alias("ratio"),
+        F.greatest(F.lit(0.0), F.col("before") - F.col("tokens")).alias("tokens_saved"), F.round(F.col("tokens") / F.col("before"), 6).alias("token_ratio"),
+    )
+
+
+_STYLES = "(VALUES ('brief', 1600), ('moderate', 3200), ('detailed', 6000)) s(version, most)"
+
+
+@query(f"""WITH @skills, c AS (SELECT name, version, length(content) AS n, substr(content, 1, CAST(most AS INTEGER)) AS content FROM skills, {_STYLES} WHERE content IS NOT NULL)
+SELECT name, version, content, CASE WHEN content = '' THEN 0 ELSE CAST(greatest(1, ceil(ceil(length(content) / 4) + 0.5 * (length(content) - length(replace(content, chr(10), ''))))) AS BIGINT) END AS tokens, round(length(content) / greatest(n, 1), 6) AS ratio FROM c""")
+def compress_styles(spark, d):
+    """Three styles by budget of tokens, the local stand-in for a model's summaries."""
+    return compressed_versions(source(spark, d, "skills").filter("content is not null"))
 
 
 @query("WITH @md SELECT name, greatest(1.0::DOUBLE, ceil(length(content) / 4) + (length(content) - length(replace(content, chr(10), ''))) / 2) AS tokens FROM md")

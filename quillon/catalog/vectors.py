@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.hashing import lcg_vector, signed_hex, text_hash as java_hash
+from ..functions.hashing import LCG, lcg_jumps, lcg_vector, signed_hex, text_hash as java_hash
 from ..operators.search import top_k, within
 from ..registry import query, source
 
@@ -71,11 +71,18 @@ def valid_vectors(spark, d):
     return _vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if(V.valid(F.col("v"), 64)).alias("n_valid"))
 
 
-@query()
+_HASHED = """WITH @requests, u AS (SELECT task_id, list_reduce([0::HUGEINT] || list_transform(string_split(task, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda a, x: (a * 31 + x) % 4294967296) AS u FROM requests),
+s AS (SELECT task_id, CAST(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS BIGINT) AS h FROM u)"""
+_JUMPS = "(VALUES " + ", ".join(f"({k}, {f}, {s})" for k, (f, s) in enumerate(zip(*lcg_jumps(16)))) + ") j(pos, f, s)"
+
+
+@query(f"""{_HASHED}, v AS (SELECT task_id, pos, ((f * (abs(h) % {LCG[2]}) + s) % {LCG[2]}) / {LCG[2]}.0::DOUBLE * 2 - 1 AS x FROM s, {_JUMPS})
+SELECT task_id, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY task_id)), 6) AS x FROM v""".replace("FROM s, ", "FROM s CROSS JOIN "))
 def placeholder_embedding(spark, d):
-    return source(spark, d, "requests").select("task_id", lcg_vector(F.col("task"), 16).alias("embedding"))
+    v = source(spark, d, "requests").select("task_id", F.posexplode(lcg_vector(F.col("task"), 16)).alias("pos", "x"))
+    return v.select("task_id", "pos", F.round("x", 6).alias("x"))
 
 
-@query()
+@query(_HASHED + " SELECT task_id, lpad(CASE WHEN h < 0 THEN '-' ELSE '' END || lower(to_hex(abs(h))), 8, '0') AS hash FROM s")
 def text_hash(spark, d):
     return source(spark, d, "requests").select("task_id", signed_hex(java_hash(F.col("task"))).alias("hash"))

@@ -1,6 +1,8 @@
 """Session object: route requests, list and read documents, read metrics."""
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +16,10 @@ from .plans import planner
 from .sources import tables
 
 
+#: Tasks that a session remembers.
+TASK_LOG = 100
+
+
 class Engine:
     """A corpus of documents with embeddings, and the operations on it.
 
@@ -25,12 +31,50 @@ class Engine:
         self.spark, self.skills = spark, skills
         self.embed = embed or (lambda text: lcg_vector(text, size))
         self.tools = planner.Tools()
+        self.folders: tuple[str, ...] = ()
+        self.tasks: deque[dict] = deque(maxlen=TASK_LOG)
 
     @classmethod
     def from_folders(cls, spark: SparkSession, *folders: str) -> Engine:
         """Documents of the folders, the first of each name in their order."""
         raw = tables.scan_documents(spark, *folders)
-        return cls(spark, corpus.load(raw)[0])
+        engine = cls(spark, corpus.load(raw)[0])
+        engine.folders = folders
+        return engine
+
+    def reload(self) -> Engine:
+        """Read the folders again."""
+        if not self.folders:
+            raise ValueError("this corpus does not come from folders")
+        self.skills = corpus.load(tables.scan_documents(self.spark, *self.folders))[0]
+        return self
+
+    def execute(self, task_id, steps: list[dict], mode: str = "sequential", context: dict | None = None, retries: int = planner.RETRIES) -> dict:
+        """Run the steps of a task with the registered tools; the last tasks are kept in `tasks`."""
+        began = time.monotonic()
+        results = planner.run_steps(self.tools, steps, mode=mode, context=context, retries=retries)
+        ok = all(r["status"] == "success" for r in results)
+        done = {"task_id": task_id, "status": "success" if ok else "partial_failure", "results": results, "ms": int(1000 * (time.monotonic() - began))}
+        self.tasks.append({k: done[k] for k in ("task_id", "status", "ms")} | {"steps": len(results)})
+        return done
+
+    def stats(self) -> dict:
+        """Documents, categories and tags of the corpus, and the tools."""
+        one = self.skills.agg(F.count("*"), F.countDistinct("category")).first()
+        tags = self.skills.select(F.explode("tags")).distinct().count() if "tags" in self.skills.columns else 0
+        return {"skills": one[0], "categories": one[1], "tags": tags, "tools": self.tools.stats()}
+
+    def metrics(self) -> dict:
+        """Tasks run so far among the last ones, failures, and their mean time."""
+        n = len(self.tasks)
+        return {"tasks": n, "failed": sum(t["status"] != "success" for t in self.tasks), "mean_ms": sum(t["ms"] for t in self.tasks) / n if n else 0.0}
+
+    def health(self) -> dict:
+        """Whether the corpus can be read and holds documents."""
+        try:
+            return {"status": "ok" if not self.skills.isEmpty() else "empty"}
+        except Exception as e:  # an unreadable corpus is what this reports
+            return {"status": "failed", "error": str(e).splitlines()[0]}
 
     def list(self) -> DataFrame:
         return self.skills.select("name", "category", "description")

@@ -14,15 +14,30 @@ def signed_hex(h: Column) -> Column:
     return F.lpad(F.when(h < 0, F.concat(F.lit("-"), digits)).otherwise(digits), 8, "0")
 
 
+# Fixed values of the sequence: multiplier, increment, modulus.
+LCG = (9301, 49297, 233280)
+
+
+def lcg_jumps(size: int) -> tuple[list[int], list[int]]:
+    """Factor and summand that lead from the start to each of the first states."""
+    a, c, m = LCG
+    factors, summands, f, s = [], [], 1, 0
+    for _ in range(size):
+        f, s = f * a % m, (s * a + c) % m
+        factors.append(f)
+        summands.append(s)
+    return factors, summands
+
+
 def lcg_vector(text: Column, size: int) -> Column:
     """Unit vector of a linear congruential sequence that starts at the text's hash: the local stand-in for a model."""
-    # Fixed values of the sequence: multiplier, increment, modulus.
-    step = lambda v: F.pmod(v * 9301 + 49297, F.lit(233280))
-    states = F.aggregate(
-        F.sequence(F.lit(1), F.lit(size)),
-        F.array(F.pmod(F.abs(text_hash(text)), F.lit(233280)).cast("long")),
-        lambda a, _: F.concat(a, F.array(step(F.element_at(a, -1)).cast("long"))),
-    )
-    raw = F.transform(F.slice(states, 2, size), lambda v: v / 233280.0 * 2 - 1)
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw)
+    factors, summands = lcg_jumps(size)
+    m = LCG[2]
+    start = F.pmod(F.abs(text_hash(text)), F.lit(m))
+    states = lambda x: F.transform(F.lit(factors), lambda f, i: F.pmod(f.cast("long") * x + F.get(F.lit(summands), i), F.lit(m)))
+    raw = F.transform(F.get(F.transform(F.array(start), states), 0), lambda v: v / float(m) * 2 - 1)
+    return F.get(F.transform(F.array(raw), _unit), 0)
+
+
+def _unit(v: Column) -> Column:
+    return F.get(F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)), 0)

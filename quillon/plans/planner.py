@@ -5,7 +5,6 @@ import os
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,38 +103,110 @@ class Tools:
         self.tools: dict[str, Callable] = {}
         self.disabled: set[str] = set()
         self.required: dict[str, tuple[str, ...]] = {}
+        self.calls: dict[str, list[int]] = {}
 
     def register(self, name: str, tool: Callable, required: tuple[str, ...] = ()) -> None:
         self.tools[name], self.required[name] = tool, required
 
     def unregister(self, name: str) -> None:
-        self.tools.pop(name, None)
+        for held in (self.tools, self.required, self.calls):
+            held.pop(name, None)
+        self.disabled.discard(name)
+
+    def enable(self, name: str) -> None:
+        self.disabled.discard(name)
+
+    def disable(self, name: str) -> None:
+        self.disabled.add(name)
 
     def call(self, name: str, **args):
         if name not in self.tools or name in self.disabled:
             raise KeyError(name)
         if missing := [k for k in self.required[name] if k not in args]:
             raise TypeError(f"{name}: missing {', '.join(missing)}")
-        return self.tools[name](**args)
+        count = self.calls.setdefault(name, [0, 0])
+        count[0] += 1
+        try:
+            return self.tools[name](**args)
+        except Exception:
+            count[1] += 1
+            raise
 
     def specifications(self) -> list[dict]:
         return [{"name": n, "required": list(self.required[n]), "enabled": n not in self.disabled} for n in sorted(self.tools)]
 
-
-def run_steps(tools: Tools, plan: list[dict], parallel: int = 1, retries: int = RETRIES) -> list[dict]:
-    """Run a plan's steps on the driver: in order up to the first failure, or side by side."""
-
-    def one(step: dict) -> dict:
-        for attempt in range(retries + 1):
-            try:
-                return {"name": step["name"], "status": "success", "output": tools.call(step["name"], **step.get("args", {})), "retries": attempt}
-            except Exception as e:  # a tool's failure is a result
-                error = str(e)
-                if attempt < retries:
-                    time.sleep(0.1 * 2**attempt)
-        return {"name": step["name"], "status": "failed", "error": error, "retries": retries}
-
-    if parallel > 1:
-        with ThreadPoolExecutor(parallel) as pool:
-            return list(pool.map(one, plan))
-    return reduce(lambda done, step: done if done and done[-1]["status"] != "success" else [*done, one(step)], plan, [])
+    def stats(self) -> dict:
+        """Number and names of the tools, and calls and failures of those called."""
+        return {"count": len(self.tools), "names": sorted(self.tools), "calls": {n: tuple(c) for n, c in sorted(self.calls.items())}}
+
+    def register_sql(self, spark, name: str, returns: str, table: bool = False) -> None:
+        """Offer a tool to SQL under its name: a scalar function of one column, or a table function that yields rows."""
+        tool = self.tools[name]
+        if not table:
+            spark.udf.register(name, F.pandas_udf(lambda x: x.map(tool), returns))
+            return
+
+        class Rows:
+            def eval(self, *args):
+                yield from tool(*args)
+
+        spark.udtf.register(name, F.udtf(Rows, returnType=returns))
+
+
+def run_step(tools: Tools, step: dict, context: dict, retries: int = RETRIES, timeout_ms: int = TIMEOUT_MS) -> dict:
+    """Call a step's tool on the driver. Failures are tried again after a growing pause; an overdue call is left behind."""
+    timeout = (step.get("timeout_ms") or timeout_ms) / 1000
+    for attempt in range(retries + 1):
+        # A thread of its own: an overdue call cannot be stopped, only no longer waited for.
+        pool = ThreadPoolExecutor(1)
+        began = time.monotonic()
+        try:
+            output = pool.submit(tools.call, step["name"], **{**context, **step.get("args", {})}).result(timeout)
+            return {"name": step["name"], "status": "success", "output": output, "retries": attempt, "ms": int(1000 * (time.monotonic() - began))}
+        except TimeoutError:
+            error = f"no result after {timeout:g} s"
+        except Exception as e:  # a tool's failure is a result
+            error = str(e)
+        finally:
+            pool.shutdown(wait=False)
+        if attempt < retries:
+            time.sleep(0.1 * 2**attempt)
+    return {"name": step["name"], "status": "failed", "error": error, "retries": retries, "ms": int(1000 * (time.monotonic() - began))}
+
+
+def run_steps(tools: Tools, plan: list[dict], parallel: int = 1, retries: int = RETRIES, mode: str | None = None, context: dict | None = None, timeout_ms: int = TIMEOUT_MS) -> list[dict]:
+    """Run a plan's steps (name, args, depends_on) on the driver; the mode is sequential, parallel or hybrid.
+
+    Sequential stops at the first failure, and each step gets the outputs before it as `context`. Parallel runs
+    all steps side by side. Hybrid runs, round by round, the steps whose dependencies have run: those without
+    any side by side, the others in order with the outputs of earlier ones; steps on a cycle never run.
+    """
+    mode = mode or ("parallel" if parallel > 1 else "sequential")
+    kept, results = dict(context or {}), []
+    shared = lambda step: {"context": dict(kept)} if step.get("wants_context") else {}
+    one = lambda step: run_step(tools, step, shared(step), retries, timeout_ms)
+
+    def in_order(steps: list[dict], stop: bool) -> None:
+        for step in steps:
+            results.append(one(step))
+            if results[-1]["status"] == "success":
+                kept[step["name"]] = results[-1]["output"]
+            elif stop:
+                return
+
+    def side_by_side(steps: list[dict]) -> None:
+        with ThreadPoolExecutor(max(parallel, PARALLEL + 2)) as pool:
+            results.extend(pool.map(one, steps))
+
+    if mode == "sequential":
+        in_order(plan, True)
+    elif mode == "parallel":
+        side_by_side(plan)
+    else:
+        ran, left = set(), list(plan)
+        while ready := [x for x in left if all(d in ran for d in x.get("depends_on") or ())]:
+            side_by_side([x for x in ready if not x.get("depends_on")])
+            in_order([x for x in ready if x.get("depends_on")], False)
+            ran |= {x["name"] for x in ready}
+            left = [x for x in left if x not in ready]
+    return results

@@ -21,6 +21,16 @@ def at_least(entries: DataFrame, level: str, levels: tuple[str, ...]) -> DataFra
     return entries.filter(F.col("level").isin(*levels[levels.index(level) :]))
 
 
+def write_log(entries: DataFrame, path: str, level: str, levels: tuple[str, ...]) -> None:
+    """Append entries of the level or a graver one as JSON lines."""
+    at_least(entries, level, levels).write.mode("append").json(path)
+
+
+def batch_tokens(batches: DataFrame) -> DataFrame:
+    """Batches (id, texts, total) with the tokens that each text is told to have: the whole part of an even share."""
+    return batches.withColumn("tokens", F.when(F.size("texts") > 0, F.floor(F.col("total") / F.size("texts"))).otherwise(0).cast("long"))
+
+
 def folded(events: DataFrame, key: str, order: str, kind: Column, text: Column, tokens: Column, error: Column) -> DataFrame:
     """One row for each run: its text in order, its tokens and its errors."""
     e = events.select(key, F.struct(F.col(order).alias("o"), F.when(kind != "error", text).alias("t"), F.when(kind == "error", error).alias("e")).alias("s"), F.when(kind == "purchase", tokens).alias("n"))

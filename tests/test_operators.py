@@ -1,5 +1,6 @@
 """Edge cases and properties of the operators."""
 import math
+import time
 
 import numpy as np
 import pytest
@@ -139,6 +140,109 @@ def test_plans(spark):
     assert len(planner.run_steps(t, [{"name": "ok"}] * 3, parallel=2, retries=0)) == 3
 
 
+def test_modes_of_running(spark):
+    t, seen = planner.Tools(), []
+
+    def step(name, wait=0.0, fail=False):
+        def run(context=None, **args):
+            time.sleep(wait)
+            seen.append((name, sorted(context or {})))
+            if fail:
+                raise ValueError(name)
+            return f"{name}!"
+
+        t.register(name, run)
+
+    for name in "abc":
+        step(name)
+    step("slow", 0.6)
+    step("bad", fail=True)
+    row = lambda name, *on: {"name": name, "depends_on": list(on), "wants_context": True}
+    runs = planner.run_steps(t, [row("c", "b"), row("b", "a"), row("a"), row("bad"), row("x", "y"), row("y", "x")], mode="hybrid", retries=0, context={"task": 1})
+    assert [r["name"] for r in runs] == ["a", "bad", "b", "c"] and [r["status"] for r in runs] == ["success", "failed", "success", "success"]
+    assert ("b", ["task"]) in seen and ("c", ["b", "task"]) in seen
+    seen.clear()
+    assert [r["status"] for r in planner.run_steps(t, [row("a"), row("b"), row("bad"), row("c")], retries=1)] == ["success", "success", "failed"]
+    assert seen[1] == ("b", ["a"]) and [n for n, _ in seen].count("bad") == 2
+    late = planner.run_steps(t, [{"name": "slow", "timeout_ms": 100}, {"name": "a"}], retries=0)
+    assert [r["status"] for r in late] == ["failed"] and "no result" in late[0]["error"] and late[0]["ms"] < 500
+    began = time.monotonic()
+    assert len(planner.run_steps(t, [{"name": "slow"}] * 5, mode="parallel")) == 5 and time.monotonic() - began < 2
+    t.disable("a")
+    assert planner.run_steps(t, [{"name": "a"}], retries=0)[0]["status"] == "failed"
+    t.enable("a")
+    stats = t.stats()
+    assert stats["count"] == 5 and stats["names"] == ["a", "b", "bad", "c", "slow"] and stats["calls"]["bad"] == (3, 3)
+    t.register("twice", lambda x: x * 2)
+    t.register("upto", lambda n: ((k,) for k in range(n)))
+    t.register_sql(spark, "twice", "long")
+    t.register_sql(spark, "upto", "k int", table=True)
+    assert spark.sql("SELECT twice(id) AS x FROM range(3)").collect()[2].x == 4 and spark.sql("SELECT * FROM upto(4)").count() == 4
+
+
+def test_session(spark, tmp_path):
+    def put(name):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "SKILL.md").write_text(f"---\nname: {name}\ndescription: about {name}\nmetadata:\n  domain: d\n  triggers: t, {name}\n---\n# Head\n")
+
+    put("one")
+    engine = Engine.from_folders(spark, str(tmp_path))
+    put("two")
+    assert engine.stats()["skills"] == 1 and engine.reload().stats() | {"tools": 0} == {"skills": 2, "categories": 1, "tags": 4, "tools": 0}
+    engine.tools.register("ok", lambda: 1)
+    assert engine.execute("t1", [{"name": "ok"}])["status"] == "success" and engine.execute("t2", [{"name": "gone"}], retries=0)["status"] == "partial_failure"
+    assert engine.execute("t3", [])["status"] == "success" and engine.health() == {"status": "ok"}
+    assert [t["task_id"] for t in engine.tasks] == ["t1", "t2", "t3"] and engine.metrics()["failed"] == 1
+    for k in range(120):
+        engine.execute(k, [])
+    assert len(engine.tasks) == 100 and engine.tasks[-1]["task_id"] == 119
+
+
+def test_file_listing(spark, tmp_path):
+    folder = str(tmp_path / "notes")
+    assert tables.names_in(spark, folder) == [] and not tables.exists(spark, folder, "a.txt")
+    tables.append_lines(spark.createDataFrame([("x",)], "line string"), folder, "a.txt")
+    assert tables.names_in(spark, folder) == ["a.txt"] and tables.exists(spark, folder, "a.txt")
+    with pytest.raises(PermissionError):
+        tables.exists(spark, folder, "../a.txt")
+
+
+def test_versions_since(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    tables.write_versions(spark.createDataFrame([("d", "s", "brief", 1, "old"), ("d", "t", "brief", 5, "new"), ("d", "t", "brief", 6, "")], "domain string, skill string, version string, created int, content string"), path)
+    got = tables.read_versions(spark, path, "skill string, created int, content string", since=2).collect()
+    assert [(r.skill, r.content) for r in got] == [("t", "new")]
+
+
+def test_http_source(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quillon.sources import http
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = 404 if "gone" in self.path else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b'{"a": 1}' if "json" in self.path else b"plain")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    http.enable(spark)
+    at = f"http://127.0.0.1:{server.server_port}"
+    read = lambda urls, hosts: spark.read.format("http_text").options(urls=urls, hosts=hosts, timeout="10").load()
+    rows = {r.url.removeprefix(at): r for r in read(f"{at}/json {at}/text {at}/gone", "127.0.0.1").collect()}
+    server.shutdown()
+    assert (rows["/json"].status, rows["/json"].body, rows["/json"].is_json) == (200, '{"a": 1}', True)
+    assert (rows["/text"].ok, rows["/text"].is_json) == (True, False) and (rows["/gone"].status, rows["/gone"].ok, rows["/gone"].body) == (404, False, None)
+    with pytest.raises(Exception, match="not among the hosts"):
+        read("http://example.org/", "127.0.0.1").collect()
+
+
 def test_stages_of_long_plans(spark):
     rows = [(1, k, f"s{k}", f"s{k - 1}" if k else None) for k in range(300)] + [(2, 0, "x", "y"), (2, 1, "y", "x"), (2, 2, "z", "gone"), (2, 3, "free", None)]
     rows += [(None, 0, "a", None), (None, 1, "b", "a"), (3, 0, "self", "self"), (3, 1, "next", "self")]
