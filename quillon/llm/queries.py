@@ -140,5 +140,18 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return near.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE s >= 0.8 * (x.n + y.n - s) - 1e-9),
+r AS (SELECT a AS doc_id, b AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT doc_id, least(doc_id, min(other)) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT t.doc_id, coalesce(class_id, t.doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_bpe, op4_toxicity, op5_quality_rules, op6_html_extraction, op7_best_fit_packing, op8_exact_dedup, op9_substring_dedup, op10_ngram_jaccard_join)}
-SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
