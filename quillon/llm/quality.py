@@ -49,6 +49,10 @@ def count_in(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
 def repeated_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more."""
 
@@ -57,15 +61,22 @@ def repeated_words(words: Column) -> Column:
         reach = F.transform(spots, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(spots, i + 1) - p, F.lit(3))))
         return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
 
-    def repeated(s: Column) -> Column:
-        same = lambda x, i: F.coalesce((F.get(s, i)["h"] == x["h"]) & (F.get(s, i)["w"] == x["w"]), F.lit(False))
-        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+    def spots(s: Column, same) -> Column:
+        """Starts of the windows that are the same as one of their neighbours in the order of s."""
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["p"]))
 
     def of(w: Column) -> Column:
-        windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-        # Windows in the order of hash, words, place: equal ones are neighbours, even where another one shares their hash.
-        placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, 3).alias("w"), i.alias("p"))))
-        heavy = lambda h: let(placed(h), lambda s: let(repeated(s), covered))
+        at = lambda x, k: F.get(w, x["p"] + k)
+        equal = lambda x, y: (at(x, 0) == at(y, 0)) & (at(x, 1) == at(y, 1)) & (at(x, 2) == at(y, 2))
+        hashed = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        whole = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["w"] == y["w"]), F.lit(False))
+        by_hash = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        # In the order of hash, words, place equal windows are neighbours, even where another one shares their hash.
+        by_words = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, 3).alias("w"), i.alias("p"))))
+        clash = lambda s: F.size(F.filter(s, lambda x, i: F.when(hashed(x, F.get(s, i - 1)), ~equal(x, F.get(s, i - 1))).otherwise(False))) > 0
+        exact = lambda h: let(by_words(h), lambda s: let(spots(s, whole), covered))
+        heavy = lambda h: let(by_hash(h), lambda s: F.when(clash(s), exact(h)).otherwise(let(spots(s, hashed), covered)))
+        windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: window_hash(x, F.get(w, i + 1), F.get(w, i + 2)))
         return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(heavy(h)))
 
     return F.when(F.size(words) < 3, 0).otherwise(of(words)).cast("long")
