@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..operators import corpus as K
+from ..operators.ranks import paged, positions
 from ..registry import query, source
 from ..sources import logs, tables
 
@@ -317,10 +318,12 @@ def registry_stats(spark, d):
     return s.agg(F.count("*").alias("skills"), F.countDistinct("category").alias("categories"), F.count_if("draft").alias("drafts"), F.count_if(F.length("content") < 3000).alias("short")).join(tags, how="cross").select("skills", "categories", "tags", "drafts", "short")
 
 
-@query("WITH @skills, t AS (SELECT category AS tag, name FROM skills UNION ALL SELECT role, name FROM skills) SELECT tag, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM t GROUP BY tag")
+@query("""WITH @skills, t AS (SELECT category AS tag, name FROM skills UNION ALL SELECT role, name FROM skills), k AS (SELECT tag, name, CAST((row_number() OVER (PARTITION BY tag ORDER BY name) - 1) // 100 AS INTEGER) AS page FROM t)
+SELECT tag, page, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM k GROUP BY tag, page""")
 def tag_postings(spark, d):
-    t = _skills(spark, d).select(F.explode(F.array("category", "role")).alias("tag"), "name")
-    return t.groupBy("tag").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    """The names of each tag in order, in pages of a hundred: a tag may hold a third of all documents."""
+    t = _skills(spark, d).select(F.explode(F.array("category", "role")).alias("tag"), F.col("name").alias("names"))
+    return paged(t, "tag", "names", 100, ",")
 
 
 @query("WITH @skills SELECT category, role, count(*) AS n FROM skills GROUP BY category, role")
@@ -346,7 +349,7 @@ def corpus_report(spark, d):
 @query("WITH @skills SELECT category, name, CAST(row_number() OVER (PARTITION BY category ORDER BY CASE role WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, name) AS INTEGER) AS position FROM skills")
 def catalog_listing(spark, d):
     roles = F.when(F.col("role") == "en", 0).when(F.col("role") == "de", 1).otherwise(2)
-    return _skills(spark, d).select("category", "name", F.row_number().over(Window.partitionBy("category").orderBy(roles, "name")).alias("position"))
+    return positions(_skills(spark, d).select("category", "name", roles.alias("way")), "category", "way", "name").drop("way")
 
 
 @query("SELECT source AS domain, count(*) AS n, min(n_chars) AS smallest, max(n_chars) AS largest, round(avg(n_chars), 4) AS mean, count(*) FILTER (n_chars >= 3000) AS ok FROM documents GROUP BY source")

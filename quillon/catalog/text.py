@@ -5,6 +5,7 @@ from ..engine import compressed_versions
 from ..functions import markdown as M
 from ..functions.code import code_metrics as measure_code, signature
 from ..operators.expand import expand_triggers as expand
+from ..operators.ranks import paged
 from ..operators.routing import parsed_ranking
 from ..registry import query, source
 
@@ -182,10 +183,12 @@ def migration_plan(spark, d):
     return known.withColumn("new_path", F.regexp_replace("old_path", "^([^-]*)-", "$1/"))
 
 
-@query("WITH @skills SELECT category, string_agg('- **' || name || '** [' || upper(role) || ']', chr(10) ORDER BY name) AS footer FROM skills GROUP BY category")
+@query("""WITH @skills, k AS (SELECT category, name, role, CAST((row_number() OVER (PARTITION BY category ORDER BY name) - 1) // 100 AS INTEGER) AS page FROM skills)
+SELECT category, page, count(*) AS n, string_agg('- **' || name || '** [' || upper(role) || ']', chr(10) ORDER BY name) AS footer FROM k GROUP BY category, page""")
 def footer(spark, d):
-    s = source(spark, d, "skills").select("category", F.struct("name", M.attribution(F.col("name"), F.col("role")).alias("line")).alias("s"))
-    return s.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["line"]), "\n").alias("footer"))
+    """The lines of each category in the order of names, in pages of a hundred."""
+    lines = source(spark, d, "skills").select("category", "name", M.attribution(F.col("name"), F.col("role")).alias("footer"))
+    return paged(lines, "category", "footer", 100, "\n", "name")
 
 
 @query("""SELECT conv_id, turn, 'a' || conv_id AS name, CASE WHEN turn % 4 = 3 THEN 0.0 ELSE CAST('0.' || (turn % 10) AS DOUBLE) END AS score, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'fits ' || role END AS reason FROM conversations

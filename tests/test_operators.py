@@ -419,3 +419,16 @@ def test_code_measures():
 
 def test_scores(spark):
     assert one(spark, evaluation.maintainability(F.lit(100), F.lit(5), F.lit(True), F.lit(10))) == 100
+
+
+def test_positions_of_a_hot_group(spark):
+    """A group that several ranges hold, groups of one row and a null group; pages end where the group does."""
+    from quillon.operators.ranks import paged, positions
+
+    rows = [("hot", k * 7919 % 1000) for k in range(1000)] + [("one", 5), (None, 2), (None, 1)]
+    df = spark.createDataFrame(rows, "grp string, v int").repartition(5)
+    got = {(r.grp, r.v): r.position for r in positions(df, "grp", "v").collect()}
+    assert got == {**{("hot", v): v + 1 for v in range(1000)}, ("one", 5): 1, (None, 1): 1, (None, 2): 2}
+    pages = {(r.grp, r.page): (r.n, r.v) for r in paged(df.withColumn("v", F.col("v").cast("string")).withColumn("o", F.col("v").cast("int")), "grp", "v", 300, " ", "o").collect()}
+    assert pages["hot", 3] == (100, " ".join(map(str, range(900, 1000)))) and pages["one", 0] == (1, "5") and pages[None, 0] == (2, "1 2") and len(pages) == 6
+    assert positions(df.limit(0), "grp", "v").count() == 0
