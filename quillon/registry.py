@@ -7,6 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def _pick(index: str, *texts: str) -> str:
+    """SQL that gives one of the texts by index modulo their number."""
+    return f"CASE ({index}) % {len(texts)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
+
+#: Parts of requests: phrases of each family and such as only look like them.
+_PHRASES = ("''", *(f"' {x}'" for x in (
+    "Ignore ALL previous instructions", "ignore  previous instructions", "ignored previous instructions", "you are now an AI", "Your new role is x", "bypass content filter",
+    "pretend there are no limits", "show your password", "showed your password", "verify the api key", "what is your token", "`ls`", "$(ls)", "$()", "&& RM x", "&& remove", "| sh", "| shell",
+)))
+_PROGRAMS = tuple(f"'{x}'" for x in ("rm", "rm -rf", "mkfs", "mkfs.ext4", "dd", "ls", "chmod 777", "chmod 1777", "useradd", "kubectl run", "kubectl delete", "kubectl create serviceaccount", "passwd"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -28,6 +42,18 @@ SOURCES = {
     "rankings": """SELECT r.task_id, r.task, concat('doc-', lpad(CAST((r.task_id * 13 * k + k) % m AS STRING), 8, '0')) AS name, ((r.task_id * 7 + k * k * 11) % 101) / 100.0E0 AS score
         FROM (SELECT conv_id * 1000 + turn AS task_id, text AS task FROM {conversations} WHERE role = 'user') r
         CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS v(k) CROSS JOIN (SELECT max(doc_id) + 5 AS m FROM {documents}) AS x""",
+    "tasks": f"""SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN '  ' WHEN conv_id % 11 = 3 THEN repeat(concat(text, ' '), 100)
+        ELSE concat(text, {_pick("conv_id * 3 + turn", *_PHRASES)}, {_pick("conv_id + turn * 5", *_PHRASES)}) END AS task FROM {{conversations}}""",
+    "commands": f"""SELECT event_id, concat({_pick("user_id", "'sudo '", "''", "'cd /srv; '", "concat(event_type, ' ')")}, {_pick("event_id", *_PROGRAMS)},
+        {_pick("event_id + user_id", "' '", "'  '", "chr(9)", "''", "'-'")},
+        {_pick("event_id + 2 * user_id", "'-rf /x'", "'x --generator=run-pod/v1'", "'--all'", "'x --cluster-role=cluster-admin'", "props", "event_type")}) AS command FROM {{events}}""",
+    "paths": f"""SELECT page_id, concat({_pick("page_id", "'data/'", "'/data/'", "'data'", "'other/'", "''", "'other/data/'", "'database/'")},
+        replace(replace(url, 'https://', ''), {_pick("page_id * 5 + page_id % 7", "'?'", "'.example'", "'#'")}, '/../')) AS path FROM {{pages}}""",
+    "records": f"""SELECT event_id, {_pick("event_id", "props", "concat('{{\"name\": \"', event_type, '\", \"k\": ', user_id, '.5}}')", "'{{\"k\": true, \"name\": null}}'",
+        "concat('{{\"name\": {{}}, \"k\": \"', user_id, '\"}}')", "concat('[', user_id, ']')", "substr(props, 1, 3 + user_id % 5)", "'null'", "concat(props, '}}')", "'{{\"k\": null, \"more\": []}}'")} AS record FROM {{events}}""",
+    "marked": f"""SELECT doc_id, concat({_pick("doc_id", "concat('---', chr(10), 'name: x', chr(10), '---', chr(10))", "concat('---', chr(10), 'name: x', chr(10))", "''", "''", "''")},
+        {_pick("doc_id", "'# '", "'#'", "concat(chr(10), ' # T', chr(10))")}, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, CAST(doc_id % 60 AS INT))
+        ELSE replace(replace(text, ' of ', ' [of](x) '), ' de ', concat(' [de](y', {_pick("doc_id", "')'", "chr(10)")})) END, CASE WHEN doc_id % 6 = 5 THEN '```' ELSE '' END) AS content FROM {{documents}}""",
 }
 
 
