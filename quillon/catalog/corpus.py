@@ -121,9 +121,9 @@ def report_sections(spark, d):
     return logs.report_links(lines)
 
 
-@query(f"WITH @md SELECT name, {_FRONT} AS frontmatter FROM md")
+@query(f"WITH @fronts SELECT doc_id, {_FRONT} AS frontmatter FROM fronts")
 def frontmatter_extract(spark, d):
-    return _md(spark, d).select("name", M.frontmatter(F.col("content")).alias("frontmatter"))
+    return source(spark, d, "fronts").select("doc_id", M.frontmatter(F.col("content")).alias("frontmatter"))
 
 
 @query()
@@ -131,10 +131,14 @@ def frontmatter_fields(spark, d):
     return _md(spark, d).select("name", K.yaml_fields(M.frontmatter(F.col("content"))).alias("fields"))
 
 
-@query("WITH @md SELECT name, concat('doc-', doc_id) AS f_name, concat('Text: ', role) AS description, category AS domain, role, concat('alpha, ', category, ', , beta') AS triggers FROM md")
+_LINES = rf"list_filter(list_transform(regexp_split_to_array({_FRONT}, '\r?\n'), lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Za-z][\w-]*:\s*\S'))"
+_FIELD = r"""regexp_replace(trim(regexp_extract(list_filter(l, lambda x: starts_with(x, '{0}:'))[-1], '^[\w-]+:\s*(.*)$', 1)), '^["''](.*)["'']$', '\1') AS f_{0}"""
+
+
+@query(f"WITH @fronts, l AS (SELECT doc_id, {_LINES} AS l FROM fronts) SELECT doc_id, {', '.join(map(_FIELD.format, ('name', 'description', 'domain', 'role', 'triggers')))} FROM l")
 def frontmatter_lenient(spark, d):
-    f = _md(spark, d).select("name", M.lenient_fields(M.frontmatter(F.col("content"))).alias("f"))
-    return f.select("name", F.col("f")["name"].alias("f_name"), *(F.col("f")[k].alias(k) for k in ("description", "domain", "role", "triggers")))
+    f = source(spark, d, "fronts").select("doc_id", M.lenient_fields(M.frontmatter(F.col("content"))).alias("f"))
+    return f.select("doc_id", *(F.col("f")[k].alias(f"f_{k}") for k in ("name", "description", "domain", "role", "triggers")))
 
 
 @query("WITH @md SELECT concat('doc-', doc_id) AS name, category, concat('Text: ', role) AS description, concat_ws('|', category, 'alpha', 'beta', role) AS tags, '1.0.0' AS version FROM md")

@@ -51,6 +51,10 @@ SOURCES = {
         replace(replace(url, 'https://', ''), {_pick("page_id * 5 + page_id % 7", "'?'", "'.example'", "'#'")}, '/../')) AS path FROM {{pages}}""",
     "records": f"""SELECT event_id, {_pick("event_id", "props", "concat('{{\"name\": \"', event_type, '\", \"k\": ', user_id, '.5}}')", "'{{\"k\": true, \"name\": null}}'",
         "concat('{{\"name\": {{}}, \"k\": \"', user_id, '\"}}')", "concat('[', user_id, ']')", "substr(props, 1, 3 + user_id % 5)", "'null'", "concat(props, '}}')", "'{{\"k\": null, \"more\": []}}'")} AS record FROM {{events}}""",
+    "fronts": f"""SELECT doc_id, concat('---', e, 'name: ', {_pick("doc_id", "concat('doc-', doc_id)", "concat('\"', source, ' \"')", "concat(chr(39), lang, chr(39))", "''", "' a: b # c'", "'\"open'")}, e,
+        {_pick("doc_id + n_chars", "'# role: no'", "'role: first'", "'  role: inner'", "'role:tight'", "'- role: item'", "'9role: x'", "concat('triggers: a, ', lang)")}, e, 'description: ', n_chars, e, 'domain: ', source, e,
+        {_pick("n_chars", "concat('  domain: late', e)", "concat('role: last ', e)", "''", "concat(e, 'domain:', e)")}, {_pick("doc_id", "'---'", "'---'", "'----'", "'--'", "' ---'")}, e, text) AS content
+        FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN concat(chr(13), chr(10)) ELSE chr(10) END AS e FROM {{documents}}) AS x""",
     "marked": f"""SELECT doc_id, concat({_pick("doc_id", "concat('---', chr(10), 'name: x', chr(10), '---', chr(10))", "concat('---', chr(10), 'name: x', chr(10))", "''", "''", "''")},
         {_pick("doc_id", "'# '", "'#'", "concat(chr(10), ' # T', chr(10))")}, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, CAST(doc_id % 60 AS INT))
         ELSE replace(replace(text, ' of ', ' [of](x) '), ' de ', concat(' [de](y', {_pick("doc_id", "')'", "chr(10)")})) END, CASE WHEN doc_id % 6 = 5 THEN '```' ELSE '' END) AS content FROM {{documents}}""",
