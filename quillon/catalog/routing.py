@@ -48,12 +48,13 @@ def rank_roles(spark, d):
     return _selection(spark, d).select("task_id", "name", "role")
 
 
-@query(f"{_W}, {_K} SELECT task_id, 'Task: ' || task || chr(10) || string_agg((rank + 1) || '. ' || name || ' (' || coalesce(category, '?') || ')', chr(10) ORDER BY rank) AS prompt FROM (SELECT k.*, s.category FROM k LEFT JOIN skills s ON s.name = k.name WHERE rank < 10) GROUP BY task_id, task")
+_P1, _P2, _P3 = ("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in R.PROMPT)
+
+
+@query(f"{_W}, {_K} SELECT task_id, {_P1} || task || {_P2} || string_agg((rank + 1) || '. ' || name || ': ' || coalesce(description, 'unknown'), chr(10) ORDER BY rank) || {_P3} AS prompt FROM (SELECT k.*, s.description FROM k LEFT JOIN skills s ON s.name = k.name WHERE rank < 10) GROUP BY task_id, task")
 def rank_prompt(spark, d):
-    k = R.capped(_rankings(spark, d)).join(source(spark, d, "skills").select("name", "category"), "name", "left")
-    line = R.prompt_line(F.col("rank"), F.col("name"), F.coalesce("category", F.lit("?")))
-    g = k.groupBy("task_id", "task").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("s"))
-    return g.select("task_id", F.concat(F.lit("Task: "), "task", F.lit("\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n")).alias("prompt"))
+    k = R.capped(_rankings(spark, d)).join(source(spark, d, "skills").select("name", "description"), "name", "left")
+    return R.prompts(k.withColumn("description", F.coalesce("description", F.lit("unknown"))))
 
 
 @query(f"{_W}, {_SEL} SELECT r.task_id, round(least(1.0, coalesce(CASE WHEN min_by(score, rank) > 0.8 THEN avg(score) * 1.1 ELSE avg(score) END, 0)), 6) AS confidence FROM (SELECT DISTINCT task_id FROM rankings) r LEFT JOIN s ON s.task_id = r.task_id GROUP BY r.task_id")
@@ -75,6 +76,18 @@ def rank_cache_key(spark, d):
     return g.select("task_id", R.ranking_key(F.col("task"), F.col("names")).alias("key"))
 
 
+@query("""WITH r AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN concat('  ', event_type, ' ') ELSE concat(event_type, user_id) END AS task,
+CASE user_id % 4 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b', 'a'] WHEN 2 THEN ['b'] ELSE ['c', 'b', 'a'] END AS names FROM events),
+k AS (SELECT id, sha256(lower(trim(task)) || '|' || array_to_string(list_sort(names), ',')) AS key FROM r), s AS (SELECT *, min(id) OVER (PARTITION BY key) AS served_by FROM k) SELECT id, key, served_by, id <> served_by AS hit FROM s""")
+def ranking_cache(spark, d):
+    """Repeated requests, in other cases, with blanks around or their candidates in another order, read the first one's ranking."""
+    e, user = source(spark, d, "events"), F.col("user_id") % 4
+    task = F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("  "), "event_type", F.lit(" "))).otherwise(F.concat("event_type", "user_id"))
+    some = lambda *xs: F.array(*map(F.lit, xs))
+    names = F.when(user == 0, some("a", "b")).when(user == 1, some("b", "a")).when(user == 2, some("b")).otherwise(some("c", "b", "a"))
+    return R.cached_rankings(e.select(F.col("event_id").alias("id"), task.alias("task"), names.alias("names")))
+
+
 @query(f"""{_W}, {_SEL}, p AS (SELECT task_id, count(*) AS n, bool_or(role = 'supporting') AS sup FROM s GROUP BY task_id)
 SELECT r.task_id, CASE WHEN coalesce(n, 0) <= 1 THEN 'sequential' WHEN sup THEN 'hybrid' ELSE 'sequential' END AS strategy FROM (SELECT DISTINCT task_id FROM rankings) r LEFT JOIN p ON p.task_id = r.task_id""")
 def plan_strategy(spark, d):

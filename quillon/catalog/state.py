@@ -102,12 +102,16 @@ def write_flush(spark, d):
     return S.last_writes(_events(spark, d), "user_id", size=20, flush=43_200_000_000)
 
 
-@query(f"{_E} SELECT event_id, min(event_id) OVER (PARTITION BY user_id, us // 60000000) AS served_by FROM e")
+_BUSY = 45 * S.MINUTE
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT event_id, user_id, n, us AS start, event_id AS served_by FROM e WHERE n = 1
+ UNION ALL SELECT e.event_id, e.user_id, e.n, CASE WHEN e.us >= start + {_BUSY} THEN e.us ELSE start END, CASE WHEN e.us >= start + {_BUSY} THEN e.event_id ELSE served_by END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT event_id, served_by FROM w""")
 def inflight_dedupe(spark, d):
-    """Requests of a key in the same minute share the first one's result."""
-    e = _events(spark, d).withColumn("slot", F.floor(F.col("us") / 60_000_000))
-    first = e.groupBy("user_id", "slot").agg(F.min("event_id").alias("served_by"))
-    return e.join(first, ["user_id", "slot"]).select("event_id", "served_by")
+    """Requests of a key share the result of the one in flight until it is done; the next one starts anew."""
+    return S.in_flight(_events(spark, d), "user_id", _BUSY)
 
 
 @query("WITH @skills SELECT name, CASE WHEN doc_id % 3 = 0 THEN 'm:' || role WHEN doc_id % 2 = 0 THEN 'd:' || category ELSE content END AS content, CASE WHEN doc_id % 3 = 0 THEN 'memory' WHEN doc_id % 2 = 0 THEN 'disk' ELSE 'original' END AS tier FROM skills")
@@ -118,6 +122,12 @@ def tiered_read(spark, d):
     return S.tiered(s, ("memory", memory), ("disk", disk), ("original", s))
 
 
+@query(f"{_E}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS place FROM e) SELECT user_id, event_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20")
+def recent_by_user(spark, d):
+    """A ring of twenty events for each key."""
+    return S.recent(_events(spark, d), 20, "user_id").select("user_id", "event_id", "place")
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_events(spark, d):
     return source(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).select("event_id", "ts", "event_type")

@@ -44,8 +44,21 @@ def confidence(scores: Column, rank: Column) -> Column:
     return F.least(F.lit(1.0), F.coalesce(F.when(F.min_by(scores, rank) > 0.8, mean * 1.1).otherwise(mean), F.lit(0.0)))
 
 
-def prompt_line(rank: Column, name: Column, category: Column) -> Column:
-    return F.format_string("%d. %s (%s)", (rank + 1).cast("int"), name, category)
+#: Text around the candidates of a prompt; the reply it asks for is what parsed_ranking reads.
+PROMPT = ('Task: "', '"\n\nCandidates:\n', '\n\nRank the candidates that fit the task, best first, and reply with JSON alone: {"rankings": [{"name": "...", "score": 0.0, "reason": "..."}]}')
+
+
+def prompt_line(rank: Column, name: Column, description: Column) -> Column:
+    return F.format_string("%d. %s: %s", (rank + 1).cast("int"), name, description)
+
+
+def prompts(candidates: DataFrame, template: tuple[str, str, str] = PROMPT) -> DataFrame:
+    """(task_id, prompt) of ranked candidates (task_id, task, rank, name, description), at most the cap of a task."""
+    line = prompt_line(F.col("rank"), F.col("name"), F.col("description")).alias("line")
+    g = candidates.groupBy("task_id", "task").agg(F.sort_array(F.collect_list(F.struct("rank", line))).alias("s"))
+    lines = F.array_join(F.transform("s", lambda x: x["line"]), "\n")
+    before, between, after = map(F.lit, template)
+    return g.select("task_id", F.concat(before, "task", between, lines, after).alias("prompt"))
 
 
 def ranking_key(task: Column, names: Column) -> Column:
@@ -53,6 +66,13 @@ def ranking_key(task: Column, names: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lower(F.trim(task)), F.array_join(F.array_sort(names), ",")), 256)
 
 
+def cached_rankings(requests: DataFrame) -> DataFrame:
+    """(id, key, served_by, hit) of requests (id, task, names): the first of a key is ranked, later ones read its result."""
+    keyed = requests.select("id", ranking_key(F.col("task"), F.col("names")).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("served_by"))
+    return keyed.join(first, "key").select("id", "key", "served_by", (F.col("id") != F.col("served_by")).alias("hit"))
+
+
 def parsed_ranking(reply: Column, names: Column) -> Column:
     """(name, score, reason) rows of a model's reply that rank one of the names.
 

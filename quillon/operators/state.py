@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 MINUTE = 60_000_000
 DAY = 24 * 60 * MINUTE
@@ -40,8 +42,8 @@ def ttl_replay(events: DataFrame, ttl: Column, *keys: str) -> DataFrame:
     return rows.drop("gap", "day")
 
 
-def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
-    """Events with their anchored window and the count so far.
+def anchored_windows(events: DataFrame, key: str, width: int) -> DataFrame:
+    """Events with their run, the number of their anchored window in it, the count so far and the window's first event.
 
     A new window starts whenever the gap to the event before is at least `width`,
     whatever came earlier; so each run without such a gap is solved by itself, and a
@@ -57,23 +59,46 @@ def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW)
 
     def solve(batches):
         # Runs come whole and in order; only the open window is carried from batch to batch.
-        now, start, number, count = None, 0, 0, 0
+        now, start, number, count, first = None, 0, 0, 0, 0
         for g in batches:
             found = []
-            for k, run, us in zip(g[key].tolist(), g["run"].tolist(), g["us"].tolist()):
+            for k, run, us, event in zip(g[key].tolist(), g["run"].tolist(), g["us"].tolist(), g["event_id"].tolist()):
                 if (k, run) != now:
-                    now, start, number, count = (k, run), us, 0, 1
+                    now, start, number, count, first = (k, run), us, 0, 1, event
                 elif us - start >= width:
-                    start, number, count = us, number + 1, 1
+                    start, number, count, first = us, number + 1, 1, event
                 else:
                     count += 1
-                found.append((number, count))
-            yield g.assign(window=[n for n, _ in found], in_window=[c for _, c in found])[[key, "event_id", "run", "window", "in_window"]]
+                found.append((number, count, first))
+            number_of, count_of, first_of = zip(*found) if found else ((), (), ())
+            yield g.assign(window=number_of, in_window=count_of, first=first_of)[[key, "event_id", "run", "window", "in_window", "first"]]
 
     runs = rows.repartition(key, "run").sortWithinPartitions(key, "run", "us", "event_id")
-    out = runs.mapInPandas(solve, f"{key} long, event_id long, run long, window long, in_window long")
-    first = Window.partitionBy(key).orderBy("run", "window")
-    return out.select(key, "event_id", (F.dense_rank().over(first) - 1).cast("long").alias("window"), "in_window")
+    return runs.mapInPandas(solve, f"{key} long, event_id long, run long, window long, in_window long, first long")
+
+
+def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
+    """Events with the number of their anchored window among the key's and the count so far.
+
+    A run's windows are numbered on from those of the key's runs before; there are no more runs than widths in
+    the time that the log covers, however many events a key has.
+    """
+    found = staged(anchored_windows(events, key, width), "windows")
+    runs = found.groupBy(F.col(key).alias("_key"), F.col("run").alias("_run")).agg((F.max("window") + 1).alias("m"))
+    runs = runs.select("_key", "_run", (F.sum("m").over(Window.partitionBy("_key").orderBy("_run")) - F.col("m")).alias("before"))
+    numbered = found.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run")))
+    return numbered.select(key, "event_id", (F.col("window") + F.col("before")).alias("window"), "in_window")
+
+
+def in_flight(requests: DataFrame, key: str, busy: int) -> DataFrame:
+    """(event_id, served_by): a request starts the work of its key, which takes `busy`; those that come before it ends share its result."""
+    return anchored_windows(requests, key, busy).select("event_id", F.col("first").alias("served_by"))
+
+
+def recent(events: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The last `most` events of each key, with their place from the newest, 1."""
+    newest = Window.partitionBy(*keys).orderBy(F.col("us").desc(), F.col("event_id").desc())
+    return events.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
 
 
 def expiry(age: Column, idle: Column, accesses: Column, most: int = FRESH) -> Column:
