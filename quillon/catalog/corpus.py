@@ -318,8 +318,9 @@ def section_presence(spark, d):
 @query("WITH @skills SELECT count(*) AS skills, count(DISTINCT category) AS categories, count(DISTINCT category) + count(DISTINCT role) AS tags, count(*) FILTER (draft) AS drafts, count(*) FILTER (length(content) < 3000) AS short FROM skills")
 def registry_stats(spark, d):
     s = _skills(spark, d)
-    tags = s.select(F.explode(F.array("category", "role")).alias("tag")).agg(F.countDistinct("tag").alias("tags"))
-    return s.agg(F.count("*").alias("skills"), F.countDistinct("category").alias("categories"), F.count_if("draft").alias("drafts"), F.count_if(F.length("content") < 3000).alias("short")).join(tags, how="cross").select("skills", "categories", "tags", "drafts", "short")
+    tags = s.select(F.explode(F.array("category", "role")).alias("tag")).agg(F.countDistinct("tag"))
+    counts = s.agg(F.count("*").alias("skills"), F.countDistinct("category").alias("categories"), F.count_if("draft").alias("drafts"), F.count_if(F.length("content") < 3000).alias("short"))
+    return counts.select("skills", "categories", tags.scalar().alias("tags"), "drafts", "short")
 
 
 @query("""WITH @skills, t AS (SELECT category AS tag, name FROM skills UNION ALL SELECT role, name FROM skills), k AS (SELECT tag, name, CAST((row_number() OVER (PARTITION BY tag ORDER BY name) - 1) // 100 AS INTEGER) AS page FROM t)
@@ -339,8 +340,7 @@ def domain_role_counts(spark, d):
 SELECT CAST(r.bucket AS INTEGER) AS bucket, count(k.bucket) AS n, round(100.0 * count(k.bucket) / (SELECT count(*) FROM documents), 2) AS percent FROM (VALUES (0), (1), (2), (3), (4), (5)) r(bucket) LEFT JOIN k ON k.bucket = r.bucket GROUP BY r.bucket""")
 def size_histogram(spark, d):
     counts = source(spark, d, "documents").groupBy(K.size_bucket(F.octet_length("text")).alias("bucket")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    out = spark.range(6).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").join(F.broadcast(total), how="cross")
+    out = spark.range(6).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").withColumn("total", counts.agg(F.sum("n")).scalar())
     return out.select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.round(100.0 * F.coalesce("n", F.lit(0)) / F.col("total"), 2).alias("percent"))
 
 

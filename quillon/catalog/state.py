@@ -57,7 +57,7 @@ _VERSIONS = "v AS (SELECT user_id, us // 86400000000 AS version, min(us) AS crea
 def _versions(spark, d):
     e = _events(spark, d)
     v = e.groupBy("user_id", F.floor(F.col("us") / 86_400_000_000).alias("version")).agg(F.min("us").alias("created"), F.max("us").alias("last"), F.count("*").alias("accesses"))
-    return v.join(F.broadcast(e.agg(F.max("us").alias("now"))), how="cross")
+    return v.withColumn("now", e.agg(F.max("us")).scalar())
 
 
 @query(f"{_E}, {_VERSIONS} SELECT user_id, version, accesses FROM v, m WHERE now - created <= {S.FRESH}")

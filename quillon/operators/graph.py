@@ -40,7 +40,8 @@ def added_opposites(edges: DataFrame, most: int = 4) -> DataFrame:
     held = edges.groupBy("src").agg(F.count("*").alias("held"))
     order = Window.partitionBy("src").orderBy("dst")
     ranked = missing.join(held, "src", "left").withColumn("k", F.row_number().over(order))
-    return ranked.filter(F.col("k") <= most - F.coalesce("held", F.lit(0))).select("src", "dst")
+    # The bound without the links held lets Spark drop the rest of a busy target's rows before the shuffle.
+    return ranked.filter((F.col("k") <= most) & (F.col("k") <= most - F.coalesce("held", F.lit(0)))).select("src", "dst")
 
 
 def enforce_reciprocal(edges: DataFrame, names: DataFrame, most: int = 4) -> DataFrame:
