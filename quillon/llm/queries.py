@@ -1,10 +1,10 @@
-"""The ten operators over the given tables, as registered queries with their SQL where there is some."""
+"""The operators over the given tables, as registered queries with their SQL where there is some."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, exact, html, near, packing, pii, quality, toxicity, urls
+from . import bpe, chunks, exact, html, near, packing, pii, quality, releases, spelling, syncmers, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,5 +153,68 @@ k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT t.doc_id, coalesce(class_id, t.doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_bpe, op4_toxicity, op5_quality_rules, op6_html_extraction, op7_best_fit_packing, op8_exact_dedup, op9_substring_dedup, op10_ngram_jaccard_join)}
-SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+
+#: Check sums in SQL: the table of single bytes, and the check sum of what a text of hexadecimal digits stands for.
+CRC_TABLE = """tbl AS MATERIALIZED (SELECT list(c ORDER BY i) AS tbl FROM (
+  SELECT i, list_reduce([CAST(i AS BIGINT)] || CAST(range(8) AS BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) r(i)))"""
+CRC = """xor(list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda a, b: xor(a // 256, tbl[xor(a, b) % 256 + 1])), 4294967295)"""
+
+
+def op11_cascading_release(spark, sf_dir):
+    return releases.releases(table(spark, sf_dir, "conversations"))
+
+
+def _outcome(start: str) -> str:
+    """SQL of the attempts of a turn that starts at a second: times, and the number of the first that delivers."""
+    times = f"[{start}, {start} + 20, {start} + 60, {start} + 140]"
+    good = f"list_filter([1, 2, 3, 4], lambda a: NOT (h[2] % 101 < 20 AND ({times}[a] < 7 * p + h[3] % 101 OR h[a + 3] % 3 = 0)))[1]"
+    return f"{start} AS first_at, {times} AS times, {good} AS good"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, turn, text, coalesce(CAST(conv_id AS VARCHAR), '') AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p FROM conversations),
+s AS (SELECT conv, p, k, hex(encode(CASE WHEN k = 7 THEN coalesce(text, '') ELSE concat(k, ':', conv, ':', turn) END)) AS x FROM c CROSS JOIN range(8) r(k)),
+x AS MATERIALIZED (SELECT conv, p, list(h ORDER BY k) AS h FROM (SELECT conv, p, k, {CRC} AS h FROM s, tbl) GROUP BY conv, p),
+t AS MATERIALIZED (SELECT c.conv_id, c.turn, conv, p, h, CASE WHEN h[1] % 7 > 0 AND h[1] % 7 <= p THEN p - h[1] % 7 END AS parent FROM c JOIN x USING (conv, p)),
+r AS (SELECT conv, p, 'open' AS above, {_outcome("CAST(7 * p AS BIGINT)")} FROM t WHERE parent IS NULL
+  UNION ALL SELECT conv, p, above, {_outcome("began")} FROM (
+    SELECT t.conv, t.p, t.h, CASE WHEN r.above = 'blocked' OR r.good IS NULL THEN 'blocked' ELSE 'open' END AS above, greatest(7 * t.p, coalesce(r.times[r.good], 0)) AS began FROM r JOIN t ON t.conv = r.conv AND t.parent = r.p)),
+d AS (SELECT t.conv_id, t.turn, conv, p, h[8] AS crc, CASE WHEN above = 'blocked' THEN 'blocked' WHEN good IS NULL THEN 'dead' ELSE 'delivered' END AS status, CASE WHEN above = 'blocked' THEN 0 ELSE coalesce(good, 4) END AS attempts,
+  CASE WHEN above <> 'blocked' THEN first_at END AS first_at, CASE WHEN above <> 'blocked' THEN times[coalesce(good, 4)] END AS last_at FROM r JOIN t USING (conv, p)),
+n AS (SELECT *, CASE WHEN status = 'delivered' THEN row_number() OVER (PARTITION BY conv, status ORDER BY last_at, p) END AS release_no FROM d)
+SELECT conv_id, turn, status, CAST(attempts AS INTEGER) AS attempts, first_at, last_at, release_no,
+  CASE WHEN status = 'delivered' THEN CAST(sum(release_no * crc) OVER (PARTITION BY conv, status ORDER BY last_at, p) AS BIGINT) END AS state FROM n
+"""
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+w AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT hex(encode(id || ':' || run)) AS x, run, count(*) AS n FROM w GROUP BY id, run),
+x AS (SELECT run, n, {CRC} AS h FROM g, tbl),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM x),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS MATERIALIZED (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.part UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.part),
+k AS (SELECT p.word, other, v.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, other) AS r FROM p JOIN v ON v.word = other),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN k ON k.word = v.word AND r = 1),
+o AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, o.root FROM o JOIN f ON f.form = o.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN o ON o.word = f.word
+"""
+
+
+def op13_syncmer_fingerprints(spark, sf_dir):
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_pii, op3_bpe, op4_toxicity, op5_quality_rules, op6_html_extraction, op7_best_fit_packing, op8_exact_dedup, op9_substring_dedup, op10_ngram_jaccard_join,
+    op11_cascading_release, op12_spelling_variants, op13_syncmer_fingerprints,
+)}
+SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_cascading_release": OP11_SQL, "op12_spelling_variants": OP12_SQL}
