@@ -6,7 +6,9 @@ children, so the root is the lowest rank, and going down to the left child
 whenever it holds that minimum finds the leftmost place. A merge changes at most
 three leaves, each in logarithmic time, until no mergeable pair is left.
 
-Null and empty texts give no ids. Control characters, texts beyond Latin-1 and
+Null and empty texts give no ids, and rows that repeat are encoded once each. A word of
+any length takes time in proportion to it and the logarithm of its length, a text of any
+length is encoded word by word. Control characters, texts beyond Latin-1 and
 the vocabulary's special tokens inside a text are handled as the tokenizers
 library handles them.
 """
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from .common import doc_texts, map_arrow, worker_cache
 
-#: Words kept encoded per Python worker, twice: when full, the cache becomes the older half.
-CACHE_WORDS = 250_000
+#: Bytes of words kept encoded, twice for each of two kinds, in a Python worker: when full, a cache becomes the older half.
+#: An entry counts with what Python's objects take besides its letters and ids.
+CACHE_BYTES, ENTRY_BYTES = 20 << 20, 190
 NO_RANK = 1 << 60
 UINT32 = "I"
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -122,20 +125,21 @@ def merge_scanning(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, i
 
 
 class _Words(dict):
-    """Ids of words as little-endian bytes; computed at first use, bounded in number."""
+    """Ids of words as little-endian bytes; computed at first use, bounded in bytes."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit, self.older = encode, limit, {}
+        self.encode, self.limit, self.held, self.older = encode, limit, 0, {}
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
             out = self.encode(word)
         if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.older = dict(self)
+            if self.held >= self.limit:
+                self.older, self.held = dict(self), 0
                 self.clear()
+            self.held += ENTRY_BYTES + len(word) + len(out)
             self[word] = out
         return out
 
@@ -146,7 +150,7 @@ class WordBpe:
     Words of up to scan_words symbols are merged by scanning, longer ones by the segment tree.
     """
 
-    def __init__(self, spec: bytes, cache_words: int = CACHE_WORDS, scan_words: int = 0):
+    def __init__(self, spec: bytes, cache_bytes: int = CACHE_BYTES, scan_words: int = 0):
         self.spec, self.scan_words = spec, scan_words
         data = json.loads(spec)
         model = data["model"]
@@ -168,8 +172,8 @@ class WordBpe:
         blank = re.escape("".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0])))
         letters, digits = kind("L"), kind("N")
         self.pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blank}{letters}{digits}]+")
-        self.words = _Words(lambda w: self.word(w.encode()), cache_words)
-        self.mapped = _Words(lambda w: self.word(bytes([self.byte[c] for c in w])), cache_words)
+        self.words = _Words(lambda w: self.word(w.encode()), cache_bytes)
+        self.mapped = _Words(lambda w: self.word(bytes([self.byte[c] for c in w])), cache_bytes)
         self.library = None
 
     def word(self, word: bytes) -> bytes:

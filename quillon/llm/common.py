@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Tables at or below this many bytes may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Before the name of a column that a row key pushes aside.
+ASIDE = "_given"
 #: Bytes that a row key takes in a broadcast table.
 ROW_BYTES = 64
-#: Rows that an operator's function gets at once.
-SLICE_ROWS = 1024
+#: Rows that an operator's function gets at once, and rows and bytes that Spark hands a worker at once.
+SLICE_ROWS, BATCH_ROWS, BATCH_BYTES = 1024, 2048, 4 << 20
 #: White space of the text contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -58,8 +60,9 @@ def is_scan(df: DataFrame) -> bool:
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with `_row`, a key of the row that every scan gives alike: its place in the Parquet files.
 
-    What is not a plain scan of Parquet is staged first. `_row` takes the place of a column of that name.
+    What is not a plain scan of Parquet is staged first. A column of that name waits under another one until `without`.
     """
+    docs = docs.withColumnsRenamed({c: ASIDE + c for c in docs.columns if c.lower() == "_row"})
     for source in (docs, None):
         try:
             source = source if source is not None else staged(docs, "keyed")
@@ -76,7 +79,13 @@ def without(source: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of source whose `_row` is not among the dropped ones, which are broadcast below a checked size."""
     dropped = staged(dropped.select("_row"), "dropped")
     small = dropped.count() * ROW_BYTES <= BROADCAST_BYTES
-    return source.join(F.broadcast(dropped) if small else dropped, "_row", "left_anti").drop("_row")
+    return restored(source.join(F.broadcast(dropped) if small else dropped, "_row", "left_anti"))
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """rows without the key, with the given column of its name back in place."""
+    left = rows.drop("_row")
+    return left.withColumnsRenamed({c: c.removeprefix(ASIDE) for c in left.columns if c.startswith(ASIDE)})
 
 
 _KEPT: dict[object, object] = {}
@@ -100,12 +109,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def map_arrow(df: DataFrame, func, schema: str, cached: bool = False) -> DataFrame:
     """mapInArrow whose Python workers can import this package; without `cached`, a worker's cache goes first.
 
-    Batches are handed on in slices, so that what a worker makes of one is small, and freed memory goes back.
+    Spark's batches are bounded in bytes where the session does not bound them: both sides hold a batch whole, and
+    documents of megabytes would otherwise come by the thousand. Batches are handed on in slices, so that what a
+    worker makes of one is small, and freed memory goes back.
     """
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    bound_batches(df.sparkSession)
 
     def sliced(batches):
         pool = pa.default_memory_pool()

@@ -34,7 +34,7 @@ SIGNATURE = 112
 #: Bounds of a block: nodes, and n-grams over all its nodes.
 BLOCK_NODES, BLOCK_GRAMS = 256, 500_000
 #: Words whose hashes a worker keeps.
-HASHED_WORDS = 200_000
+HASHED_WORDS = 100_000
 WORD = re.compile(r"[^ \t-\r]+")
 ROW = "_row struct<file:long,at:long>"
 ODD = np.uint64(0x9E3779B97F4A7C15)

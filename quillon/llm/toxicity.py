@@ -135,6 +135,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     return [t for _, t, _ in got], np.array([y > 0 for _, _, y in got], bool), n.get(True, 0) / max(1, sum(n.values()))
 
 
+#: Words whose weights a worker keeps, twice: when full, the cache becomes the older half.
+CACHED_WORDS = 80_000
+
+
 class _Weights(dict):
     def __init__(self, weights: np.ndarray):
         super().__init__()
@@ -144,7 +148,7 @@ class _Weights(dict):
         found = self.older.get(word)
         if found is None:
             found = float(self.weights[word_features(word)].sum())
-        if len(self) >= 200_000:
+        if len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
         if len(word) <= 64:
