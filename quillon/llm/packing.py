@@ -10,7 +10,9 @@ within salted groups, so a length that a third of all pieces share is spread ove
 many tasks.
 
 A null or empty text is one piece holding only the closing id. Repeated rows are
-packed once each.
+packed once each, and rows that repeat a doc_id are spread like others. Pieces of one
+length can stand for each other; ties go by doc_id, piece and row. A text of any length
+is cut into as many pieces as it needs. Other columns are never read, whatever their names.
 """
 from __future__ import annotations
 
@@ -117,16 +119,16 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[n
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces with sequence_id and offset; see the module for the method."""
     spark = docs.sparkSession
-    pieces = staged(cut_pieces(docs, capacity, path), "pieces")
+    pieces = staged(cut_pieces(docs, capacity, path).withColumn("seed", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan, _ = packing_plan(histogram, capacity)
     # Salts keep every (length, salt) group to about half of an even share of a task.
     total, most = max(1, sum(histogram.values())), max([1, *histogram.values()])
     salts = max(1, math.ceil(2 * most * partitions(spark) / total))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("seed"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "seed")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
     key = (plan[:, 0] << 44) | plan[:, 1]  # sorted by length, then first rank
 
