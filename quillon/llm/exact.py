@@ -14,6 +14,7 @@ finds its own digests and decides as before.
 """
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, keyed, shared_dir, staged, without
 
-BUCKETS = 32
+#: Fewest buckets, and digests that one is made for: a bucket is what one task reads and sorts.
+BUCKETS, BUCKET_ROWS = 32, 2_000_000
 
 
 def digests(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -34,27 +36,68 @@ def digests(docs: DataFrame, row: Column | None = None) -> DataFrame:
 class DigestIndex:
     """Table (text_sha256, keep_id, group_size, batch), one row per digest seen so far, in a folder.
 
-    The folder's name holds the number of buckets, so that opening it needs no catalogue.
+    The folder's name holds the number of buckets, so that opening it needs no catalogue. The number follows from
+    the rows: when they outgrow it, the table is written again in at least twice as many buckets, and takes its
+    place by one renaming; of two such folders the one with more buckets is whole and counts.
     Without a path the index lives in the shared folder until it is closed.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.lasting = spark, path is not None
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.lasting, self.bucket_rows = spark, path is not None, bucket_rows
         self.path = spark._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
         self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
-        held = [f.getPath().getName() for f in self.fs.listStatus(self.path)] if self.fs.exists(self.path) else []
-        self.buckets = next((int(n.removeprefix("buckets-")) for n in held if n.startswith("buckets-")), buckets)
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        place = f"{self.path.toString()}/buckets-{self.buckets}".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {self.table} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        held = self.held()
+        self.buckets, self.table = max(held, default=buckets), None
+        if self.buckets:
+            self.table = self.opened(self.place(f"buckets-{self.buckets}"), self.buckets)
+
+    def held(self) -> list[int]:
+        """Numbers of buckets of the tables in the folder."""
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path)] if self.fs.exists(self.path) else []
+        return [int(n.removeprefix("buckets-")) for n in names if n.startswith("buckets-")]
+
+    def place(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def opened(self, place, buckets: int) -> str:
+        name, at = f"digest_index_{uuid.uuid4().hex}", place.toString().replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{at}'")
+        return name
+
+    def make_room(self, more: int) -> None:
+        """Buckets for the digests held and `more` of them."""
+        rows = more + (self.read().count() if self.table else 0)
+        if self.table and rows <= self.buckets * self.bucket_rows:
+            return
+        wanted = max(BUCKETS, 1 << math.ceil(math.log2(max(1, rows / self.bucket_rows)))) if not self.table else 2 * self.buckets
+        while wanted * self.bucket_rows < rows:
+            wanted *= 2
+        if self.table is None:
+            self.buckets, self.table = wanted, self.opened(self.place(f"buckets-{wanted}"), wanted)
+            return
+        made = self.place(f"making-{uuid.uuid4().hex}")
+        new = self.opened(made, wanted)
+        self.put(self.read(), new, wanted)
+        self.spark.sql(f"DROP TABLE {new}")
+        old, self.buckets = (self.table, self.place(f"buckets-{self.buckets}")), wanted
+        if not self.fs.rename(made, self.place(f"buckets-{wanted}")):
+            raise OSError(f"{made.toString()} could not take its place")
+        self.table = self.opened(self.place(f"buckets-{wanted}"), wanted)
+        self.spark.sql(f"DROP TABLE {old[0]}")
+        self.fs.delete(old[1], True)
+
+    @staticmethod
+    def put(rows: DataFrame, table: str, buckets: int) -> None:
+        rows.repartition(buckets, "text_sha256").write.bucketBy(buckets, "text_sha256").sortBy("text_sha256").mode("append").saveAsTable(table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
     def append(self, best: DataFrame, batch: str) -> None:
         """Add the digests that the index does not hold yet."""
+        self.make_room(best.count())
         new = best.select("text_sha256", "keep_id", "group_size", F.lit(batch).alias("batch")).join(self.read().hint("merge"), "text_sha256", "left_anti")
-        new.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").saveAsTable(self.table)
+        self.put(new, self.table, self.buckets)
 
     def resolve(self, found: DataFrame, best: DataFrame, batch: str) -> DataFrame:
         """Every row with the row that stays for its text.
@@ -69,7 +112,8 @@ class DigestIndex:
 
     def close(self) -> None:
         """Forget the session's table; the files stay where a path was given."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         if not self.lasting:
             self.fs.delete(self.path, True)
 
