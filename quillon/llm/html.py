@@ -6,11 +6,15 @@ classes from the body down, digits as '#'. Spark counts the votes of a host's pa
 for each path. Pass two extracts again: from the containers on the host's most voted
 path that the page has, or from its own best container where no winner occurs.
 
-Names of classes only make an element a suspect. A suspect is left out of a container
-while the rest of it still holds a tenth of the suspect's text, so a name never empties
-the element that holds the article; where the name only speaks of something else in
-part (a list of tags), most of the text has to be links besides. Elements that are no
-part of any article by their tag (navigation, footers, asides, scripts) always go.
+Names of classes make an element a suspect. One whose whole name says what it is
+(comments, cookie notice, sidebar) goes whatever its size, as long as any text is left;
+so do doubtful ones beside an article or main element that is no suspect itself. Other
+suspects are left out of a container while the rest of it still holds a tenth of their
+text, so a doubtful name never empties the element that holds the article; where the name
+only speaks of something else in part (a list of tags), most of the text has to be links
+besides. An article or main element is never dropped with a suspect around it, unless
+another one stands outside. Elements that are no part of any article by their tag
+(navigation, footers, asides, scripts, buttons) or that are hidden always go.
 
 Parsing takes time and memory in proportion to the page, whatever its depth: elements
 know their parent and carry a 64-bit hash of their path. Null, empty and text-only pages,
@@ -53,19 +57,19 @@ PARAGRAPH_ENDS = CONTAINER | frozenset("ul ol table th li blockquote".split())
 LISTS = frozenset("ul ol dl menu table".split())
 ITEMS = {"li": "li", "dt": "dd", "dd": "dd", "td": "td", "th": "td", "tr": "tr"}
 #: Words of class, id and role values that mark what is not the article.
-UNWANTED = frozenset("ad ads advert adverts advertisement sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar side aside cookie cookies consent notice banner popup modal comment comments respond disqus form login signup subscribe newsletter share sharing social related recommended widget masthead toolbar pagination pager tags skip complementary contentinfo".split())
+UNWANTED = frozenset("ad ads advert adverts advertisement sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar side aside cookie cookies consent notice banner popup modal comment comments respond disqus form login signup subscribe newsletter share sharing social related recommended widget masthead toolbar pagination pager tags skip reply replies complementary contentinfo".split())
 #: Those of them that mark a part whatever general word follows.
-SURE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo share sharing social related recommended nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent comment comments disqus newsletter pagination pager popup modal login signup subscribe masthead".split())
-GENERAL = frozenset("list box wrap wrapper container area block section bar item items inner outer panel group holder row column link links module unit slot zone".split())
+SURE = frozenset("reply replies ad ads advert adverts advertisement sponsor sponsored promo share sharing social related recommended nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent comment comments disqus newsletter pagination pager popup modal login signup subscribe masthead".split())
+GENERAL = frozenset("list box wrap wrapper container area block section bar item items inner outer panel group holder row column link links module unit slot zone thread".split())
 #: Words that turn a name into a statement about something else, and ends of names of the article itself.
 TURNED = frozenset("with no has have without not non hide is show".split())
 WANTED = frozenset("content article body text story main prose".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-WEAK, STRONG = 1, 2
+WEAK, STRONG, CERTAIN = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "order", "name", "key", "block", "box", "cage", "paragraph", "items", "inside", "linked", "dropped", "suspect", "text", "links", "score")
+    __slots__ = ("tag", "parent", "order", "name", "key", "block", "box", "cage", "paragraph", "items", "inside", "linked", "dropped", "suspect", "doubted", "text", "links", "score")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
@@ -73,18 +77,32 @@ class Node:
         self.score = 0.0
 
 
+@lru_cache(4096)
+def parts_of(token: str) -> tuple[str, ...]:
+    """Words of a name in lower case; a compound of a sure and a general word (commentlist) is two."""
+    out = []
+    for p in PARTS.findall(token):
+        p = p.lower()
+        cut = next((k for k in range(2, len(p) - 1) if p[:k] in SURE and p[k:] in GENERAL), 0) if p not in UNWANTED else 0
+        out += [p[:cut], p[cut:]] if cut else [p]
+    return tuple(out)
+
+
 def suspicion(names: str) -> int:
     """How surely the words of class, id and role values mark something other than the article."""
     level = wanted = 0
     for token in names.split():
-        parts = [p.lower() for p in PARTS.findall(token)]
+        parts = parts_of(token)
         if not parts or not TURNED.isdisjoint(parts):
             continue
+        if parts[0] in SURE and all(p in UNWANTED or p in GENERAL or p in WANTED for p in parts):
+            level = CERTAIN
+            continue
         wanted |= parts[-1] in WANTED
         if UNWANTED.isdisjoint(parts):
             continue
         whole = all(p in UNWANTED or p in GENERAL for p in parts)
-        level = max(level, STRONG if parts[-1] in UNWANTED or whole and not SURE.isdisjoint(parts) else WEAK)
+        level = max(level, (CERTAIN if whole and not SURE.isdisjoint(parts) else STRONG if parts[-1] in UNWANTED else WEAK))
     return min(level, WEAK) if wanted else level
 
 
@@ -92,18 +110,21 @@ def judge(node: Node, attributes: str) -> None:
     """Set whether an element is left out, or a suspect; the header of an article is kept, for its title."""
     tag, header = node.tag, node.tag == "header" and node.parent.inside
     node.dropped = node.parent.dropped or tag in DROPPED or bool(attributes) and HIDDEN.search(attributes) is not None
-    if tag in ("article", "main") or header:
+    if tag == "main" or header:
         return
     if tag in ("form", "header"):
         node.suspect = STRONG
     elif attributes and (found := CLASS.findall(attributes)):
         node.suspect = suspicion(" ".join([a or b or c for a, b, c in found]))
+        if tag == "article" and node.suspect < CERTAIN:
+            node.suspect = 0
 
 
 def element(tag: str, attributes: str, parent: Node, order: int, depth: int) -> Node:
     node = Node(tag, parent, order)
     node.inside = parent.inside or tag in ("article", "main")
     judge(node, attributes)
+    node.doubted = parent.doubted or node.suspect >= STRONG
     node.cage = parent if parent.suspect else parent.cage
     block = tag in BLOCK
     node.block, node.box = node if block else parent.block, node if tag in CONTAINER else parent.box
@@ -147,7 +168,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     root = Node("body", None, 0)
     root.name, root.key = "body", key_of("body")
     root.block = root.box = root.cage = root
-    root.paragraph, root.items, root.inside, root.linked, root.dropped = -1, {}, False, False, False
+    root.paragraph, root.items, root.inside, root.linked, root.dropped, root.doubted = -1, {}, False, False, False, False
     nodes, stack, blocks, parts, opened = [root], [root], [], [], Counter()
     in_links, low, quoted = 0, None, True
     at, n, last = 0, len(html), html.rfind(">")
@@ -258,13 +279,23 @@ def left_out(nodes: list[Node], tops: set[int]) -> list[bool]:
             inside[k], top_of[k] = inside[x.parent.order], top_of[x.parent.order]
             if inside[k] and x.suspect and x.text:
                 held[x.cage.order if x.cage.suspect and inside[x.cage.order] and x.cage.order not in tops else top_of[k]].append(k)
+    # An article that no suspect holds stands for the page; without one, what holds an article stays.
+    articles = [x for x in nodes if x.tag in ("article", "main") and x.suspect < CERTAIN and x.text and not x.dropped and inside[x.order]]
+    sound, holders = any(not x.doubted for x in articles), set()
+    if not sound:
+        for x in articles:
+            while x is not None and x.order not in holders:
+                holders.add(x.order)
+                x = x.parent
     gone, todo = set(), list(tops)
     while todo:
         cage = todo.pop()
         rest = nodes[cage].text
-        for k in sorted(held[cage], key=lambda k: nodes[k].text):
+        for k in sorted(held[cage], key=lambda k: (nodes[k].suspect != CERTAIN, nodes[k].text)):
             x = nodes[k]
-            if (x.suspect == STRONG or 2 * x.links > x.text) and rest - x.text >= REST_SHARE * x.text:
+            sure = x.suspect == CERTAIN or x.suspect == STRONG and sound and not x.inside
+            doubtful = x.suspect == STRONG or 2 * x.links > x.text
+            if k not in holders and (sure and rest > x.text or doubtful and rest - x.text >= REST_SHARE * x.text):
                 gone.add(k)
                 rest -= x.text
             else:
@@ -285,7 +316,7 @@ def best_container(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> No
     for x in nodes:
         x.score = 0.0
         if x.order:
-            weight[x.order] = weight[x.parent.order] * (SUSPECT_WEIGHT if x.suspect == STRONG else 1.0)
+            weight[x.order] = weight[x.parent.order] * (SUSPECT_WEIGHT if x.suspect >= STRONG else 1.0)
     for holder, text, links in blocks:
         if not out[holder.order]:
             holder.box.score += (len(text) - 2.0 * links) * weight[holder.order]

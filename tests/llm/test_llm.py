@@ -448,6 +448,41 @@ def test_html_megabyte_of_unclosed_tags():
     assert time.process_time() - began < 2 and peak < 200e6
 
 
+def threads(rng):
+    """Pages of one article with readers' comments or a notice of one to fifty times its length, beside it or in it."""
+    words = "der alte Mann ging am Morgen über den Platz und sah viele".split()
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shells = ["<section id='comments'>%s</section>", "<div class='comments'>%s</div>", "<ol class='commentlist'>%s</ol>", "<div id='disqus_thread'>%s</div>", "<div class='cookie-notice'>%s</div>", "<div class='related'>%s</div>"]
+    eaches = ["<p>%s</p>", "<div class='comment'><p>%s</p></div>", "<article class='comment'><p>%s</p></article>", "<li>%s</li>"]
+    holders = ["<main><article>%s</article>%s</main>", "<article>%s%s</article>", "<div class='content'>%s</div>%s", "<div class='content'>%s%s</div>", "<div id='page'><div class='post-body'>%s</div>%s</div>"]
+    for paragraphs in (1, 4, 12):
+        for ratio in (1, 2, 5, 10, 20, 50):
+            for shell in shells:
+                for holder in holders:
+                    body, each, rest = [said(20) for _ in range(paragraphs)], rng.choice(eaches), []
+                    while sum(map(len, rest)) < ratio * sum(map(len, body)):
+                        rest.append(said(25))
+                    beside = shell % "".join(each % x for x in rest)
+                    yield "\n\n".join(body), f"<html><body><nav>a</nav>{holder % (''.join(f'<p>{x}</p>' for x in body), beside)}<footer>f</footer></body></html>"
+
+
+def test_html_long_threads_never_win(spark):
+    """Pages by themselves, and the same ones with the votes of their hosts."""
+    pages = list(threads(random.Random(4)))
+    for want, page in pages:
+        assert html.extract(page, [])[0] == want
+    rows = [(i, f"https://host{i % 7}.org/{i}", page) for i, (_, page) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(pages)}
+
+
+def test_html_doubtful_names_keep_the_article():
+    body = "Once more the old man went over the square and saw many. " * 5
+    for page in (f"<div id='sidebar-wrapper'><article><p>{body}</p></article></div>", f"<div class='comments'><p>{body}</p></div>", f"<div class='banner'><p>{body}</p></div><p>by</p>"):
+        assert body.strip() in html.extract(f"<body>{page}</body>", [])[0]
+    assert html.extract(f"<body><main><p>{body}</p></main><div class='notice'><p>{body * 40}</p></div></body>", [])[0] == body.strip()
+
+
 def test_html_query_against_reading_the_article(spark, sf_dir):
     from html import unescape
 
@@ -577,6 +612,30 @@ print("GOT", sorted((r.doc_id, r.keep_id, r.kept) for r in exact.exact_duplicate
     assert out == ["GOT [(1, 1, True), (11, 11, True)]", "GOT [(2, 1, False), (12, 12, True)]"]
 
 
+def test_index_grows_into_more_buckets(spark, tmp_path):
+    """Buckets follow the rows; a session that opens the folder later finds the larger table and the same decisions."""
+    path = f"file://{tmp_path}/index"
+    batch = lambda low, high: spark.createDataFrame([(i, f"text {i % 400}") for i in range(low, high)], "doc_id long, text string")
+    index = exact.DigestIndex(spark, path, bucket_rows=5)
+    exact.exact_duplicates(batch(0, 100), index, "a").collect()
+    assert index.buckets == 32
+    got = {r.doc_id: r.kept for r in exact.exact_duplicates(batch(100, 500), index, "b").collect()}
+    assert index.buckets == 128 and index.held() == [128] and index.read().count() == 400
+    assert got == {i: i < 400 for i in range(100, 500)}
+    index.close()
+    again = exact.DigestIndex(spark, path)
+    assert again.buckets == 128 and not any(r.kept for r in exact.exact_duplicates(batch(0, 400), again, "c").collect())
+    again.close()
+
+
+def test_a_column_called_row_stays(spark):
+    rows = [(1, "a b", "x"), (2, "a  b", "y"), (3, "other words stand here", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    for kept in (exact.kept_rows(df), near.kept_rows(df)):
+        assert kept.columns == ["doc_id", "text", "_row"]
+        assert {(r["_row"]) for r in kept.collect()} <= {"x", "y", "z"} and kept.count() == 2
+
+
 # 9
 
 
@@ -645,6 +704,27 @@ def test_passages_brute_force(spark, sf_dir):
     assert got == Counter({(rows[r].doc_id, *x): n for (r, *x), n in brute_passages([r.text or "" for r in rows]).items()})
 
 
+def test_passages_tell_what_stays(spark):
+    """The first place of a passage stays, every other is cut; a passage twice in one text is cut once."""
+    rng = random.Random(29)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    p, q, own = text(120), text(120), [text(50) for _ in range(8)]
+    rows = [(5, f"{own[0]} {p} {own[1]}"), (2, f"{own[2]} {p} {own[3]}"), (9, f"{own[4]} {q} {own[5]} {q} {own[6]}"), (None, f"{p} {own[7]}"), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, "given", 1) for r in rows], "doc_id long, text string, _row string, row int")
+    assert {(r.doc_id, r.stays) for r in chunks.repeated_passages(df).collect()} == {(5, False), (2, True), (None, False)}
+    assert Counter((r.doc_id, r.stays) for r in chunks.repeated_passages(df, inside=True).collect() if r.doc_id == 9) == Counter([(9, True), (9, False)])
+    left = chunks.without_repeats(df)
+    assert left.columns == df.columns
+    got, texts = {r.doc_id: r.text for r in left.collect()}, dict(rows)
+    assert all((r["_row"], r["row"]) == ("given", 1) for r in left.collect())
+    assert got[2] == texts[2] and got[7] is None and got[8] == "" and len(got) == 6
+    for i, whole, copied in ((5, texts[5], p), (9, texts[9], q), (None, texts[None], p)):
+        gone = len(whole) - len(got[i])
+        assert 0.6 * len(copied) < gone <= len(copied) and all(o[:150] in got[i] for o in own if o in whole)
+    assert got[9].count(q) == 1 and chunks.repeated_passages(left).count() == 0
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(3)
     text = prose(rng, 2000)
