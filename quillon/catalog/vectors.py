@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.hashing import LCG, lcg_jumps, lcg_vector, signed_hex, text_hash as java_hash
+from ..operators import metric
 from ..operators.search import top_k, within
-from ..registry import query, source
+from ..registry import SQL, query, source
 
 _PAIRS = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.id AS query_id, e.id, list_dot_product(q.v, e.v) AS d, sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)) AS n, list_distance(q.v, e.v) AS far FROM e q, e WHERE q.id % 20 = 0)"""
@@ -14,9 +15,9 @@ def _vectors(spark, d):
     return source(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"), "label")
 
 
-def _search(spark, d, k, metric="cosine"):
+def _search(spark, d, k, by="cosine"):
     v = _vectors(spark, d)
-    return top_k(v, v.filter("id % 20 = 0"), k, metric)
+    return top_k(v, v.filter("id % 20 = 0"), k, by)
 
 
 @query(_PAIRS + " SELECT query_id, id, round(d / n, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d / n, 6) DESC, id) AS rank FROM s) WHERE rank <= 5")
@@ -41,6 +42,27 @@ def radius_search(spark, d):
     return within(v, v.filter("id % 20 = 0"), 1.1).withColumnRenamed("value", "distance")
 
 
+@query(SQL["vector_topk"])
+def pivot_topk(spark, d):
+    """vector_topk through the metric index."""
+    v = _vectors(spark, d)
+    return metric.top_k(v, v.filter("id % 20 = 0"), 5).withColumnRenamed("value", "score")
+
+
+@query(SQL["knn"])
+def pivot_knn(spark, d):
+    """knn through the metric index."""
+    v = _vectors(spark, d)
+    return metric.top_k(v, v.filter("id % 20 = 0"), 10, "euclidean").withColumnRenamed("value", "distance")
+
+
+@query(SQL["radius_search"])
+def pivot_radius(spark, d):
+    """radius_search through the metric index."""
+    v = _vectors(spark, d)
+    return metric.within(v, v.filter("id % 20 = 0"), 1.1).withColumnRenamed("value", "distance")
+
+
 _NEXT = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.id = a.id + 1)"""
 
