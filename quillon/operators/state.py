@@ -42,52 +42,77 @@ def ttl_replay(events: DataFrame, ttl: Column, *keys: str) -> DataFrame:
     return rows.drop("gap", "day")
 
 
-def anchored_windows(events: DataFrame, key: str, width: int) -> DataFrame:
-    """Events with their run, the number of their anchored window in it, the count so far and the window's first event.
+def next_starts(events: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, event_id, us, next): the key's first event at least `width` after each; null where there is none.
 
-    A new window starts whenever the gap to the event before is at least `width`,
-    whatever came earlier; so each run without such a gap is solved by itself, and a
-    busy key is spread over its runs.
+    Time is cut into buckets of the width, so what is looked for stands in the next bucket, at or after the same
+    offset, or is the first event of a later one. A bucket's events and those that look into it are one small
+    sorted group; a busy key is spread over its buckets.
+    """
+    own = events.select(key, "event_id", "us", F.floor(F.col("us") / width).alias("bucket"))
+    event = F.struct("us", "event_id")
+    looking = own.select(key, "event_id", F.col("us") + width, (F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("looks"), F.lit(None).cast("struct<us:bigint,event_id:bigint>").alias("found"))
+    both = own.select(key, "event_id", "us", "bucket", F.lit(0).alias("looks"), event.alias("found")).union(looking)
+    # From the latest to the earliest; of one time, who looks comes after all that are there.
+    order = Window.partitionBy(key, "bucket").orderBy(F.col("us").desc(), "looks", F.col("event_id").desc())
+    at_or_after = both.withColumn("found", F.last("found", ignorenulls=True).over(order)).filter("looks = 1")
+    firsts = both.groupBy(key, "bucket").agg(F.min(F.when(F.col("looks") == 0, F.col("found"))).alias("first"))
+    later = F.first("first", ignorenulls=True).over(Window.partitionBy(key).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing))
+    later = firsts.select(F.col(key).alias("_key"), F.col("bucket").alias("_bucket"), later.alias("later"))
+    met = at_or_after[key].eqNullSafe(later["_key"]) & (at_or_after["bucket"] == later["_bucket"])
+    return at_or_after.join(later, met).select(key, "event_id", (F.col("us") - width).alias("us"), F.coalesce("found", "later").alias("next"))
+
+
+def window_starts(events: DataFrame, key: str, width: int) -> DataFrame:
+    """(event_id): the events that start a window: a key's first one, and from each start the first one at least `width` later.
+
+    What follows a gap of the width starts one in any case. From those, starts are reached by doubling: each round
+    squares the step, so a chain of n windows takes log n rounds over tables, whoever holds it.
     """
-    events.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    # The number of a run: long gaps of the key's days before, and of its day so far.
-    starts = with_gap(events.select(key, "event_id", "us"), key).withColumn("long", F.when(F.col("gap") >= width, 1).otherwise(0))
-    days = starts.groupBy(key, "day").agg(F.sum("long").alias("m"))
-    days = days.select(F.col(key).alias("_key"), F.col("day").alias("_day"), (F.sum("m").over(Window.partitionBy(key).orderBy("day")) - F.col("m")).alias("before"))
-    so_far = F.sum("long").over(Window.partitionBy(key, "day").orderBy("us", "event_id"))
-    rows = starts.join(days, F.col(key).eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))).select(key, "event_id", "us", (so_far + F.col("before")).alias("run"))
+    gaps = with_gap(events.select(key, "event_id", "us"), key)
+    sure = gaps.filter(F.col("gap").isNull() | (F.col("gap") >= width)).select("event_id")
+    hop = next_starts(events, key, width).filter("next is not null").select("event_id", F.col("next")["event_id"].alias("next"))
+    # Chains end where a sure start begins another one.
+    hop = staged(hop.join(sure.select(F.col("event_id").alias("next")), "next", "left_anti"), "hops")
+    reached = staged(sure, "starts")
+    while True:
+        new = staged(reached.join(hop, "event_id").select(F.col("next").alias("event_id")), "starts")
+        if new.isEmpty():
+            return reached
+        reached = staged(reached.union(new), "starts")
+        hop = staged(hop.join(hop.select(F.col("event_id").alias("next"), F.col("next").alias("after")), "next").select("event_id", F.col("after").alias("next")), "hops")
 
-    def solve(batches):
-        # Runs come whole and in order; only the open window is carried from batch to batch.
-        now, start, number, count, first = None, 0, 0, 0, 0
-        for g in batches:
-            found = []
-            for k, run, us, event in zip(g[key].tolist(), g["run"].tolist(), g["us"].tolist(), g["event_id"].tolist()):
-                if (k, run) != now:
-                    now, start, number, count, first = (k, run), us, 0, 1, event
-                elif us - start >= width:
-                    start, number, count, first = us, number + 1, 1, event
-                else:
-                    count += 1
-                found.append((number, count, first))
-            number_of, count_of, first_of = zip(*found) if found else ((), (), ())
-            yield g.assign(window=number_of, in_window=count_of, first=first_of)[[key, "event_id", "run", "window", "in_window", "first"]]
 
-    runs = rows.repartition(key, "run").sortWithinPartitions(key, "run", "us", "event_id")
-    return runs.mapInPandas(solve, f"{key} long, event_id long, run long, window long, in_window long, first long")
+def anchored_windows(events: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, event_id, window, in_window, first): each event's anchored window among the key's, its place in it and the window's first event.
 
+    Counts go on from bucket to bucket of a key through a table with one row for each bucket.
+    """
+    starts = window_starts(events, key, width).select("event_id", F.lit(1).alias("start"))
+    rows = events.select(key, "event_id", "us", F.floor(F.col("us") / width).alias("bucket")).join(starts, "event_id", "left")
+    rows = staged(rows.withColumn("start", F.coalesce("start", F.lit(0))), "windows")
+    inside = Window.partitionBy(key, "bucket").orderBy("us", "event_id")
+    rows = rows.select("*", F.row_number().over(inside).alias("n"), F.sum("start").over(inside).alias("starts"))
+    rows = rows.withColumn("last", F.last(F.when(F.col("start") == 1, F.struct("n", "event_id")), ignorenulls=True).over(inside))
+    rows = staged(rows, "windows")
+    ends = rows.groupBy(key, "bucket").agg(F.max("n").alias("n"), F.max("starts").alias("starts"), F.max("last").alias("last"))
+    so_far = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col(key).alias("_key"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("n_before"), F.coalesce(F.sum("starts").over(so_far), F.lit(0)).alias("starts_before"),
+        "last",
+    )
+    placed = F.when(F.col("last").isNotNull(), F.struct((F.col("n_before") + F.col("last")["n"]).alias("n"), F.col("last")["event_id"].alias("event_id")))
+    carried = carried.withColumn("open", F.last(placed, ignorenulls=True).over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
+    rows = rows.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("bucket") == F.col("_bucket")))
+    number = F.col("n_before") + F.col("n")
+    begun = F.when(F.col("last").isNotNull(), F.struct((F.col("n_before") + F.col("last")["n"]).alias("n"), F.col("last")["event_id"].alias("event_id"))).otherwise(F.col("open"))
+    rows = rows.select(key, "event_id", (F.col("starts_before") + F.col("starts") - 1).alias("window"), number.alias("number"), begun.alias("begun"))
+    return rows.select(key, "event_id", "window", (F.col("number") - F.col("begun")["n"] + 1).alias("in_window"), F.col("begun")["event_id"].alias("first"))
 
-def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
-    """Events with the number of their anchored window among the key's and the count so far.
 
-    A run's windows are numbered on from those of the key's runs before; there are no more runs than widths in
-    the time that the log covers, however many events a key has.
-    """
-    found = staged(anchored_windows(events, key, width), "windows")
-    runs = found.groupBy(F.col(key).alias("_key"), F.col("run").alias("_run")).agg((F.max("window") + 1).alias("m"))
-    runs = runs.select("_key", "_run", (F.sum("m").over(Window.partitionBy("_key").orderBy("_run")) - F.col("m")).alias("before"))
-    numbered = found.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run")))
-    return numbered.select(key, "event_id", (F.col("window") + F.col("before")).alias("window"), "in_window")
+def access_windows(events: DataFrame, key: str = "user_id", width: int = WINDOW) -> DataFrame:
+    """Events with the number of their anchored window among the key's and the count so far."""
+    return anchored_windows(events, key, width).select(key, "event_id", "window", "in_window")
 
 
 def in_flight(requests: DataFrame, key: str, busy: int) -> DataFrame:
