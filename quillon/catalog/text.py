@@ -7,7 +7,7 @@ from ..functions.code import code_metrics as measure_code, signature
 from ..operators.expand import expand_triggers as expand
 from ..operators.ranks import paged
 from ..operators.routing import parsed_ranking
-from ..registry import query, source
+from ..registry import query, source, spread
 
 _DROP = r"regexp_replace(content, '(?s)\A(.*?)((?:\A|\n)##\s+{t}\n.*?)(\n##.*)?\z', '\1\3')"
 _OUT = "list_aggregate(list_transform(list_zip(list_transform(regexp_split_to_array(content, '(?s)```.*?```'), lambda x: {f}), regexp_extract_all(content, '(?s)```.*?```')), lambda p: coalesce(p[1], '') || coalesce(p[2], '')), 'string_agg', '')"
@@ -75,7 +75,7 @@ _ALL = " UNION ALL ".join(f"SELECT name, {k} AS level, content FROM l{min(k, 9)}
 greatest(0, {_TOKENS.format(c='md.content')} - {_TOKENS.format(c='a.content')}) AS tokens_saved, round({_TOKENS.format(c='a.content')} / {_TOKENS.format(c='md.content')}, 6) AS token_ratio FROM a JOIN md ON md.name = a.name""")
 def compress_levels(spark, d):
     """All ten levels, each on top of the one before."""
-    md = _md(spark, d).withColumn("c0", F.col("content"))
+    md = spread(_md(spark, d)).withColumn("c0", F.col("content"))
     tokens = lambda c: M.token_estimate(F.col(c)).cast("double")
     for k in range(1, 11):
         md = md.withColumn(f"c{k}", M.RECIPES[k](F.col(f"c{k - 1}")))

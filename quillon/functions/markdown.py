@@ -91,16 +91,26 @@ def drop_blank_lines(content: Column) -> Column:
 
 def drop_section(content: Column, title: str) -> Column:
     """Without the first section of that title."""
-    return F.regexp_replace(content, rf"(?s)\A(.*?)((?:\A|\n)##\s+{title}\n.*?)(\n##.*)?\z", "$1$3")
+    dropped = F.regexp_replace(content, rf"(?s)\A(.*?)((?:\A|\n)##\s+{title}\n.*?)(\n##.*)?\z", "$1$3")
+    return F.when(content.contains(f"{title}\n"), dropped).otherwise(content)
+
+
+#: The workflow section with its numbered steps, a step, and its bold lead. Possessive, so that a list of any length takes no stack.
+WORKFLOW = r"(?m)^##\s+Core Workflow\n((?:\d+\.\s+.*\n?)++)"
+STEP, LEAD = r"(?m)^\d+\.\s+(.+)$", r"^\*\*(.+?)\*\*\s*[—:-]?\s*"
 
 
 def collapse_workflow(content: Column) -> Column:
     """The numbered steps of the first workflow section as one line."""
-    found = F.regexp_extract(content, r"(?m)^##\s+Core Workflow\n((?:\d+\.\s+.*\n?)+)", 0)
-    steps = F.transform(F.regexp_extract_all(found, F.lit(r"(?m)^\d+\.\s+(.+)$"), 1), lambda s: F.regexp_replace(F.trim(s), r"^\*\*(.+?)\*\*\s*[—:-]?\s*", "$1: "))
-    line = F.concat(F.lit("## Core Workflow\n"), F.array_join(steps, "; "))
-    at = F.locate("\u0000", F.replace(content, found, F.lit("\u0000")))
-    return F.when(found == "", content).otherwise(F.concat(F.substring(content, F.lit(1), at - 1), line, F.substring(content, at + F.length(found), F.length(content))))
+
+    def collapsed(x: Column) -> Column:
+        found, at = x["found"], F.position(x["found"], content)
+        steps = F.transform(F.regexp_extract_all(found, F.lit(STEP), 1), lambda s: F.regexp_replace(F.trim(s), LEAD, "$1: "))
+        line = F.concat(F.lit("## Core Workflow\n"), F.array_join(steps, "; "))
+        return F.when(found == "", content).otherwise(F.concat(F.substring(content, F.lit(1), at - 1), line, F.substring(content, at + F.length(found), F.length(content))))
+
+    found = F.when(content.contains("Core Workflow\n"), F.regexp_extract(content, WORKFLOW, 0)).otherwise("")
+    return let(F.struct(found.alias("found")), collapsed)
 
 
 def strip_markup(content: Column) -> Column:
@@ -139,9 +149,9 @@ RECIPES = {
 
 
 def compressed(content: Column, level: int) -> Column:
-    """Recipes 1 to level in turn; levels above 10 count as 10, below 1 nothing changes."""
+    """Recipes 1 to level in turn, each computed once; levels above 10 count as 10, below 1 nothing changes."""
     for k in range(1, min(level, 10) + 1):
-        content = RECIPES[k](content)
+        content = let(content, RECIPES[k])
     return content
 
 

@@ -70,6 +70,12 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(body, **used)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a table with fewer pieces than there are cores dealt out evenly, for work that costs more than moving them; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name. In the SQL, @name stands for a derived table."""
 
