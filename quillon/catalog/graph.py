@@ -89,9 +89,6 @@ def repair_links(spark, d):
     return G.repaired(e, _names(spark, d), extra)
 
 
-_SHORT = "SELECT name, category, substr(content, 1, 60) AS text FROM skills"
-
-
 @query(r"""WITH @skills, @edges, t AS (SELECT name, category, list_distinct(list_filter(regexp_split_to_array(lower(content), '[ \t\r\n]+'), lambda w: w <> '')) AS w FROM skills),
 p AS (SELECT a.category, a.name AS src, b.name AS dst, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS score FROM t a JOIN t b ON a.category = b.category AND a.name < b.name WHERE (a.name, b.name) NOT IN (SELECT (src, dst) FROM edges))
 SELECT * FROM p WHERE score > 0.3 ORDER BY score DESC, src, dst LIMIT 50""")

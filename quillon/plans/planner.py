@@ -83,9 +83,10 @@ def stages(plan: DataFrame) -> DataFrame:
 
 
 def cut_off(results: DataFrame) -> DataFrame:
-    """Steps that a sequential run reaches: up to the first failure."""
-    first = F.min(F.when(F.col("status") != "success", F.col("step"))).over(Window.partitionBy("task_id"))
-    return results.withColumn("first", first).filter("first is null or step <= first").drop("first")
+    """Steps that a sequential run reaches: up to the first failure. A task of any length is spread: its first failure is one number."""
+    failed = results.filter("status <> 'success'").groupBy(F.col("task_id").alias("_task")).agg(F.min("step").alias("first"))
+    reached = results.join(failed, F.col("task_id").eqNullSafe(F.col("_task")), "left").filter("first is null or step <= first")
+    return reached.select(*results.columns)
 
 
 def overall(ok: Column) -> Column:

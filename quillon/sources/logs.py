@@ -27,8 +27,8 @@ def write_log(entries: DataFrame, path: str, level: str, levels: tuple[str, ...]
 
 
 def batch_tokens(batches: DataFrame) -> DataFrame:
-    """Batches (id, texts, total) with the tokens that each text is told to have: the whole part of an even share."""
-    return batches.withColumn("tokens", F.when(F.size("texts") > 0, F.floor(F.col("total") / F.size("texts"))).otherwise(0).cast("long"))
+    """Batches (id, n, total) with the tokens that each of n texts is told to have: the whole part of an even share."""
+    return batches.withColumn("tokens", F.when(F.col("n") > 0, F.floor(F.col("total") / F.col("n"))).otherwise(0).cast("long"))
 
 
 def folded(events: DataFrame, key: str, order: str, kind: Column, text: Column, tokens: Column, error: Column) -> DataFrame:
