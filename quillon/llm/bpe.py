@@ -214,9 +214,9 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def loaded(spec: bytes, scan_words: int = 0) -> WordBpe:
+def loaded(spec: bytes, scan_words: int = 0, cache_bytes: int = CACHE_BYTES) -> WordBpe:
     """One encoder per Python worker, for one vocabulary at a time."""
-    return worker_cache(("bpe", zlib.crc32(spec), scan_words), lambda: WordBpe(spec, scan_words=scan_words))
+    return worker_cache(("bpe", zlib.crc32(spec), scan_words), lambda: WordBpe(spec, cache_bytes, scan_words))
 
 
 def vocabulary(spark, path: str | None = None):

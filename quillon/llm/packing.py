@@ -32,6 +32,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words of up to so many bytes are encoded by scanning; packing needs no more than their ids.
 SCAN_WORDS = 48
+#: Bytes of each generation of a worker's cache of encoded words: packing has to encode the whole corpus at the least cost.
+CACHE_BYTES = 48 << 20
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -40,7 +42,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        bpe = loaded(spec.value, SCAN_WORDS)
+        bpe = loaded(spec.value, SCAN_WORDS, CACHE_BYTES)
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
