@@ -1,9 +1,12 @@
 """Corpus queries."""
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..operators import corpus as K
+from ..operators import postings as P
 from ..operators.ranks import paged, positions
 from ..registry import query, source
 from ..sources import logs, tables
@@ -332,6 +335,39 @@ def tag_postings(spark, d):
     return paged(t, "tag", "names", 100, ",")
 
 
+#: Questions about tags, as bits and as SQL.
+_ASKED = (
+    ("both", ["src0", "en"], lambda a, b: a.bitwiseAND(b), "category = 'src0' AND role = 'en'"),
+    ("either", ["src3", "fr"], lambda a, b: a.bitwiseOR(b), "category = 'src3' OR role = 'fr'"),
+    ("without", ["src0", "en"], lambda a, b: a.bitwiseAND(F.bitwise_not(b)), "category = 'src0' AND role <> 'en'"),
+    ("not", ["en"], lambda a: F.bitwise_not(a), "role <> 'en'"),
+    ("mixed", ["src1", "src2", "draft", "none"], lambda a, b, c, d: a.bitwiseOR(b).bitwiseAND(F.bitwise_not(c)).bitwiseOR(d), "category IN ('src1', 'src2') AND NOT draft"),
+)
+
+
+def _bitmaps(spark, d):
+    """The index of categories, roles and drafts, written in two batches and read back."""
+    s = _skills(spark, d).select("doc_id", F.array("category", "role", F.when(F.col("draft"), "draft")).alias("tags"))
+    old, new = (P.bitmaps(s.filter(f"doc_id % 3 {sign} 0"), "tags", "doc_id") for sign in ("<>", "="))
+    path = tables.scratch(spark, "postings")
+    P.save(P.extend(old, new), path)
+    return P.load(spark, path)
+
+
+@query("WITH @skills " + " UNION ALL ".join(f"SELECT '{q}' AS question, doc_id FROM skills WHERE {w}" for q, _, _, w in _ASKED))
+def postings_boolean(spark, d):
+    """Documents that answer AND, OR and NOT of tags, from bitmaps alone."""
+    index = _bitmaps(spark, d)
+    found = [P.ids_where(index, tags, rule).select(F.lit(q).alias("question"), F.col("id").alias("doc_id")) for q, tags, rule, _ in _ASKED]
+    return reduce(DataFrame.union, found)
+
+
+@query("WITH @skills " + " UNION ALL ".join(f"SELECT '{q}' AS question, count(*) AS n FROM skills WHERE {w}" for q, _, _, w in _ASKED))
+def postings_counts(spark, d):
+    index = _bitmaps(spark, d)
+    return reduce(DataFrame.union, [P.count_where(index, tags, rule).select(F.lit(q).alias("question"), "n") for q, tags, rule, _ in _ASKED])
+
+
 @query("WITH @skills SELECT category, role, count(*) AS n FROM skills GROUP BY category, role")
 def domain_role_counts(spark, d):
     return _skills(spark, d).groupBy("category", "role").agg(F.count("*").alias("n"))

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..registry import query, source
+from ..operators import keywords as AC
+from ..registry import query, source, spread
 
 _E = "WITH @skills, @edges"
 _REV = "r AS (SELECT dst AS src, src AS dst FROM edges)"
@@ -123,6 +124,29 @@ def shared_group_links(spark, d):
     return G.shared_group_sets(G.keyword_groups(*_keyworded(spark, d)))
 
 
+#: Every word and every two words in a row of the benchmark's texts, grouped by first letter: thousands of keywords as a table.
+_PHRASES = """b AS (SELECT regexp_split_to_array(lower(text), '[^a-z]+') AS l FROM benchmark), pw AS (SELECT unnest(l) AS keyword FROM b UNION ALL SELECT unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM b),
+kw AS (SELECT DISTINCT substr(keyword, 1, 1) AS grp, ascii(keyword) AS ord, keyword FROM pw WHERE keyword <> ''), h AS (SELECT name, grp, ord, count(DISTINCT keyword) AS hits FROM skills JOIN kw ON contains(lower(content), keyword) GROUP BY name, grp, ord)"""
+
+
+def _phrases(spark, d):
+    words = F.split(F.lower("text"), "[^a-z]+")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    b = source(spark, d, "benchmark").select(F.explode(F.concat(words, F.array_compact(pairs))).alias("keyword"))
+    return b.filter("keyword <> ''").select(F.substring("keyword", 1, 1).alias("grp"), F.ascii("keyword").alias("ord"), "keyword").distinct()
+
+
+@query(f"WITH @skills, {_PHRASES} SELECT name, grp, hits FROM h")
+def keyword_table_groups(spark, d):
+    """Groups of a keyword table of any size, by an automaton."""
+    return AC.groups(spread(_texts(spark, d)), _phrases(spark, d)).select("name", "grp", "hits")
+
+
+@query(f"WITH @skills, {_PHRASES}, k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY hits DESC, ord) AS k FROM h) SELECT s.name, coalesce(grp, 'none') AS grp FROM skills s LEFT JOIN k ON k.name = s.name AND k = 1")
+def keyword_table_classify(spark, d):
+    return AC.classified(spread(_texts(spark, d)), _phrases(spark, d), "none")
+
+
 _FLOW = [("src0", "src1", 0), ("src0", "src2", 1), ("src1", "src2", 0), ("src2", "src0", 0), ("src3", "src1", 0), ("src3", "src9", 1), ("src3", "src4", 2)]
 _FL = "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _FLOW) + ") v(grp, to_grp, pos))"
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import state as S
 from ..registry import query, source
+from ..sources.tables import scratch
+from ..sources.versions import VersionStore
 
 _E = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
 
@@ -84,6 +86,23 @@ def cleanup_totals(spark, d):
     return _expiry(spark, d).agg(F.count("*").alias("scanned"), gone.alias("deleted"), F.count_if(F.col("action") == "defer").alias("deferred"), (gone * 1024).alias("freed"))
 
 
+@query(f"""{_E}, {_VERSIONS}, {_EXP} SELECT v.user_id, v.version, v.accesses FROM v JOIN x USING (user_id, version) WHERE action <> 'delete'
+UNION ALL SELECT user_id, version, 0 FROM x WHERE action = 'delete' AND user_id % 3 = 0""")
+def version_compaction(spark, d):
+    """A store whose expired versions are removed, compacted, of which some are written again; read back after the folders are gone."""
+    store = VersionStore(spark, scratch(spark, "version-store"), "user_id long, version long, created long, accesses long", ("user_id", "version"))
+    v = _versions(spark, d)
+    store.write(v)
+    gone = _expiry(spark, d).filter("action = 'delete'").select("user_id", "version")
+    now = v.agg(F.max("now")).scalar()
+    store.remove(gone.withColumn("now", now), F.col("now"))
+    store.compact()
+    store.write(gone.filter("user_id % 3 = 0").select("user_id", "version", (now + 1).alias("created"), F.lit(0).cast("long").alias("accesses")))
+    store.compact()
+    store.vacuum()
+    return store.read().select("user_id", "version", "accesses")
+
+
 _FLUSH = """WITH RECURSIVE e AS (SELECT user_id, value, epoch_us(ts) // {flush} AS slot, row_number() OVER (PARTITION BY epoch_us(ts) // {flush} ORDER BY ts, event_id) AS n FROM events),
 w AS (SELECT slot, n, user_id, value, 0::BIGINT AS flush, [user_id] AS held FROM e WHERE n = 1
  UNION ALL SELECT e.slot, e.n, e.user_id, e.value, CASE WHEN len(held) >= {size} THEN flush + 1 ELSE flush END, CASE WHEN len(held) >= {size} THEN [e.user_id] WHEN list_contains(held, e.user_id) THEN held ELSE list_append(held, e.user_id) END FROM w JOIN e ON e.slot = w.slot AND e.n = w.n + 1),
