@@ -13,7 +13,7 @@ from .functions import markdown
 from .functions.hashing import lcg_vector
 from .operators import corpus, routing, safety, search
 from .plans import planner
-from .sources import tables
+from .sources import snapshots, tables
 
 
 #: Tasks that a session remembers.
@@ -32,21 +32,27 @@ class Engine:
         self.embed = embed or (lambda text: lcg_vector(text, size))
         self.tools = planner.Tools()
         self.folders: tuple[str, ...] = ()
+        self.snapshot, self.loaded = None, {}
         self.tasks: deque[dict] = deque(maxlen=TASK_LOG)
 
     @classmethod
-    def from_folders(cls, spark: SparkSession, *folders: str) -> Engine:
-        """Documents of the folders, the first of each name in their order."""
-        raw = tables.scan_documents(spark, *folders)
-        engine = cls(spark, corpus.load(raw)[0])
+    def from_folders(cls, spark: SparkSession, *folders: str, snapshot: str | None = None) -> Engine:
+        """Documents of the folders, the first of each name in their order; with a snapshot, only new and changed files are read."""
+        engine = cls(spark, spark.createDataFrame([], "name string"))
         engine.folders = folders
-        return engine
+        engine.snapshot = snapshots.open_snapshot(spark, snapshot) if snapshot else None
+        return engine.reload()
 
     def reload(self) -> Engine:
-        """Read the folders again."""
+        """Read the folders again; with a snapshot, `loaded` tells how many files were read and why."""
         if not self.folders:
             raise ValueError("this corpus does not come from folders")
-        self.skills = corpus.load(tables.scan_documents(self.spark, *self.folders))[0]
+        if self.snapshot is None:
+            raw = tables.scan_documents(self.spark, *self.folders)
+        else:
+            self.loaded = snapshots.refresh(self.snapshot, *self.folders)
+            raw = snapshots.documents(self.snapshot, *self.folders)
+        self.skills = corpus.load(raw)[0]
         return self
 
     def execute(self, task_id, steps: list[dict], mode: str = "sequential", context: dict | None = None, retries: int = planner.RETRIES) -> dict:
