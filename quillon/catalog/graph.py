@@ -94,7 +94,7 @@ def repair_links(spark, d):
 p AS (SELECT a.category, a.name AS src, b.name AS dst, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS score FROM t a JOIN t b ON a.category = b.category AND a.name < b.name WHERE (a.name, b.name) NOT IN (SELECT (src, dst) FROM edges))
 SELECT * FROM p WHERE score > 0.3 ORDER BY score DESC, src, dst LIMIT 50""")
 def suggest_links(spark, d):
-    return G.suggested(_texts(spark, d), _edges(spark, d))
+    return G.suggested(spread(_texts(spark, d)), _edges(spark, d))
 
 
 #: Keyword groups of these queries: a parameter of the operators.

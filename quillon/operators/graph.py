@@ -1,6 +1,7 @@
 """Operators on directed links (src, dst) between named documents. Order is by name."""
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,53 +80,84 @@ def problems(edges: DataFrame, names: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [rows.withColumn("problem", F.lit(kind)) for rows, kind in found])
 
 
-#: Similarities at which suggestions are looked for, one after the other, until there are enough.
-LEVELS = (0.9, 0.7, 0.5)
-#: Common words that come last in every document's order of words; all others come before, in the order of a hash.
-COMMON_WORDS = 10_000
+#: Similarity whose prefixes a first search for suggestions uses; what it finds sets the bound of the second.
+PROBE = 0.9
+#: Words are counted by this many places of a table, so that the order of words is a table of fixed size.
+PLACES = 1 << 16
+
+
+def _ordered(sets: DataFrame) -> DataFrame:
+    """(category, id, n, loose, hashes): the hash of each word of a set, rare ones first; loose is how many words share a hash with another.
+
+    Documents with a word are counted by the place of its hash, and a place keeps one byte on a log scale. Any
+    order that hangs on the hash alone keeps the prefixes of two sets comparable, so words that share a place
+    cost time and never a pair.
+    """
+    place = lambda h: F.pmod(h, F.lit(PLACES)).cast("int")
+    counts = bytearray(PLACES)
+    for at, n in sets.select(F.explode("hashes").alias("h")).groupBy(place(F.col("h")).alias("at")).count().collect():
+        counts[at] = min(255, int(8 * math.log2(n + 1)))
+    rare = F.sort_array(F.transform("hashes", lambda h: F.struct(F.substring(F.lit(counts), place(h) + 1, F.lit(1)).alias("c"), h.alias("h"))))["h"]
+    n = F.size("hashes")
+    return sets.select("category", "id", n.alias("n"), (n - F.size(F.array_distinct("hashes"))).alias("loose"), rare.alias("hashes"))
+
+
+def _near_sets(ordered: DataFrame, words: DataFrame, level: float, least: float) -> DataFrame:
+    """(category, a, b, score): sets whose prefixes for a similarity of `level` meet, with their similarity where it is `least` or more.
+
+    With level = least that is every such pair. Two sets as similar share a word among the first of both;
+    the words behind the first shared one must suffice for the rest. Hashes come before words.
+    """
+    level, need = level - 1e-6, (least - 1e-6) / (1 + least - 1e-6)
+    prefix = (F.col("n") - F.ceil(level * F.col("n") - 1e-9) + 1).cast("int")
+    first = ordered.select("category", "id", "n", F.posexplode(F.slice("hashes", F.lit(1), prefix)).alias("p", "h"))
+    a, b = (first.select("category", "h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("p")).alias(f"rest{x}")) for x in "ab")
+    enough = F.least("resta", "restb") >= need * (F.col("na") + F.col("nb")) - 1e-9
+    met = a.join(b, ["category", "h"]).filter((F.col("a") < F.col("b")) & enough).select("category", "a", "b").distinct()
+    left, right = (ordered.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("loose").alias(f"loose{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    likely = F.size(F.array_intersect("ha", "hb")) + F.least("loosea", "looseb") >= need * (F.col("na") + F.col("nb")) - 1e-9
+    kept = met.join(left, "a").join(right, "b").filter(likely).select("category", "a", "b")
+    left, right = (words.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+    both = F.size(F.array_intersect("wa", "wb"))
+    score = F.round(both / (F.size("wa") + F.size("wb") - both), 6)
+    return kept.join(left, "a").join(right, "b").select("category", "a", "b", score.alias("score")).filter(F.col("score") >= round(least, 6))
 
 
 def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     """The most similar pairs of a category that the first does not link to yet: docs has (name, category, text).
 
-    Documents of a category with equal word sets are one class. At each level, classes meet that share one of
-    the first words of both, in an order in which common words come last: pairs at the level or above cannot
-    miss each other. Levels fall until `most` pairs are found at one, so the best pairs never cost the many
-    faint ones. Of a class only as many names take part as the answer can hold, given the links there are.
+    Documents of a category with equal word sets are one class. Two searches, however few pairs there are: the
+    first looks at the short prefixes of very similar sets and keeps what it happens on; the last of the best
+    `most` of those is the bound of the second, which misses no pair at it or above. Of a class only as many
+    names take part as the answer can hold, given the links there are.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
-    marked = let(words, lambda w: F.struct(w.alias("words"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
+    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
+    marked = let(words, lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.xxhash64(x)).alias("hashes"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
     rows = staged(docs.select("name", "category", marked.alias("m")).select("name", "category", "m.*"), "word-sets").filter(F.size("words") > 0)
     own = ["category", "h1", "h2"]
     links = edges.select("src", "dst").distinct()
     between = links.join(rows.select(F.col("name").alias("src"), *own), "src").join(rows.select(F.col("name").alias("dst"), "category", *(F.col(h).alias(f"to_{h}") for h in ("h1", "h2"))), ["dst", "category"])
     # Between two classes, the first `most` + linked pairs by name hold `most` pairs without a link.
     linked = between.groupBy(*own, "to_h1", "to_h2").count().agg(F.max("count")).first()[0] or 0
-    ranked = rows.select("name", *own).withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name")))
-    heads = staged(ranked.filter(F.col("k") <= most + 2 * linked + 1).select("name", *own), "class-heads")
-    sets = staged(rows.groupBy(*own).agg(F.first("words").alias("words"), F.min("name").alias("id")), "classes")
-    each = sets.select("id", "category", F.size("words").alias("n"), F.explode("words").alias("word"))
-    common = F.broadcast(each.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(COMMON_WORDS))
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.xxhash64("word").alias("h"), "word")))
-    ordered = staged(each.join(common, "word", "left").groupBy("id", "category").agg(order["word"].alias("words")).withColumn("n", F.size("words")), "ordered")
-    for level in (*(x for x in LEVELS if x > least), least):
-        first = ordered.select("id", "category", "n", F.explode(F.slice("words", F.lit(1), (F.col("n") - F.ceil(level * F.col("n") - 1e-9) + 1).cast("int"))).alias("word"))
-        a, b = (first.select("category", "word", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= level * F.greatest("na", "nb") - 1e-9)
-        met = a.join(b, ["category", "word"]).filter(fits).select("category", "a", "b").distinct()
-        left, right = (ordered.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-        both = F.size(F.array_intersect("wa", "wb"))
-        score = F.round(both / (F.size("wa") + F.size("wb") - both), 6)
-        near = met.join(left, "a").join(right, "b").select("category", "a", "b", score.alias("score")).filter(F.col("score") >= round(level, 6))
-        same = sets.select("category", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-        of = sets.select("id", *own).join(heads, own).select("id", "name")
-        x, y = of.select(F.col("id").alias("a"), F.col("name").alias("x")), of.select(F.col("id").alias("b"), F.col("name").alias("y"))
-        pairs = near.union(same).join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    ranked = rows.select("name", *own).withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name"))).filter(F.col("k") <= most + 2 * linked + 1)
+    heads = staged(ranked.withColumn("id", F.first("name").over(Window.partitionBy(*own).orderBy("k"))).select("category", "id", "name"), "class-heads")
+    sets = rows.withColumnRenamed("name", "id").join(heads.filter("id = name").select("id"), "id", "left_semi")
+    ordered = staged(_ordered(sets), "ordered")
+    same = heads.filter("id = name").select("category", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    x, y = heads.select(F.col("id").alias("a"), F.col("name").alias("x")), heads.select(F.col("id").alias("b"), F.col("name").alias("y"))
+
+    def best(level: float, bound: float) -> DataFrame:
+        pairs = _near_sets(ordered, sets, level, bound).union(same).join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
         pairs = pairs.select("category", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "score").filter(F.col("score") > least)
-        best = pairs.join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst").limit(most)
-        best = staged(best, "suggested")
-        if level == least or best.count() >= most:
-            return best.orderBy(F.col("score").desc(), "src", "dst")
+        return staged(pairs.join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst").limit(most), "suggested")
+
+    probe = max(PROBE, least)
+    found = best(probe, least)
+    n, last = found.agg(F.count("*"), F.min("score")).first()
+    bound = last if n == most else least
+    if bound < probe:
+        found = best(bound, bound)
+    return found.orderBy(F.col("score").desc(), "src", "dst")
 
 
 def keyword_hits(text: Column, keywords) -> Column:

@@ -309,7 +309,7 @@ def test_shared_group_links_are_whole(spark, sf_dir):
 
 
 def test_suggestions_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(graph, "COMMON_WORDS", 3)
+    monkeypatch.setattr(graph, "PLACES", 3)
     rng = np.random.default_rng(3)
     rows = [(f"n{i:02d}", f"c{i % 2}", " ".join(rng.choice(list("abcdefgh"), 5))) for i in range(30)] + [("z", "c0", None)]
     docs, e = spark.createDataFrame(rows, "name string, category string, text string"), spark.createDataFrame([("n00", "n02")], "src string, dst string")
@@ -317,6 +317,9 @@ def test_suggestions_equal_brute_force(spark, monkeypatch):
     want = sorted(((round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6), a, b) for a, ca, _ in rows for b, cb, _ in rows if a < b and ca == cb and (a, b) != ("n00", "n02") and sets[a] | sets[b]), key=lambda x: (-x[0], x[1], x[2]))
     want = [w for w in want if w[0] > 0.3][:50]
     assert [(r.score, r.src, r.dst) for r in graph.suggested(docs, e).collect()] == want
+    # Few are wanted: the first search may end it, and ties at the last place are decided by name.
+    assert [(r.score, r.src, r.dst) for r in graph.suggested(docs, e, most=7).collect()] == want[:7]
+    assert [(r.score, r.src, r.dst) for r in graph.suggested(docs, e, least=0.65).collect()] == [w for w in want if w[0] > 0.65]
 
 
 def test_access_windows_equal_a_replay(spark):
