@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import routing as R
 from ..operators import safety as S
+from ..plans import levels as L
 from ..plans import planner as P
 from ..registry import query, source
 
@@ -127,6 +128,25 @@ def plan_stages(spark, d):
     return P.stages(_plan(spark, d))
 
 
+_GRAPH = """SELECT 1 AS task_id, concat('s', event_id) AS name, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 97 = 5 THEN concat('s', event_id + 2) WHEN event_id % 211 = 7 THEN concat('s', event_id)
+ELSE concat('s', event_id - 1 - (event_id * 7) % 13) END AS depends_on FROM {e} UNION ALL SELECT 1, concat('s', event_id), concat('s', event_id - 3) FROM {e} WHERE event_id % 11 = 3"""
+_DEPTHS = f"""p AS ({_GRAPH.format(e="events")}), w AS (SELECT name, count(DISTINCT depends_on) AS need FROM p GROUP BY name), u AS MATERIALIZED (SELECT DISTINCT name, depends_on AS d FROM p WHERE depends_on IS NOT NULL),
+far AS MATERIALIZED (SELECT name, d FROM u UNION SELECT far.name, u.d FROM far JOIN u ON far.d = u.name), tied AS MATERIALIZED (SELECT DISTINCT name FROM far WHERE name = d),
+first AS (SELECT name FROM u WHERE d NOT IN (SELECT name FROM w) UNION SELECT name FROM tied), bad AS (SELECT name FROM first UNION SELECT u.name FROM u JOIN bad ON u.d = bad.name),
+free AS MATERIALIZED (SELECT name, d FROM u WHERE name NOT IN (SELECT name FROM tied)), r AS (SELECT name, 0 AS depth FROM w WHERE need = 0 UNION SELECT free.name, depth + 1 FROM free JOIN r ON free.d = r.name)"""
+
+
+def _whole_graph(spark, d):
+    """All events as the steps of one plan."""
+    return spark.sql(_GRAPH, e=source(spark, d, "events"))
+
+
+@query(f"WITH RECURSIVE {_DEPTHS} SELECT w.name, CASE WHEN w.name IN (SELECT name FROM bad) THEN NULL ELSE max(depth) END AS stage FROM w LEFT JOIN r ON r.name = w.name GROUP BY w.name")
+def plan_levels(spark, d):
+    """Levels of one plan that holds every event."""
+    return L.levels(_whole_graph(spark, d)).select("name", "stage")
+
+
 _RUNS = "SELECT user_id AS task_id, event_id AS step, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events"
 
 
