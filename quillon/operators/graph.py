@@ -82,11 +82,13 @@ def problems(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 #: Similarity whose prefixes a first search for suggestions uses; what it finds sets the bound of the second.
 PROBE = 0.9
+#: Similarity below which the first search keeps nothing.
+FAINT = 0.7
 #: Words are counted by this many places of a table, so that the order of words is a table of fixed size.
 PLACES = 1 << 16
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
+def _ordered(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(category, id, n, loose, hashes): the hash of each word of a set, rare ones first; loose is how many words share a hash with another.
 
     Documents with a word are counted by the place of its hash, and a place keeps one byte on a log scale. Any
@@ -95,11 +97,12 @@ def _ordered(sets: DataFrame) -> DataFrame:
     """
     place = lambda h: F.pmod(h, F.lit(PLACES)).cast("int")
     counts = bytearray(PLACES)
-    for at, n in sets.select(F.explode("hashes").alias("h")).groupBy(place(F.col("h")).alias("at")).count().collect():
+    hashed = rows.select("category", F.col("name").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    for at, n in hashed.select(F.explode("hashes").alias("h")).groupBy(place(F.col("h")).alias("at")).count().collect():
         counts[at] = min(255, int(8 * math.log2(n + 1)))
     rare = F.sort_array(F.transform("hashes", lambda h: F.struct(F.substring(F.lit(counts), place(h) + 1, F.lit(1)).alias("c"), h.alias("h"))))["h"]
     n = F.size("hashes")
-    return sets.select("category", "id", n.alias("n"), (n - F.size(F.array_distinct("hashes"))).alias("loose"), rare.alias("hashes"))
+    return hashed.join(ids, "id", "left_semi").select("category", "id", n.alias("n"), (n - F.size(F.array_distinct("hashes"))).alias("loose"), rare.alias("hashes"))
 
 
 def _near_sets(ordered: DataFrame, words: DataFrame, level: float, least: float) -> DataFrame:
@@ -132,7 +135,7 @@ def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int =
     names take part as the answer can hold, given the links there are.
     """
     words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
-    marked = let(words, lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.xxhash64(x)).alias("hashes"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
+    marked = let(words, lambda w: F.struct(w.alias("words"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
     rows = staged(docs.select("name", "category", marked.alias("m")).select("name", "category", "m.*"), "word-sets").filter(F.size("words") > 0)
     own = ["category", "h1", "h2"]
     links = edges.select("src", "dst").distinct()
@@ -141,8 +144,8 @@ def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int =
     linked = between.groupBy(*own, "to_h1", "to_h2").count().agg(F.max("count")).first()[0] or 0
     ranked = rows.select("name", *own).withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name"))).filter(F.col("k") <= most + 2 * linked + 1)
     heads = staged(ranked.withColumn("id", F.first("name").over(Window.partitionBy(*own).orderBy("k"))).select("category", "id", "name"), "class-heads")
-    sets = rows.withColumnRenamed("name", "id").join(heads.filter("id = name").select("id"), "id", "left_semi")
-    ordered = staged(_ordered(sets), "ordered")
+    ordered = staged(_ordered(rows, heads.filter("id = name").select("id")), "ordered")
+    sets = rows.select(F.col("name").alias("id"), "words")
     same = heads.filter("id = name").select("category", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     x, y = heads.select(F.col("id").alias("a"), F.col("name").alias("x")), heads.select(F.col("id").alias("b"), F.col("name").alias("y"))
 
@@ -152,7 +155,7 @@ def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int =
         return staged(pairs.join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst").limit(most), "suggested")
 
     probe = max(PROBE, least)
-    found = best(probe, least)
+    found = best(probe, max(min(FAINT, probe), least))
     n, last = found.agg(F.count("*"), F.min("score")).first()
     bound = last if n == most else least
     if bound < probe:
