@@ -88,8 +88,41 @@ FAINT = 0.7
 PLACES = 1 << 16
 
 
-def _ordered(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(category, id, n, loose, hashes): the hash of each word of a set, rare ones first; loose is how many words share a hash with another.
+def _word_sets(docs: DataFrame, *parts: str) -> DataFrame:
+    """(name, category, n, h1, h2) of the documents with words, a class being its category and two hashes of its sorted words; parts adds their `words` or `hashes`."""
+    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
+    made = {"words": lambda w: w, "hashes": lambda w: F.transform(w, lambda x: F.xxhash64(x))}
+    marked = let(words, lambda w: F.struct(F.size(w).alias("n"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2)), *(made[x](w).alias(x) for x in parts)))
+    return docs.filter("category is not null").select("name", "category", marked.alias("m")).select("name", "category", "m.*").filter("n > 0")
+
+
+def _equal_sets(sets: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(category, src, dst) of equal sets without a link: of each class at least its first `most` pairs by name, and not many more.
+
+    The first `most` + linked pairs of a class hold `most` without a link, and they need only so many of its names.
+    """
+    own = ["category", "h1", "h2"]
+    copies = staged(sets.join(sets.groupBy(*own).count().filter("count > 1").select(*own), own, "left_semi").select("name", *own), "copies")
+    inside = links.join(copies.withColumnRenamed("name", "src"), "src").join(copies.withColumnRenamed("name", "dst"), ["dst", *own])
+    linked = inside.groupBy(*own).count().agg(F.max("count")).first()[0] or 0
+    ranked = copies.withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name"))).filter(F.col("k") <= most + linked + 1)
+    x, y = ranked.select(*own, F.col("name").alias("src"), F.col("k").alias("i")), ranked.select(*own, F.col("name").alias("dst"), F.col("k").alias("j"))
+    # From the first name on, each has fewer names behind it: the i-th is needed only while those before it leave room.
+    size = ranked.groupBy(*own).agg(F.max("k").alias("m"))
+    before = (F.col("i") - 1) * (2 * F.col("m") - F.col("i")) / 2 + F.col("j") - F.col("i") - 1
+    pairs = x.join(size, own).filter((F.col("i") - 1) * (2 * F.col("m") - F.col("i")) / 2 < most + linked).join(y, own)
+    return pairs.filter((F.col("src") < F.col("dst")) & (F.col("i") < F.col("j")) & (before < most + linked)).select("category", "src", "dst").join(links, ["src", "dst"], "left_anti")
+
+
+def _parity(hashes: Column) -> list[Column]:
+    """256 bits of a set: each word turns one over. As many words at least are in only one of two sets as bits differ."""
+    quarter = lambda i: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(3) == i)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return [F.aggregate(quarter(i), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h))) for i in range(4)]
+
+
+def _ordered(sets: DataFrame) -> DataFrame:
+    """(category, name, n, h1, h2, s0 to s3, hashes): sets by hashes of their words, rare ones first, and the bits of their parity.
 
     Documents with a word are counted by the place of its hash, and a place keeps one byte on a log scale. Any
     order that hangs on the hash alone keeps the prefixes of two sets comparable, so words that share a place
@@ -97,70 +130,76 @@ def _ordered(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """
     place = lambda h: F.pmod(h, F.lit(PLACES)).cast("int")
     counts = bytearray(PLACES)
-    hashed = rows.select("category", F.col("name").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    for at, n in hashed.select(F.explode("hashes").alias("h")).groupBy(place(F.col("h")).alias("at")).count().collect():
+    for at, n in sets.select(F.explode("hashes").alias("h")).groupBy(place(F.col("h")).alias("at")).count().collect():
         counts[at] = min(255, int(8 * math.log2(n + 1)))
     rare = F.sort_array(F.transform("hashes", lambda h: F.struct(F.substring(F.lit(counts), place(h) + 1, F.lit(1)).alias("c"), h.alias("h"))))["h"]
-    n = F.size("hashes")
-    return hashed.join(ids, "id", "left_semi").select("category", "id", n.alias("n"), (n - F.size(F.array_distinct("hashes"))).alias("loose"), rare.alias("hashes"))
+    return sets.select("category", "name", "n", "h1", "h2", *(s.alias(f"s{i}") for i, s in enumerate(_parity(F.col("hashes")))), rare.alias("hashes"))
 
 
-def _near_sets(ordered: DataFrame, words: DataFrame, level: float, least: float) -> DataFrame:
-    """(category, a, b, score): sets whose prefixes for a similarity of `level` meet, with their similarity where it is `least` or more.
+def _likely(ordered: DataFrame, level: float, least: float) -> DataFrame:
+    """(a, b): different sets whose prefixes for a similarity of `level` meet, if sizes, places and parity let them be as similar as `least`.
 
-    With level = least that is every such pair. Two sets as similar share a word among the first of both;
-    the words behind the first shared one must suffice for the rest. Hashes come before words.
+    Two sets as similar share a word among the first of both; the words behind the first shared one must suffice
+    for the rest. What meets carries 32 bytes of parity and no words.
     """
     level, need = level - 1e-6, (least - 1e-6) / (1 + least - 1e-6)
+    # Two different sets have a word outside both, so a similarity near 1 takes large ones.
+    large = ordered.filter(F.col("n") >= level / max(1 - level, 1e-9) * (1 - 1e-9))
     prefix = (F.col("n") - F.ceil(level * F.col("n") - 1e-9) + 1).cast("int")
-    first = ordered.select("category", "id", "n", F.posexplode(F.slice("hashes", F.lit(1), prefix)).alias("p", "h"))
-    a, b = (first.select("category", "h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("p")).alias(f"rest{x}")) for x in "ab")
-    enough = F.least("resta", "restb") >= need * (F.col("na") + F.col("nb")) - 1e-9
-    met = a.join(b, ["category", "h"]).filter((F.col("a") < F.col("b")) & enough).select("category", "a", "b").distinct()
-    left, right = (ordered.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("loose").alias(f"loose{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    likely = F.size(F.array_intersect("ha", "hb")) + F.least("loosea", "looseb") >= need * (F.col("na") + F.col("nb")) - 1e-9
-    kept = met.join(left, "a").join(right, "b").filter(likely).select("category", "a", "b")
-    left, right = (words.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+    bits = [f"s{i}" for i in range(4)]
+    first = large.select("category", F.col("name").alias("id"), "n", "h1", "h2", *bits, F.posexplode(F.slice("hashes", F.lit(1), prefix)).alias("p", "h"))
+    a, b = (first.select("category", "h", *(F.col(c).alias(c + x) for c in ("id", "n", "h1", "h2", *bits)), (F.col("n") - F.col("p")).alias(f"rest{x}")) for x in "ab")
+    both = need * (F.col("na") + F.col("nb")) - 1e-9
+    apart = sum((F.bit_count(F.col(s + "a").bitwiseXOR(F.col(s + "b"))) for s in bits), F.lit(0))
+    other = (F.col("h1a") != F.col("h1b")) | (F.col("h2a") != F.col("h2b"))
+    enough = (F.least("na", "nb") >= both) & (F.least("resta", "restb") >= both) & ((F.col("na") + F.col("nb") - apart) / 2 >= both)
+    return a.join(b, ["category", "h"]).filter((F.col("ida") < F.col("idb")) & other & enough).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
+def _near_sets(docs: DataFrame, ordered: DataFrame, level: float, least: float) -> DataFrame:
+    """(category, src, dst, score): pairs of `_likely` with their similarity where it is `least` or more, from their words. With level = least that is every such pair."""
+    met = staged(_likely(ordered, level, least).distinct(), "met")
+    asked = met.select(F.col("a").alias("name")).union(met.select("b")).distinct()
+    words = staged(_word_sets(docs.join(asked, "name", "left_semi"), "words"), "words")
+    left, right = (words.select(F.col("name").alias(x), F.col("category").alias(f"c{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
     score = F.round(both / (F.size("wa") + F.size("wb") - both), 6)
-    return kept.join(left, "a").join(right, "b").select("category", "a", "b", score.alias("score")).filter(F.col("score") >= round(least, 6))
+    pairs = met.join(left, "a").join(right, "b").filter("ca = cb")
+    return pairs.select(F.col("ca").alias("category"), F.col("a").alias("src"), F.col("b").alias("dst"), score.alias("score")).filter(F.col("score") >= round(least, 6))
 
 
 def suggested(docs: DataFrame, edges: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     """The most similar pairs of a category that the first does not link to yet: docs has (name, category, text).
 
-    Documents of a category with equal word sets are one class. Two searches, however few pairs there are: the
-    first looks at the short prefixes of very similar sets and keeps what it happens on; the last of the best
-    `most` of those is the bound of the second, which misses no pair at it or above. Of a class only as many
-    names take part as the answer can hold, given the links there are.
+    Equal word sets come first, as nothing is more alike; where they fill the answer, no words are compared. Else
+    two searches over different sets, however few pairs there are: the first looks at the short prefixes of very
+    similar sets and keeps what it happens on; the last of the best `most` so far is the bound of the second, which
+    misses no pair at it or above.
     """
-    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")))
-    marked = let(words, lambda w: F.struct(w.alias("words"), *(F.xxhash64(F.lit(s), w).alias(f"h{s}") for s in (1, 2))))
-    rows = staged(docs.select("name", "category", marked.alias("m")).select("name", "category", "m.*"), "word-sets").filter(F.size("words") > 0)
-    own = ["category", "h1", "h2"]
     links = edges.select("src", "dst").distinct()
-    between = links.join(rows.select(F.col("name").alias("src"), *own), "src").join(rows.select(F.col("name").alias("dst"), "category", *(F.col(h).alias(f"to_{h}") for h in ("h1", "h2"))), ["dst", "category"])
-    # Between two classes, the first `most` + linked pairs by name hold `most` pairs without a link.
-    linked = between.groupBy(*own, "to_h1", "to_h2").count().agg(F.max("count")).first()[0] or 0
-    ranked = rows.select("name", *own).withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("name"))).filter(F.col("k") <= most + 2 * linked + 1)
-    heads = staged(ranked.withColumn("id", F.first("name").over(Window.partitionBy(*own).orderBy("k"))).select("category", "id", "name"), "class-heads")
-    ordered = staged(_ordered(rows, heads.filter("id = name").select("id")), "ordered")
-    sets = rows.select(F.col("name").alias("id"), "words")
-    same = heads.filter("id = name").select("category", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-    x, y = heads.select(F.col("id").alias("a"), F.col("name").alias("x")), heads.select(F.col("id").alias("b"), F.col("name").alias("y"))
-
-    def best(level: float, bound: float) -> DataFrame:
-        pairs = _near_sets(ordered, sets, level, bound).union(same).join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-        pairs = pairs.select("category", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "score").filter(F.col("score") > least)
-        return staged(pairs.join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst").limit(most), "suggested")
-
-    probe = max(PROBE, least)
-    found = best(probe, max(min(FAINT, probe), least))
-    n, last = found.agg(F.count("*"), F.min("score")).first()
-    bound = last if n == most else least
-    if bound < probe:
-        found = best(bound, bound)
-    return found.orderBy(F.col("score").desc(), "src", "dst")
+    sets = staged(_word_sets(docs), "word-sets")
+    same = _equal_sets(sets, links, most).withColumn("score", F.lit(1.0)).filter(F.col("score") > least)
+
+    def best(*pairs: DataFrame) -> DataFrame:
+        return staged(reduce(DataFrame.unionByName, pairs).orderBy(F.col("score").desc(), "src", "dst").limit(most), "suggested")
+
+    def bound(found: DataFrame) -> float:
+        n, last = found.agg(F.count("*"), F.min("score")).first()
+        return last if n == most else least
+
+    equal = found = best(same)
+    # Rounded to six digits, only sets of a million words can be as alike as equal ones.
+    if bound(found) < 1 or (sets.agg(F.max("n")).first()[0] or 0) > 900_000:
+        hashed = _ordered(staged(_word_sets(docs, "hashes"), "hashed"))
+
+        def near(level: float, lowest: float) -> DataFrame:
+            return _near_sets(docs, hashed, level, lowest).filter(F.col("score") > least).join(links, ["src", "dst"], "left_anti").select("category", "src", "dst", "score")
+
+        probe = max(PROBE, least)
+        found = best(equal, near(probe, max(min(FAINT, probe), least)))
+        if (last := bound(found)) < probe:
+            found = best(equal, near(last, last))
+    return found.select("category", "src", "dst", "score").orderBy(F.col("score").desc(), "src", "dst")
 
 
 def keyword_hits(text: Column, keywords) -> Column:

@@ -435,3 +435,23 @@ def test_positions_of_a_hot_group(spark):
     pages = {(r.grp, r.page): (r.n, r.v) for r in paged(df.withColumn("v", F.col("v").cast("string")).withColumn("o", F.col("v").cast("int")), "grp", "v", 300, " ", "o").collect()}
     assert pages["hot", 3] == (100, " ".join(map(str, range(900, 1000)))) and pages["one", 0] == (1, "5") and pages[None, 0] == (2, "1 2") and len(pages) == 6
     assert positions(df.limit(0), "grp", "v").count() == 0
+
+
+def test_suggestions_compare_no_words_where_equal_sets_suffice_and_few_elsewhere(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    copies = [(f"n{i:02d}", "c", "a b c d") for i in range(14)] + [(f"m{i}", None, "a b c d") for i in range(3)]
+    docs = spark.createDataFrame(copies, "name string, category string, text string")
+    e = spark.createDataFrame([("n00", f"n{i:02d}") for i in range(1, 9)] + [("n03", "n01")], "src string, dst string")
+    want = [(f"n{i:02d}", f"n{j:02d}") for i in range(14) for j in range(i + 1, 14) if i or j > 8]
+    with monkeypatch.context() as m:
+        m.setattr(graph, "_near_sets", lambda *x: 1 / 0)
+        assert [(r.src, r.dst, r.score) for r in graph.suggested(docs, e).collect()] == [(*w, 1.0) for w in want[:50]]
+        assert [(r.src, r.dst) for r in graph.suggested(docs, e, most=3).collect()] == want[:3]
+    # One rare word is common to all and brings all pairs together; parity leaves hardly more than those that are alike.
+    rows = [(f"d{i:03d}", "c", "rare " + " ".join(f"w{i // 2}x{j}" if j else f"v{i}" for j in range(40))) for i in range(60)]
+    rows += [(f"x{i}", "c", " ".join(rng.choice(list("abcdefgh"), 6))) for i in range(10)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    sets = graph._ordered(graph._word_sets(docs, "hashes"))
+    sets = sets.withColumn("hashes", F.concat(F.array(F.lit(1).cast("long")), "hashes"))
+    met = {(r.a, r.b) for r in graph._likely(sets.filter("name < 'e'"), 0.7, 0.7).collect()}
+    assert met == {(f"d{i:03d}", f"d{i + 1:03d}") for i in range(0, 60, 2)}
