@@ -21,50 +21,69 @@ def _graph(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(v, to, hops) of steps that wait for one thing: the first step down their chain that does not; and steps whose chain closes.
 
-    Every round doubles the hops. A chain longer than all such steps of its plan together never ends.
+    Every round doubles the hops, and rows that have met an end are done. While any chain with an end is under way, some
+    step nearer to that end meets it, so a round in which none does leaves only chains that close: rounds follow the
+    longest chain, not the number of steps.
     """
     jump = staged(edges.groupBy("v").agg(F.first("d").alias("to"), F.count("*").alias("n")).filter("n = 1").select("v", "to", F.lit(1).cast("long").alias("hops")), "jumps")
-    longest = jump.groupBy("v.task_id").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
+    ended, open_ = jump.limit(0), jump
     while True:
-        ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("then"), F.col("hops").alias("more"))
-        moving = jump.join(ahead, "to", "left_semi")
-        if reach > longest or moving.isEmpty():
-            return jump.join(ahead, "to", "left_anti").select("v", "to", "hops"), moving.select("v")
-        further = jump.join(ahead, "to", "left")
-        jump = staged(further.select("v", F.coalesce("then", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "jumps")
-        reach *= 2
+        ahead = ended.union(open_).select(F.col("v").alias("to"), F.col("to").alias("then"), F.col("hops").alias("more"))
+        further = open_.join(ahead, "to", "left")
+        moved = staged(further.select("v", F.coalesce("then", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("then").isNull().alias("ended")), "jumps")
+        stay = moved.filter("ended").drop("ended")
+        if stay.isEmpty():
+            return ended, open_.select("v")
+        ended, open_ = ended.union(stay), moved.filter("not ended").drop("ended")
 
 
 def _staged_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, stage) of all steps that can run, by peeling: chains are one move, so rounds follow only steps that wait for several."""
-    chain, _ = _chains(edges)
+    """(v, stage) of all steps that can run, by peeling: chains are one move, so rounds follow only steps that wait for several.
+
+    A step that waits for something closing or missing goes as soon as that is known, as those that can run do: a round
+    moves only what is still open.
+    """
+    chain, closes = _chains(edges)
     waits = edges.groupBy("v").agg(F.count("*").alias("need"))
     several = waits.filter("need > 1")
-    # What a step waits for, by the end of its chain; a chain that closes has no end, so its row never counts.
-    closing = edges.join(several.select("v"), "v", "left_semi").join(chain.select(F.col("v").alias("d"), "to", "hops"), "d", "left")
-    deps = staged(closing.select("v", F.coalesce("to", "d").alias("to"), F.coalesce("hops", F.lit(0)).alias("hops")), "heads")
-    new = staged(nodes.join(waits, "v", "left_anti").select("v", F.lit(0).cast("long").alias("stage")), "levels")
-    left = staged(several.select("v", "need", F.lit(-1).cast("long").alias("stage")), "waiting")
-    known = [new]
-    while not new.isEmpty() and not left.isEmpty():
-        met = deps.join(new.select(F.col("v").alias("to"), F.col("stage").alias("of")), "to").groupBy("v").agg(F.count("*").alias("met"), F.max(F.col("of") + F.col("hops")).alias("deepest"))
-        both = left.join(met, "v", "left").select("v", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("stage", "deepest").alias("stage"))
-        both = staged(both, "waiting")
-        new, left = both.filter("need = 0").select("v", (F.col("stage") + 1).alias("stage")), both.filter("need > 0")
-        known.append(new)
-    heads = known[0]
-    for more in known[1:]:
-        heads = heads.union(more)
-    heads = staged(heads, "levels")
+    # What a step waits for, by the end of its chain; `at` holds the deepest level met so far.
+    ends = chain.withColumn("never", F.lit(False)).union(closes.select("v", F.col("v").alias("to"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("never")))
+    closing = edges.join(several.select("v"), "v", "left_semi").join(ends.withColumnRenamed("v", "d"), "d", "left")
+    none = F.lit(None).cast("long")
+    deps = staged(closing.select("v", F.coalesce("to", "d").alias("to"), F.coalesce("hops", F.lit(0)).alias("hops"), none.alias("at"), F.coalesce("never", F.lit(False)).alias("never")), "heads")
+    roots = nodes.join(waits, "v", "left_anti").select("v", F.lit(0).cast("long").alias("stage"), F.lit(False).alias("never"))
+    missing = deps.filter("not never").select(F.col("to").alias("v")).distinct().join(nodes, "v", "left_anti").select("v", none.alias("stage"), F.lit(True).alias("never"))
+    new = staged(roots.union(missing), "levels")
+    known = new.filter("not never")
+    while not new.isEmpty() and not deps.isEmpty():
+        told = new.select(F.col("v").alias("to"), F.col("stage").alias("of"), F.col("never").alias("lost"))
+        met = deps.join(told, "to", "left").select("v", "to", "hops", F.coalesce("at", F.col("of") + F.col("hops")).alias("at"), (F.col("never") | F.coalesce("lost", F.lit(False))).alias("never"))
+        met = staged(met, "met")
+        open_ = F.col("at").isNull() & ~F.col("never")
+        sums = staged(met.groupBy("v").agg(F.count_if(open_).alias("need"), F.max("at").alias("at"), F.max("never").alias("never")), "waiting")
+        new = sums.filter("never or need = 0").select("v", F.when(~F.col("never"), F.col("at") + 1).alias("stage"), "never")
+        left = sums.filter("not never and need > 0")
+        known = known.union(new.filter("not never"))
+        rest = met.filter(open_).join(left.select("v"), "v", "left_semi").select("v", "to", "hops", "at", "never")
+        # What a waiting step has met is one row, its deepest; it joins nothing more.
+        deps = staged(rest.union(left.filter("at is not null").select("v", F.lit(None).cast(deps.schema["to"].dataType), none, "at", "never")), "heads")
+    heads = staged(known.select("v", "stage"), "levels")
     single = chain.join(heads.select(F.col("v").alias("to"), "stage"), "to").select("v", (F.col("stage") + F.col("hops")).alias("stage"))
     return heads.union(single)
 
 
 def levels(plan: DataFrame) -> DataFrame:
-    """(task_id, name, stage) of every step: the length of its longest chain; null on a cycle, behind one or behind a missing step."""
+    """(task_id, name, stage) of every step: the length of its longest chain; null on a cycle, behind one or behind a missing step.
+
+    Steps are numbered first, so that the rounds move numbers and no names.
+    """
     nodes, edges = _graph(plan)
-    return nodes.join(_staged_levels(nodes, edges), "v", "left").select("v.task_id", "v.name", "stage")
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    of, on = (nodes.select(F.col("v").alias(name), F.col("id").alias(number)) for name, number in (("v", "of"), ("d", "on")))
+    # Behind a missing step, whatever its name, is one number.
+    numbers = staged(edges.join(of, "v").join(on, "d", "left").select(F.col("of").alias("v"), F.coalesce("on", F.lit(-1).cast("long")).alias("d")), "numbers")
+    found = _staged_levels(nodes.select(F.col("id").alias("v")), numbers)
+    return nodes.join(found.withColumnRenamed("v", "id"), "id", "left").select("v.task_id", "v.name", "stage")
 
 
 def _highest(edges: DataFrame, ends: DataFrame) -> DataFrame:
