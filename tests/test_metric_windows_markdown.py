@@ -88,3 +88,34 @@ def test_workflow_of_any_length(spark):
     assert got[0].startswith("# T\n## Core Workflow\nstep 0: go; step 1: go; ") and got[0].endswith("step 199999: go\n## Next\n")
     assert got[1:] == ["a\0b\n## Core Workflow\nx; y y\0rest", "no ## Core Workflow here", None]
     assert spark.createDataFrame([(long,)], "c string").select(F.length(M.compressed(F.col("c"), 10))).first()[0] > 10**6
+
+
+@pytest.mark.parametrize("by", ["cosine", "euclidean"])
+def test_block_pairs_are_solved_in_bounded_memory(by):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    q, v = rng.integers(-3, 4, (1500, 8)).astype("f8"), rng.integers(-3, 4, (4096, 8)).astype("f8")
+    ids = rng.permutation(4096)
+    tracemalloc.start()
+    i, j, value = search.solve(q, v, ids, 7, by, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the values alone took 49 MB before, their order as much again
+    for x in (0, 700, 1499):
+        far = np.round(np.sqrt(((q[x] - v) ** 2).sum(1)), 6)
+        if by == "cosine":
+            n = np.linalg.norm(q[x]) * np.linalg.norm(v, axis=1)
+            far = -np.round(np.divide(v @ q[x], n, out=np.zeros(4096), where=n > 0), 6)
+        want = np.lexsort((ids, far))[:7]
+        assert j[i == x].tolist() == want.tolist() and np.allclose(value[i == x], np.abs(far[want]) if by == "euclidean" else -far[want])
+
+
+def test_a_task_keeps_the_best_of_each_query(monkeypatch):
+    monkeypatch.setattr(search, "PENDING", 40)
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 5, 600), rng.permutation(600), rng.integers(0, 9, 600))]
+    parts = [tuple(np.array(x) for x in zip(*rows[at : at + 30])) for at in range(0, 600, 30)]
+    out = [tuple(r.values()) for b in search.best(iter(parts), 3, "euclidean") for r in b.to_pylist()]
+    top = lambda found: sorted(x for q in range(5) for x in sorted((r for r in found if r[0] == q), key=lambda r: (r[2], r[1]))[:3])
+    assert top(out) == top(rows) and len(out) < 100
