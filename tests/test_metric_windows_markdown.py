@@ -119,3 +119,13 @@ def test_a_task_keeps_the_best_of_each_query(monkeypatch):
     out = [tuple(r.values()) for b in search.best(iter(parts), 3, "euclidean") for r in b.to_pylist()]
     top = lambda found: sorted(x for q in range(5) for x in sorted((r for r in found if r[0] == q), key=lambda r: (r[2], r[1]))[:3])
     assert top(out) == top(rows) and len(out) < 100
+
+
+def test_queries_of_a_metric_search_stand_once_however_many_rings_they_visit(spark):
+    v = clustered(spark)
+    queries = v.filter("id % 20 = 0")
+    index = metric.build(v, 8)
+    for k, radius in ((None, 1e9), (3, None)):
+        asked = metric.visits(index, queries, 8, k, radius)
+        assert asked.agg(F.sum(F.size("query_ids"))).first()[0] == 150  # each query stood there once for each ring that it visits
+    assert metric.share(index, metric.visits(index, queries, 8, None, 1e9), 3000, 150) > 0.99
