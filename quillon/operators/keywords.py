@@ -15,14 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .search import bound_batches
+
 #: Bytes of keywords in one automaton, about.
 PART_BYTES = 131_072
 #: Longest keyword in bytes; a longer one is an error.
 KEYWORD_BYTES = 4096
 #: Texts are cut into lanes of so many bytes, each with the bytes before it that a keyword can reach back.
-LANE = 1024
+LANE = 512
 #: Bytes of text scanned side by side, and matches held before repeated ones go.
-GROUP_BYTES, PENDING = 1 << 22, 1 << 20
+GROUP_BYTES, PENDING = 1 << 21, 1 << 18
 
 
 class Automaton:
@@ -31,7 +33,7 @@ class Automaton:
     def __init__(self, keywords: list[str]):
         coded = [k.encode() for k in keywords]
         used = sorted(set(b"".join(coded)))
-        self.byte_class = np.zeros(256, np.int32)
+        self.byte_class = np.zeros(256, np.uint16)
         self.byte_class[used] = np.arange(1, len(used) + 1)
         children: list[dict[int, int]] = [{}]
         ends = {}
@@ -67,7 +69,7 @@ class Automaton:
         """(text number, keyword number) of each keyword that stands in each text, once."""
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
-        classes = self.byte_class[np.frombuffer(b"".join(texts), np.uint8)]
+        classes = self.byte_class[np.frombuffer(b"".join(texts), np.uint8)]  # two bytes for one of text
         lanes = -(-sizes // LANE)
         text = np.repeat(np.arange(len(texts)), lanes)
         offset = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
@@ -134,15 +136,15 @@ def _lowered(keywords: DataFrame, *columns: str) -> DataFrame:
 def _scanned(docs: DataFrame, shared: list, schema: str, answer) -> DataFrame:
     """For each part, what `answer` (names, text numbers, keyword numbers, part) makes of the matches, text by text."""
     texts = docs.select("name", F.lower("text").alias("text")).filter("text <> ''")
+    bound_batches(docs.sparkSession)
 
     def searcher(part):
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton, more = part.value
             for rows in batches:
-                coded = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
-                names = rows["name"].to_numpy()
-                for begin, end in _groups([len(t) for t in coded]):
-                    yield answer(names[begin:end], *automaton.search(coded[begin:end]), more)
+                names, texts = rows["name"].to_numpy(), rows.pop("text").to_list()
+                for begin, end in _groups([len(t.encode("utf-8", "surrogatepass")) for t in texts]):
+                    yield answer(names[begin:end], *automaton.search([t.encode("utf-8", "surrogatepass") for t in texts[begin:end]]), more)
 
         return search
 

@@ -124,3 +124,21 @@ def test_store_with_two_writers_and_a_lost_one(spark, tmp_path):
     assert s.manifests() == [1, 2, 3, 4] and s.state()[1] == state[1]
     s.vacuum()
     assert rows_of(other.read()) == [("a", "v", 1, "a"), ("b", "v", 1, "b")] and s.manifests() == [4]
+
+
+def test_a_group_of_texts_is_scanned_in_bounded_memory():
+    import tracemalloc
+
+    from quillon.operators import keywords as K
+
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    text = " ".join(words) + " "
+    texts = [(text * 30).encode()] * 1500  # 9 MB
+    automaton = K.Automaton(words)
+    found, groups = 0, list(K._groups([len(t) for t in texts]))
+    tracemalloc.start()
+    for begin, end in groups:
+        found += len(automaton.search(texts[begin:end])[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1500 * len(words) and peak < 24 << 20, peak
