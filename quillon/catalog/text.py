@@ -8,6 +8,7 @@ from ..operators.expand import expand_triggers as expand
 from ..operators.ranks import paged
 from ..operators.routing import parsed_ranking
 from ..registry import query, source, spread
+from ..sources.tables import staged
 
 _DROP = r"regexp_replace(content, '(?s)\A(.*?)((?:\A|\n)##\s+{t}\n.*?)(\n##.*)?\z', '\1\3')"
 _OUT = "list_aggregate(list_transform(list_zip(list_transform(regexp_split_to_array(content, '(?s)```.*?```'), lambda x: {f}), regexp_extract_all(content, '(?s)```.*?```')), lambda p: coalesce(p[1], '') || coalesce(p[2], '')), 'string_agg', '')"
@@ -143,9 +144,10 @@ _W = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[ \\t\\r\\n]+
 @query(f"""WITH p AS (SELECT a.doc_id, {_W.format(x='a.text')} AS a, {_W.format(x='b.text')} AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 0), 6) AS jaccard FROM p""")
 def jaccard(spark, d):
-    a = source(spark, d, "documents").select("doc_id", "text")
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return a.join(b, "doc_id").select("doc_id", F.round(M.word_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
+    """Each text is cut into words once; the join moves word sets."""
+    a = staged(source(spark, d, "documents").select("doc_id", M.word_set(F.col("text")).alias("words")), "word-sets")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", F.round(M.set_jaccard(F.col("words"), F.col("other")), 6).alias("jaccard"))
 
 
 #: Variants of terms: a parameter of the operator.

@@ -228,11 +228,20 @@ def sanitised_json(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def word_set(text: Column) -> Column:
+    """Lower-case words, each once; none of null."""
+    return F.coalesce(F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: w != "")), F.array().cast("array<string>"))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Share of common words of two word sets; 0 where neither has any."""
+    sizes = F.size(a) + F.size(b)
+    return F.when(sizes > 0, let(F.size(F.array_intersect(a, b)), lambda both: both / (sizes - both))).otherwise(0.0)
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Share of common lower-case words; 0 where neither has any."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"[ \t\r\n]+"), lambda w: w != ""))
-    both, either = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
-    return F.when(either > 0, both / either).otherwise(0.0)
+    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), lambda w: set_jaccard(w["a"], w["b"]))
 
 
 def attribution(name: Column, domain: Column, kind: str = "markdown") -> Column:

@@ -455,3 +455,11 @@ def test_suggestions_compare_no_words_where_equal_sets_suffice_and_few_elsewhere
     sets = sets.withColumn("hashes", F.concat(F.array(F.lit(1).cast("long")), "hashes"))
     met = {(r.a, r.b) for r in graph._likely(sets.filter("name < 'e'"), 0.7, 0.7).collect()}
     assert met == {(f"d{i:03d}", f"d{i + 1:03d}") for i in range(0, 60, 2)}
+
+
+def test_jaccard_cuts_each_text_into_words_once(spark, sf_dir):
+    df = QUERIES["jaccard"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # words of both texts stood there, for what is common and again for all
+    sets = spark.createDataFrame([("a B b", "b c"), (None, "x"), ("", " "), ("x", "X"), (None, None)], "a string, b string")
+    assert [r.j for r in sets.select(M.word_jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [pytest.approx(1 / 3), 0, 0, 1, 0]
